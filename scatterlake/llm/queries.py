@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bytebpe import byte_bpe_query
 from .langid import langid_query
+from .packing import packing_query
 from .toxicity import toxicity_query
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_byte_bpe": byte_bpe_query,
         "op4_toxicity": toxicity_query,
         "op9_langid": langid_query,
+        "op10_packing": packing_query,
     }
 
 
