@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from .bytebpe import byte_bpe_query
 from .langid import langid_query
 from .packing import packing_query
+from .quality import quality_query
 from .toxicity import toxicity_query
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_quality_rules": quality_query,
         "op3_byte_bpe": byte_bpe_query,
         "op4_toxicity": toxicity_query,
         "op9_langid": langid_query,
