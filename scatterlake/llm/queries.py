@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bytebpe import byte_bpe_query
+from .jaccard import jaccard_query
 from .langid import langid_query
 from .packing import packing_query
 from .quality import quality_query
@@ -18,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality_rules": quality_query,
         "op3_byte_bpe": byte_bpe_query,
         "op4_toxicity": toxicity_query,
+        "op8_jaccard_join": jaccard_query,
         "op9_langid": langid_query,
         "op10_packing": packing_query,
     }
