@@ -40,7 +40,7 @@ from .common import LOWER, components, materialize, mix, pieces, prefix_hash, re
 
 _SEEN = 200_000  # classes remembered by one task, so that copies are sent once
 MAX_LIGHT = 64
-HEAVY_ROW = 4  # cost of a heavy set's row against a light one's
+HEAVY_ROW = 16  # cost of a heavy set's row against a light one's
 
 
 @dataclass(frozen=True)

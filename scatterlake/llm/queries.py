@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bytebpe import byte_bpe_query
 from .jaccard import jaccard_query
 from .langid import langid_query
+from .metricjoin import METRIC_JOIN_SQL, metric_join_query
 from .packing import packing_query
 from .quality import quality_query
 from .toxicity import toxicity_query
@@ -19,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality_rules": quality_query,
         "op3_byte_bpe": byte_bpe_query,
         "op4_toxicity": toxicity_query,
+        "op6_metric_join": metric_join_query,
         "op8_jaccard_join": jaccard_query,
         "op9_langid": langid_query,
         "op10_packing": packing_query,
@@ -26,4 +28,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_metric_join": METRIC_JOIN_SQL}
