@@ -12,6 +12,7 @@ from .langid import langid_query
 from .metricjoin import METRIC_JOIN_SQL, metric_join_query
 from .packing import packing_query
 from .quality import quality_query
+from .substrings import substring_query
 from .toxicity import toxicity_query
 
 
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality_rules": quality_query,
         "op3_byte_bpe": byte_bpe_query,
         "op4_toxicity": toxicity_query,
+        "op5_substrings": substring_query,
         "op6_metric_join": metric_join_query,
         "op8_jaccard_join": jaccard_query,
         "op9_langid": langid_query,
