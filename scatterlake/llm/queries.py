@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bytebpe import byte_bpe_query
 from .jaccard import jaccard_query
 from .langid import langid_query
+from .lmscore import lm_query
 from .metricjoin import METRIC_JOIN_SQL, metric_join_query
 from .packing import packing_query
 from .quality import quality_query
@@ -18,6 +19,7 @@ from .toxicity import toxicity_query
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_lm_scoring": lm_query,
         "op2_quality_rules": quality_query,
         "op3_byte_bpe": byte_bpe_query,
         "op4_toxicity": toxicity_query,
