@@ -290,5 +290,20 @@ def jaccard_groups(docs: DataFrame, config: JaccardConfig = JaccardConfig()) ->
     )
 
 
+def keep_first_of_groups(docs: DataFrame, config: JaccardConfig = JaccardConfig()) -> DataFrame:
+    """One document of each group: the one with the smallest id.
+
+    Rows without an id belong to no group and stay; of rows that share the id
+    that stays, one is kept.
+    """
+    groups = jaccard_groups(docs, config).where("doc_id is not null")
+    ids = groups.groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count(F.lit(1)).alias("_times"))
+    kept = docs.join(ids.where("doc_id = c").select(F.col("doc_id").alias("_id"), "_times"), F.col("doc_id").cast("long") == F.col("_id"))
+    once = kept.where("_times = 1").drop("_id", "_times")
+    first = Window.partitionBy("_id").orderBy(F.xxhash64("text"), "text")
+    again = kept.where("_times > 1").withColumn("_rank", F.row_number().over(first)).where("_rank = 1").drop("_id", "_times", "_rank")
+    return once.unionByName(again).unionByName(docs.where("doc_id is null"))
+
+
 def jaccard_query(spark, sf_dir: str) -> DataFrame:
     return jaccard_groups(read_table(spark, sf_dir, "documents"))

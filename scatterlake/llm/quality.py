@@ -96,12 +96,16 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def features(docs: DataFrame, config: QualityConfig = QualityConfig()) -> DataFrame:
-    """doc_id, lang, the base counts, class counts and common-word counts of each row."""
+def features(docs: DataFrame, config: QualityConfig = QualityConfig(), carry: bool = False) -> DataFrame:
+    """doc_id, lang, the base counts, class counts and common-word counts of each row.
+
+    With ``carry`` the row itself comes along in the struct column ``_doc``.
+    """
+    carried = ["_doc"] if carry else []
     listed = sorted({w for words in COMMON_WORDS.values() for w in words})
     text = F.coalesce("text", F.lit(""))
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None)
-    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.cast("string").alias("lang"), text.alias("text"))
+    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.cast("string").alias("lang"), text.alias("text"), *[F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(c) for c in carried])
     df = df.withColumn("words", F.filter(F.split("text", BREAK), lambda w: w != ""))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     removed = {k: (F.length("text") - F.length(F.regexp_replace("text", p, ""))).cast("long") for k, p in CLASSES.items()}
@@ -124,6 +128,7 @@ def features(docs: DataFrame, config: QualityConfig = QualityConfig()) -> DataFr
                 F.array_distinct(m), lambda w: F.struct(w.alias("w"), (F.size(m) - F.size(F.array_remove(m, w))).cast("long").alias("n"))
             ),
         ).alias("common"),
+        *carried,
     )
     failed = (F.col("n_words") < config.min_words) | (100 * F.col("n_repeat_words") > config.max_repeat_percent * F.col("n_words"))
     return df.withColumn("base_failed", failed)
@@ -201,7 +206,7 @@ def judge(rows: DataFrame, refs: dict[str, dict], config: QualityConfig = Qualit
     strange = F.col("js_class") > config.max_class_distance + config.class_allowance / root
     strange = long_enough & (strange | (F.col("js_words") > config.max_word_distance + config.word_allowance / root))
     counts = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    return df.select(*counts, (~F.col("base_failed") & ~F.coalesce(strange, F.lit(False))).alias("kept"), "js_class", "js_words")
+    return df.select(*counts, (~F.col("base_failed") & ~F.coalesce(strange, F.lit(False))).alias("kept"), "js_class", "js_words", *[c for c in rows.columns if c == "_doc"])
 
 
 def quality_rules(docs: DataFrame, config: QualityConfig = QualityConfig()) -> DataFrame:
@@ -209,5 +214,11 @@ def quality_rules(docs: DataFrame, config: QualityConfig = QualityConfig()) -> D
     return judge(rows, references(rows), config)
 
 
+def keep_quality(docs: DataFrame, config: QualityConfig = QualityConfig()) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns; rows are judged where they are, without a join."""
+    rows = materialize(features(docs, config, carry=True), "quality")
+    return judge(rows, references(rows), config).where("kept").select("_doc.*")
+
+
 def quality_query(spark, sf_dir: str) -> DataFrame:
     return quality_rules(read_table(spark, sf_dir, "documents"))

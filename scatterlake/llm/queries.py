@@ -13,6 +13,7 @@ from .lmscore import lm_query
 from .metricjoin import METRIC_JOIN_SQL, metric_join_query
 from .packing import packing_query
 from .quality import quality_query
+from .quotes import quotes_query
 from .substrings import substring_query
 from .toxicity import toxicity_query
 
@@ -25,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_toxicity": toxicity_query,
         "op5_substrings": substring_query,
         "op6_metric_join": metric_join_query,
+        "op7_quotation_linking": quotes_query,
         "op8_jaccard_join": jaccard_query,
         "op9_langid": langid_query,
         "op10_packing": packing_query,

@@ -160,6 +160,22 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     )
 
 
+def keep_clean(docs: DataFrame, model: ToxicityModel) -> DataFrame:
+    """The rows of ``docs`` whose score is below the threshold, with all their columns."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    shared = spark.sparkContext.broadcast(model)
+
+    def run(batches):
+        m = shared.value
+        for batch in batches:
+            raw, offsets = text_buffers(batch.column("text"))
+            out = [m.score(part, offs) for _, _, part, offs in pieces(raw, offsets)]
+            yield batch.filter(pa.array((np.concatenate(out) if out else np.zeros(0)) < m.config.threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity_query(spark, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return score(docs, fit(docs, read_table(spark, sf_dir, "labels")))
