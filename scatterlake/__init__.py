@@ -1 +1,5 @@
 """Binned-scatter analytics on Spark DataFrames."""
+
+from .plans.api import binscatter
+
+__all__ = ["binscatter"]
