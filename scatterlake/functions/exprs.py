@@ -39,25 +39,11 @@ def hinge(x: Column, edge: float) -> Column:
 
 
 def bin_index(x: Column, interior: Sequence[float]) -> Column:
-    """Number of interior edges at or below x: left-closed bins with open ends.
-
-    A few edges are compared one by one; many are searched in a literal array.
-    """
-    edges = [float(e) for e in interior]
-    if not edges:
+    """Number of interior edges at or below x: left-closed bins with open ends."""
+    if not len(interior):
         return F.lit(0)
-    if len(edges) <= 16:
-        terms = [(x >= F.lit(e)).cast("int") for e in edges]
-        return sum(terms[1:], terms[0])
-    return _halving(x, edges, 0)
-
-
-def _halving(x: Column, edges: list[float], base: int) -> Column:
-    """A balanced tree of comparisons, so that a row takes log2 of the number of edges."""
-    if not edges:
-        return F.lit(base)
-    mid = len(edges) // 2
-    return F.when(x >= F.lit(edges[mid]), _halving(x, edges[mid + 1 :], base + mid + 1)).otherwise(_halving(x, edges[:mid], base))
+    terms = [step(x, float(e)).cast("int") for e in interior]
+    return sum(terms[1:], terms[0])
 
 
 def per_bin(bin_: Column, values: Sequence[float]) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,6 +46,10 @@ class Clean:
     def w(self) -> list[Column]:
         return [self.std(f"_w{i}") for i in range(len(self.numeric))]
 
+    def binned(self, df: DataFrame) -> Clean:
+        """The same data with further columns."""
+        return replace(self, df=df)
+
     def unscaled_x(self, value: float) -> float:
         return value * self.scale["_x"] + self.mean["_x"]
 

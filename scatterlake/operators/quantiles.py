@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import bin_index
@@ -20,6 +20,7 @@ ACCURACY = 10_000
 #: Most distinct values that the driver takes.
 MOST_VALUES = 200_000
 FEW_DISTINCT = 5_000
+FEW_SPLITS = 24
 
 
 def probabilities(num_bins: int) -> list[float]:
@@ -63,18 +64,14 @@ def order_statistics(df: DataFrame, name: str, ranks: Sequence[int], n: int) ->
         if not todo:
             return found
         spans = _merged([b for _, b in todo])
-        cells = [((x >= lo) & (x <= hi)) for lo, hi in spans]
-        counts = df.agg(
-            *[F.sum((x < lo).cast("long")).alias(f"b{i}") for i, (lo, _) in enumerate(spans)],
-            *[F.sum(c.cast("long")).alias(f"c{i}") for i, c in enumerate(cells)],
-        ).first()
-        if sum(counts[f"c{i}"] for i in range(len(spans))) <= MOST_VALUES:
-            inside = cells[0]
-            for c in cells[1:]:
-                inside = inside | c
-            rows = df.where(inside).groupBy(x.alias("v")).agg(F.count(F.lit(1)).alias("c")).collect()
+        # slots of the line: odd ones are spans, even ones lie between them
+        slotted = cut(df, name, [v for lo, hi in spans for v in (lo, float(np.nextafter(hi, np.inf)))], "_slot")
+        sizes = {r["_slot"]: r["c"] for r in slotted.groupBy("_slot").agg(F.count(F.lit(1)).alias("c")).collect()}
+        upto = np.cumsum([sizes.get(i, 0) for i in range(2 * len(spans) + 1)])
+        if sum(sizes.get(2 * i + 1, 0) for i in range(len(spans))) <= MOST_VALUES:
+            rows = slotted.where("_slot % 2 = 1").groupBy(x.alias("v")).agg(F.count(F.lit(1)).alias("c")).collect()
             for i, (lo, hi) in enumerate(spans):
-                below, size = counts[f"b{i}"], counts[f"c{i}"]
+                below, size = int(upto[2 * i]), sizes.get(2 * i + 1, 0)
                 mine = [r for r, (a, _) in todo if lo <= a <= hi]
                 good = [r for r in mine if below <= r < below + size]
                 found |= _read([v for v in rows if lo <= v["v"] <= hi], good, below)
@@ -86,7 +83,7 @@ def order_statistics(df: DataFrame, name: str, ranks: Sequence[int], n: int) ->
         # still too many rows: sketch again, inside the spans only
         narrow = {}
         for i, (lo, hi) in enumerate(spans):
-            below, size = counts[f"b{i}"], max(1, counts[f"c{i}"])
+            below, size = int(upto[2 * i]), max(1, sizes.get(2 * i + 1, 0))
             mine = [r for r, (a, _) in todo if lo <= a <= hi]
             pos = [p for r in mine for p in (max(0.0, (r - below) / size - half), min(1.0, (r - below + 1) / size + half))]
             got = df.where((x >= lo) & (x <= hi)).agg(F.percentile_approx(x, pos, ACCURACY)).first()[0]
@@ -134,5 +131,21 @@ def interior_edges(edges: Sequence[float], low: float, high: float) -> list[floa
     return inner if inner or low == high else [high]
 
 
-def assign(x: Column, interior: Sequence[float]) -> Column:
-    return bin_index(x, interior).cast("int")
+def cut(df: DataFrame, name: str, splits: Sequence[float], out: str) -> DataFrame:
+    """``df`` with the number of splits at or below column ``name``.
+
+    A few splits become comparisons in generated code; many are searched by
+    halving in the JVM, as an expression of their size would not be compiled.
+    """
+    splits = [float(v) for v in splits]
+    if len(splits) <= FEW_SPLITS:
+        return df.withColumn(out, bin_index(F.col(name), splits).cast("int"))
+    from pyspark.ml.feature import Bucketizer
+
+    bounds = [-float("inf"), *splits, float("inf")]
+    return Bucketizer(splits=bounds, inputCol=name, outputCol=out).transform(df).withColumn(out, F.col(out).cast("int"))
+
+
+def assign(df: DataFrame, interior: Sequence[float]) -> DataFrame:
+    """``df`` with the bin of ``_x`` in column ``_b``."""
+    return cut(df, "_x", interior, "_b")

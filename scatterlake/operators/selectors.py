@@ -56,7 +56,8 @@ def plug_in_constants(data: Clean, pilot: int) -> tuple[float, float] | None:
     edges, bins = edges_of(exact_quantiles(data.df, "_x", pilot, data.n))
     if len(edges) < 3:
         return None
-    bin_ = assign(F.col("_x"), interior_edges(edges, data.low, data.high))
+    data = data.binned(assign(data.df, interior_edges(edges, data.low, data.high)))
+    bin_ = F.col("_b")
     m = bin_moments(data, bin_, bins)
     n_bin = m.per_bin(m.s1)
     if (n_bin[:, 0] == 0).any():

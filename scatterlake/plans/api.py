@@ -10,7 +10,7 @@ from __future__ import annotations
 import logging
 import warnings
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,8 +62,8 @@ def choose_bins(data: Clean, options: Options) -> int:
     return wanted
 
 
-def bins_of(data: Clean, wanted: int, options: Options) -> tuple[list[float], int, Column]:
-    """Distinct quantile edges, the number of bins, and each row's bin."""
+def bins_of(data: Clean, wanted: int, options: Options) -> tuple[list[float], int, Clean]:
+    """Distinct quantile edges, the number of bins, and the data with each row's bin in ``_b``."""
     method = approximate_quantiles(data.df, "_x", wanted) if options.quantile_method == "approx" else exact_quantiles(data.df, "_x", wanted, data.n)
     edges, bins = edges_of(method)
     if len(edges) < 2:
@@ -72,11 +72,12 @@ def bins_of(data: Clean, wanted: int, options: Options) -> tuple[list[float], in
         logger.warning("%d bins were asked for; ties in %s leave %d", wanted, options.x, bins)
     if data.n < bins:
         raise ValueError(f"Rule-of-thumb selected {bins} bins for {data.n} rows; give a smaller number of bins")
-    return edges, bins, assign(F.col("_x"), interior_edges(edges, data.low, data.high))
+    return edges, bins, data.binned(assign(data.df, interior_edges(edges, data.low, data.high)))
 
 
 def _rows(data: Clean, options: Options) -> tuple[list[dict], int]:
-    edges, bins, bin_ = bins_of(data, choose_bins(data, options), options)
+    edges, bins, data = bins_of(data, choose_bins(data, options), options)
+    bin_ = F.col("_b")
     if options.ci == "pointwise" and options.automatic:
         warnings.warn("pointwise intervals at the IMSE-optimal number of bins undercover; use ci='rbc' or give a number of bins", UserWarning, stacklevel=3)
     m = None

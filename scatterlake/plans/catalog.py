@@ -58,7 +58,7 @@ def _one_row(spark: SparkSession, **values) -> DataFrame:
 
 def _edges(data, bins):
     edges, made = edges_of(exact_quantiles(data.df, "_x", bins, data.n))
-    return edges, made, assign(F.col("_x"), interior_edges(edges, data.low, data.high))
+    return edges, made, assign(data.df, interior_edges(edges, data.low, data.high)).withColumnRenamed("_b", "bin")
 
 
 def bin_edges(spark, sf_dir):
@@ -68,8 +68,7 @@ def bin_edges(spark, sf_dir):
 
 def bin_counts(spark, sf_dir):
     data = _data(spark, sf_dir, "lineitem", PRICE, QTY)
-    bin_ = _edges(data, 10)[2]
-    return data.df.groupBy(bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return _edges(data, 10)[2].groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
 
 
 def two_valued(spark, sf_dir):
@@ -104,9 +103,9 @@ def fe_cells(spark, sf_dir):
 
 def fe_bin_crosstab(spark, sf_dir):
     data = _data(spark, sf_dir, "lineitem", PRICE, QTY, ["l_returnflag", "l_linestatus"])
-    bin_ = _edges(data, 5)[2]
+    rows = _edges(data, 5)[2]
     names = dict(zip(data.groups, data.categorical, strict=True))
-    return crosstab(data.df.withColumn("bin", bin_), list(data.groups), "bin").withColumnsRenamed(names)
+    return crosstab(rows, list(data.groups), "bin").withColumnsRenamed(names)
 
 
 def fe_cardinality_order(spark, sf_dir):
