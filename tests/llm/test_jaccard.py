@@ -82,3 +82,19 @@ def test_repeated_rows_clashing_columns_and_empty_table(spark):
     got = sorted(((r["doc_id"], r["component_id"], r["n_shingles"]) for r in jaccard_groups(df).collect()), key=str)
     assert got == sorted([(5, 5, 2), (5, 5, 2), (None, 5, 2), (None, None, 1)], key=str)
     assert jaccard_groups(df.limit(0)).count() == 0
+
+
+def test_large_families_are_compared_block_by_block(spark, monkeypatch):
+    from scatterlake.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "BLOCK", 5)
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 0)
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(60):
+        copy = list(base)
+        for _ in range(rng.randint(0, 5)):
+            copy[rng.randrange(120)] = f"x{rng.randint(0, 50)}"
+        rows.append((i, " ".join(copy)))
+    compare(spark, rows)

@@ -62,7 +62,7 @@ def test_limits_hold_in_every_dimension_without_cutting():
 def test_words_through_the_cache_are_the_library_s_ids():
     library, coder, rng = Tokenizer.from_file(PATH), WordTokenizer(PATH), random.Random(4)
     alphabet = ["The", "ING", "é", "é", "Σ", "ΑΣ", "İ", "ß", "'s", "'LL", "1", "²", " ", "  ", "\n", "\t", "\x1c", "\x85", " ",
-                " ", "　", "!!", "<|endoftext|>", "<|", "日本", "😀", "́", "_", "|", "가"]
+                " ", "　", "!!", "<|endoftext|>", "<|", "日本", "😀", "́", "_", "|", "가", "ŉ", "Word", "İx", "café", "NAÏVE,", "end.", "(x)", "µ", "ª"]
     texts = ["", " "] + ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 30))) for _ in range(1500)]
     for text, ids in zip(texts, coder.encode_all(texts), strict=True):
         assert list(array("I", ids)) == library.encode(text, add_special_tokens=False).ids, repr(text)
