@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
@@ -29,6 +30,7 @@ class Clean:
     scale: dict[str, float]
     low: float
     high: float
+    distinct: int  # of x, about
 
     def std(self, name: str) -> Column:
         """A numeric column, centred and scaled, so that products keep their digits."""
@@ -102,21 +104,23 @@ def clean(df: DataFrame, options: Options, persist: bool = True) -> Clean:
     if persist:
         rows = rows.persist()
     number = ["_x", "_y", *[f"_w{i}" for i in range(len(numeric))]]
-    stats = [F.count(F.lit(1)).alias("n"), F.min("_x").alias("low"), F.max("_x").alias("high")]
+    stats = [F.count(F.lit(1)).alias("n"), F.min("_x").alias("low"), F.max("_x").alias("high"), F.approx_count_distinct("_x", 0.05).alias("u")]
     for k in number:
-        # the largest size first keeps the sums of squares of very large or small numbers in range
-        stats += [F.avg(k).alias(f"m{k}"), F.max(F.abs(F.col(k))).alias(f"a{k}")]
+        stats += [F.avg(k).alias(f"m{k}"), F.max(F.abs(F.col(k))).alias(f"a{k}"), F.stddev_pop(k).alias(f"v{k}")]
     stats += [F.count_distinct(F.col(f"_g{i}")).alias(f"d{i}") for i in range(len(categorical))]
     row = rows.agg(*stats).first()
     if not row["n"]:
         _explain_empty(df, options)
     mean = {k: row[f"m{k}"] for k in number}
     size = {k: row[f"a{k}"] or 1.0 for k in number}
-    spread = rows.agg(*[F.sqrt(F.avg(((F.col(k) - mean[k]) / size[k]) ** 2)).alias(k) for k in number]).first()
-    scale = {k: (spread[k] * size[k]) or 1.0 for k in number}
+    scale = {k: row[f"v{k}"] for k in number}
+    odd = [k for k in number if not (math.isfinite(scale[k]) and scale[k] > 0)]
+    if odd:  # constants, or squares out of range: divide by the largest size before squaring
+        spread = rows.agg(*[F.sqrt(F.avg(((F.col(k) - mean[k]) / size[k]) ** 2)).alias(k) for k in odd]).first()
+        scale |= {k: (spread[k] * size[k]) or 1.0 for k in odd}
     levels = sorted(((-row[f"d{i}"], c, f"_g{i}") for i, c in enumerate(categorical) if row[f"d{i}"] > 1), key=lambda v: v[:2])
     return Clean(
-        rows, numeric, tuple(c for _, c, _ in levels), tuple(g for *_, g in levels), row["n"], mean, scale, row["low"], row["high"]
+        rows, numeric, tuple(c for _, c, _ in levels), tuple(g for *_, g in levels), row["n"], mean, scale, row["low"], row["high"], row["u"]
     )
 
 

@@ -29,14 +29,14 @@ def probabilities(num_bins: int) -> list[float]:
     return [i / num_bins for i in range(num_bins + 1)]
 
 
-def exact_quantiles(df: DataFrame, name: str, num_bins: int, n: int) -> list[float]:
+def exact_quantiles(df: DataFrame, name: str, num_bins: int, n: int, distinct: int | None = None) -> list[float]:
     """Quantiles i / num_bins for i = 0 .. num_bins with linear interpolation (type 7)."""
     probabilities(num_bins)
     if n == 0:
         return []
     whole = [divmod(i * (n - 1), num_bins) for i in range(num_bins + 1)]
     ranks = sorted({r for q, rest in whole for r in ((q, q + 1) if rest else (q,))})
-    values = order_statistics(df, name, ranks, n)
+    values = order_statistics(df, name, ranks, n, distinct)
     out = []
     for q, rest in whole:
         a = values[q]
@@ -44,14 +44,15 @@ def exact_quantiles(df: DataFrame, name: str, num_bins: int, n: int) -> list[flo
     return out
 
 
-def order_statistics(df: DataFrame, name: str, ranks: Sequence[int], n: int) -> dict[int, float]:
-    """The values at 0-based ranks of the sorted column."""
+def order_statistics(df: DataFrame, name: str, ranks: Sequence[int], n: int, distinct: int | None = None) -> dict[int, float]:
+    """The values at 0-based ranks of the sorted column; ``distinct`` is about its number of values, if known."""
     x = F.col(name)
     head = df.groupBy(x.alias("v")).agg(F.count(F.lit(1)).alias("c"))
     if n <= MOST_VALUES:
         return _read(head.collect(), ranks, 0)
-    about = df.agg(F.approx_count_distinct(x, 0.05)).first()[0]
-    if about <= FEW_DISTINCT:  # a coarse column: its counts are small and exact
+    if distinct is None:
+        distinct = df.agg(F.approx_count_distinct(x, 0.05)).first()[0]
+    if distinct <= FEW_DISTINCT:  # a coarse column: its counts are small and exact
         return _read(head.collect(), ranks, 0)
     half = 3.0 / ACCURACY
     spots = sorted({p for r in ranks for p in (max(0.0, r / (n - 1) - half), min(1.0, r / (n - 1) + half))})

@@ -53,7 +53,7 @@ def plug_in_constants(data: Clean, pilot: int) -> tuple[float, float] | None:
     The bias is the variation of a broken-line fit within bins, the variance the
     mean of the squared standard errors of the bins' levels; both need sums per bin only.
     """
-    edges, bins = edges_of(exact_quantiles(data.df, "_x", pilot, data.n))
+    edges, bins = edges_of(exact_quantiles(data.df, "_x", pilot, data.n, data.distinct))
     if len(edges) < 3:
         return None
     data = data.binned(assign(data.df, interior_edges(edges, data.low, data.high)))

@@ -57,14 +57,14 @@ def choose_bins(data: Clean, options: Options) -> int:
     if not options.automatic:
         return options.num_bins
     wanted = direct_plug_in(data) if options.num_bins == "dpi" else rule_of_thumb(data)
-    if wanted > data.n > MOST_VALUES and data.df.agg(F.approx_count_distinct("_x")).first()[0] > MOST_VALUES:
+    if wanted > data.n > MOST_VALUES and data.distinct > MOST_VALUES:
         raise ValueError(f"Rule-of-thumb selected {wanted} bins for {data.n} rows; give a number of bins")
     return wanted
 
 
 def bins_of(data: Clean, wanted: int, options: Options) -> tuple[list[float], int, Clean]:
     """Distinct quantile edges, the number of bins, and the data with each row's bin in ``_b``."""
-    method = approximate_quantiles(data.df, "_x", wanted) if options.quantile_method == "approx" else exact_quantiles(data.df, "_x", wanted, data.n)
+    method = approximate_quantiles(data.df, "_x", wanted) if options.quantile_method == "approx" else exact_quantiles(data.df, "_x", wanted, data.n, data.distinct)
     edges, bins = edges_of(method)
     if len(edges) < 2:
         raise ValueError(TOO_FEW_BINS)

@@ -57,7 +57,7 @@ def _one_row(spark: SparkSession, **values) -> DataFrame:
 
 
 def _edges(data, bins):
-    edges, made = edges_of(exact_quantiles(data.df, "_x", bins, data.n))
+    edges, made = edges_of(exact_quantiles(data.df, "_x", bins, data.n, data.distinct))
     return edges, made, assign(data.df, interior_edges(edges, data.low, data.high)).withColumnRenamed("_b", "bin")
 
 
