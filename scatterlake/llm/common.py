@@ -53,9 +53,8 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Keep Arrow batches small: texts may be long, and a batch is held whole in a worker."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Set how many rows go to Python at once: rows may be long, and a batch is held whole in a worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
