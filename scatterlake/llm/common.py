@@ -49,9 +49,26 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/scatterlake/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Tables that this driver has written in the shared folder and not discarded.
+_written: list[str] = []
+
+
+def written() -> list[str]:
+    return list(_written)
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete intermediate tables; only for callers that know that what is built on them has been written."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        _written.remove(path)
+
+
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     """Set how many rows go to Python at once: rows may be long, and a batch is held whole in a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -212,13 +212,21 @@ def join_cells(classes: DataFrame, config: RangeJoinConfig = RangeJoinConfig())
         home = np.flatnonzero(table.column("home").to_numpy(zero_copy_only=False))
         member = np.flatnonzero(table.column("member").to_numpy(zero_copy_only=False))
         label, links = np.arange(len(node)), np.zeros(len(home))
+        single, others = x.astype(np.float32), x[member].astype(np.float32)
         for lo in range(0, len(home), 512):
             rows = home[lo : lo + 512]
-            near = x[rows] @ x[member].T >= config.cosine
-            near &= rows[:, None] != member[None, :]
-            links[lo : lo + 512] = near @ weight[member]
-            for k in np.flatnonzero(near.any(axis=1)):
-                met = label[member[near[k]]]
+            # single precision errs by far less than the margin; what passes is decided in double precision
+            i, j = np.nonzero(single[rows] @ others.T >= np.float32(config.cosine - 1e-4))
+            exact = np.empty(len(i))
+            for at in range(0, len(i), 50_000):
+                some = slice(at, at + 50_000)
+                exact[some] = np.einsum("ij,ij->i", x[rows[i[some]]], x[member[j[some]]])
+            near = (exact >= config.cosine) & (rows[i] != member[j])
+            i, j = i[near], member[j[near]]
+            links[lo : lo + 512] = np.bincount(i, weight[j], len(rows))
+            edge = np.searchsorted(i, np.arange(len(rows) + 1))
+            for k in np.flatnonzero(np.diff(edge)):
+                met = label[j[edge[k] : edge[k + 1]]]
                 mine = label[rows[k]]
                 if (met != mine).any():
                     joined = np.union1d(met, mine)
