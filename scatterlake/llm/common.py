@@ -172,11 +172,34 @@ def sums_by_document(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return total[starts[1:]] - total[starts[:-1]]
 
 
+LOCAL_EDGES = 1_000_000
+
+
+def _solve_locally(batches):
+    """(node, smallest node of its component) of all edges of one task."""
+    ends = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches]
+    if not ends:
+        return
+    a, b = (np.concatenate(x) for x in zip(*ends, strict=True))
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b, root = at[: len(a)], at[len(a) :], np.arange(len(names))
+    while True:
+        x, y = root[a], root[b]
+        if (x == y).all():
+            break
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+    for lo in range(0, len(names), 65536):
+        yield pa.record_batch({"a": pa.array(names[lo : lo + 65536]), "m": pa.array(names[root[lo : lo + 65536]])})
+
+
 def components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Smallest node reachable from every node: (node, component), by alternating
     large-star and small-star rounds (Kiveris et al., 2014).
 
-    ``edges`` has long columns ``a`` and ``b``, ``nodes`` has ``node``. Every round
+    ``edges`` has long columns ``a`` and ``b``, ``nodes`` has ``node``. Up to
+    ``LOCAL_EDGES`` distinct edges (16 MB) are solved in one task. Beyond, every round
     is a shuffle of the edges and is written to the shared folder, so that no link
     is ever collected and no lineage grows. Hubs are handled by grouped minima and
     by joins, never by collecting a neighbourhood in one task.
@@ -185,8 +208,12 @@ def components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 60) -> Data
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
     ).distinct()
     cur = materialize(cur, "edges")
-    if cur.isEmpty():
+    count = cur.count()
+    if not count:
         return nodes.select("node", F.col("node").alias("component"))
+    if count <= LOCAL_EDGES:
+        label = cur.repartition(1).mapInArrow(_solve_locally, "a long, m long")
+        return nodes.join(label, nodes["node"] == label["a"], "left").select("node", F.coalesce("m", "node").alias("component"))
     seen = None
     for _ in range(max_rounds):
         both = cur.unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
