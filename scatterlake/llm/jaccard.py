@@ -14,7 +14,8 @@ o(n, m) elements and differ in at most d(n, m).
 Equal sets collapse to one class first, so groups of copies cost one row.
 Candidates are then verified on the whole sets in two rounds: first against the
 best-connected member of each list, then, only where a list still joins
-different components, across these components. No link between different sets
+different components, block by block across these components, without making
+pairs of rows. No link between different sets
 is lost: each linked pair meets in a list, and is either verified or already
 connected. Sets are compared by 64-bit element hashes.
 
@@ -40,6 +41,9 @@ from .common import LOWER, components, materialize, mix, pieces, prefix_hash, re
 
 _SEEN = 200_000  # classes remembered by one task, so that copies are sent once
 MAX_LIGHT = 64
+STRIP = 4096  # columns of a strip of the co-occurrence matrix
+BLOCK = 512  # sets of one block of a large family
+BROADCAST_ROWS = 1_000_000  # most rows (of at most three longs) of a broadcast side
 HEAVY_ROW = 16  # cost of a heavy set's row against a light one's
 
 
@@ -189,13 +193,13 @@ def keyed(docs: DataFrame, config: JaccardConfig) -> DataFrame:
 
 
 def listed(docs: DataFrame, light: int, config: JaccardConfig) -> DataFrame:
-    """Inverted-list rows (sig, k1, k2, n); a task sends a class once for each fill of its memory."""
+    """Inverted-list rows (sig, k1); a task sends a class once for each fill of its memory."""
 
     def run(batches):
         seen: set[tuple[int, int]] = set()
         for batch in batches:
             for _, _, sets in _sets(batch, config):
-                sig, who, n = [], [], []
+                sig, who = [], []
                 for s in sets:
                     key = class_keys(s)
                     if len(s) < 9 or key in seen:  # smaller sets link only with equal ones
@@ -205,21 +209,18 @@ def listed(docs: DataFrame, light: int, config: JaccardConfig) -> DataFrame:
                     seen.add(key)
                     sig.append(signatures(s, light, config))
                     who.append(key)
-                    n.append(len(s))
                 times = [len(x) for x in sig]
                 yield pa.record_batch({
                     "sig": _signed(np.concatenate(sig) if sig else []),
                     "k1": _signed(np.repeat(np.array([k for k, _ in who], np.uint64), times)),
-                    "k2": _signed(np.repeat(np.array([k for _, k in who], np.uint64), times)),
-                    "n": pa.array(np.repeat(np.array(n, np.int32), times)),
                 })
 
-    return docs.select("text").mapInArrow(run, "sig long, k1 long, k2 long, n int")
+    return docs.select("text").mapInArrow(run, "sig long, k1 long")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, config: JaccardConfig) -> DataFrame:
     """The pairs (a, b) whose whole sets reach the threshold."""
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a")
+    both = sets.select(F.col("node").alias("a"), F.col("items").alias("x")).join(_checked(pairs), "a")
     both = both.join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
 
     def run(batches):
@@ -234,6 +235,81 @@ def verify(pairs: DataFrame, sets: DataFrame, config: JaccardConfig) -> DataFram
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _checked(small: DataFrame) -> DataFrame:
+    """A broadcast of a side of few rows of fixed width; a larger one is joined by sorting."""
+    return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
+
+
+def links_across(sets: list[np.ndarray], component: np.ndarray, config: JaccardConfig) -> list[tuple[int, int]]:
+    """Links between sets of different components, as a spanning forest.
+
+    Intersections come from inverted lists: the elements that two sets or more
+    hold become columns of a 0/1 matrix, multiplied with itself strip by strip.
+    """
+    size = np.array([len(s) for s in sets], np.int64)
+    values, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), size)
+    shared = times[column] > 1
+    column, row = (np.cumsum(times > 1) - 1)[column[shared]], row[shared]
+    by_column = np.argsort(column, kind="stable")
+    column, row = column[by_column], row[by_column]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for lo in range(0, int((times > 1).sum()), STRIP):
+        a, b = np.searchsorted(column, [lo, lo + STRIP])
+        strip = np.zeros((len(sets), STRIP), np.float32)
+        strip[row[a:b], column[a:b] - lo] = 1
+        both += strip @ strip.T
+    both = np.rint(both).astype(np.int64)
+    linked = config.den * both >= config.num * (size[:, None] + size[None, :] - both)
+    linked &= component[:, None] != component[None, :]
+    label, out = component.copy(), []
+    for i in np.flatnonzero(linked.any(axis=1)):
+        for j in np.flatnonzero(linked[i] & (label != label[i])):
+            if label[j] != label[i]:
+                out.append((int(i), int(j)))
+                label[label == label[j]] = label[i]
+    return out
+
+
+def across(members: DataFrame, sets: DataFrame, config: JaccardConfig) -> DataFrame:
+    """Links (a, b) between components of a family; members: node, family, component.
+
+    A family is what split lists still hold together. Small families are compared
+    whole; a large one is dealt into blocks, and two blocks meet unless both are
+    parts of one component, so a component of any size costs only what lies outside it.
+    """
+    by_family, by_part = Window.partitionBy("family"), Window.partitionBy("family", "component")
+    dealt = members.withColumns({"size": F.count(F.lit(1)).over(by_family), "own": F.count(F.lit(1)).over(by_part)})
+    small = dealt.where(F.col("size") <= BLOCK).select("node", "family", "component", F.lit(0).alias("i"), F.lit(0).alias("j"))
+    large = dealt.where(F.col("size") > BLOCK)
+    alone = F.col("own") > BLOCK
+    salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("own") / BLOCK))
+    shelf = F.pmod(F.xxhash64("component"), F.ceil(F.col("size") / BLOCK))
+    block = F.when(alone, F.xxhash64("component", salt)).otherwise(shelf)
+    large = large.withColumns({"block": block, "of": F.when(alone, F.col("component"))})
+    blocks = large.groupBy("family").agg(F.collect_set(F.struct("block", F.coalesce("of", F.lit(-1)).alias("of"))).alias("blocks"))
+    large = large.join(blocks, "family").withColumn("other", F.explode("blocks"))
+    large = large.where(F.col("of").isNull() | (F.col("of") != F.col("other.of")))
+    large = large.select("node", "family", "component", F.least("block", "other.block").alias("i"), F.greatest("block", "other.block").alias("j"))
+    units = small.unionByName(large).withColumn("unit", F.when(F.col("i") == F.col("j"), F.pmod("family", F.lit(4096))).otherwise(F.xxhash64("family", "i", "j")))
+
+    def unit(table: pa.Table) -> pa.Table:
+        out = []
+        node, fam, part = (table.column(c).to_numpy() for c in ("node", "family", "component"))
+        key = np.stack([fam, table.column("i").to_numpy(), table.column("j").to_numpy()])
+        items = table.column("items")
+        _, which = np.unique(key, axis=1, return_inverse=True)
+        which = which.ravel()
+        for g in range(int(which.max(initial=-1)) + 1):
+            at = np.flatnonzero(which == g)
+            if len(at) > 1:
+                pairs = links_across([np.frombuffer(items[int(k)].as_py(), np.uint64) for k in at], part[at], config)
+                out += [(int(node[at[x]]), int(node[at[y]])) for x, y in pairs]
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    return sets.join(units, "node").groupBy("unit").applyInArrow(unit, "a long, b long")
+
+
 def jaccard_groups(docs: DataFrame, config: JaccardConfig = JaccardConfig()) -> DataFrame:
     """doc_id, n_shingles, component_id, and class_id (smallest id with the same set) per row."""
     small_batches(docs.sparkSession)
@@ -242,21 +318,27 @@ def jaccard_groups(docs: DataFrame, config: JaccardConfig = JaccardConfig()) ->
     small = rows.where(F.col("n") < MAX_LIGHT + 8).groupBy("n").count().collect()
     light = boundary({r["n"]: r["count"] for r in small if r["n"] > 0}, config)
 
-    sigs = listed(docs, light, config).groupBy("sig", "k1", "k2", "n").agg(F.lit(1).alias("one")).drop("one")
+    # lists in which two classes meet; k1 alone stands for a class until it is joined to its node
     by_sig = Window.partitionBy("sig")
-    met = sigs.withColumn("met", F.count(F.lit(1)).over(by_sig)).where("met > 1")
-    met = materialize(met.join(classes.where("node is not null"), ["k1", "k2", "n"]).select("sig", "node", "n", "met"), "jaccard-lists")
+    sigs = listed(docs, light, config).withColumns({"low": F.min("k1").over(by_sig), "high": F.max("k1").over(by_sig)})
+    sigs = sigs.where("low < high").select("sig", "k1").distinct()
+    named = classes.where("node is not null").select("k1", "node", "n")
+    met = materialize(sigs.join(named, "k1").withColumn("met", F.count(F.lit(1)).over(by_sig)).drop("k1"), "jaccard-lists")
 
     # the whole sets of the classes that met another one
-    weight = met.groupBy("node").agg(F.sum("met").alias("weight"), F.count(F.lit(1)).alias("lists"))
-    chosen = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(weight.select("node"), "node", "left_semi")
+    weight = materialize(met.groupBy("node").agg(F.sum("met").alias("weight")), "jaccard-nodes")
+    chosen = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(_checked(weight.select("node")), "node", "left_semi")
 
     def run(batches):
         for batch in batches:
             items = [s.tobytes() for _, _, sets in _sets(batch, config) for s in sets]
             yield pa.record_batch({"node": batch.column("node"), "items": pa.array(items, pa.binary())})
 
-    sets = materialize(chosen.mapInArrow(run, "node long, items binary").dropDuplicates(["node"]), "jaccard-sets")
+    sets = chosen.mapInArrow(run, "node long, items binary")
+    if rows.groupBy("doc_id").count().where("count > 1").isEmpty():
+        sets = materialize(sets, "jaccard-sets")
+    else:
+        sets = materialize(sets.dropDuplicates(["node"]), "jaccard-sets")
 
     # first round: every member of a list with its best-connected member
     ranked = met.join(weight, "node")
@@ -268,16 +350,13 @@ def jaccard_groups(docs: DataFrame, config: JaccardConfig = JaccardConfig()) ->
     edges = materialize(verify(first, sets, config), "jaccard-links")
 
     # second round: across the components that a list still joins
-    nodes = weight.select("node")
-    part = components(edges, nodes)
+    part = components(edges, weight.select("node"))
     split = met.join(part, "node")
     split = split.withColumns({"low": F.min("component").over(by_sig), "high": F.max("component").over(by_sig)}).where("low < high")
-    left = split.select("sig", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
-    right = split.select("sig", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
-    fits = (config.den * F.least("n_a", "n_b") >= config.num * F.greatest("n_a", "n_b"))
-    second = left.join(right, "sig").where("a < b and c_a != c_b").where(fits).select("a", "b").distinct()
-    second = second.join(first, ["a", "b"], "left_anti")
-    more = materialize(verify(second, sets, config), "jaccard-links")
+    star = split.select(F.col("node").alias("a"), F.min("node").over(by_sig).alias("b")).where("a != b").distinct()
+    family = components(star, split.select("node").distinct()).withColumnRenamed("component", "family")
+    members = materialize(family.join(part, "node"), "jaccard-families")
+    more = materialize(across(members, sets, config), "jaccard-links")
 
     found = components(edges.unionByName(more), classes.where("node is not null").select("node").distinct())
     keyed_class = classes.join(found, "node", "left").select("k1", "k2", F.col("n").alias("size"), "node", "component")
