@@ -41,7 +41,7 @@ from .common import LOWER, components, materialize, mix, pieces, prefix_hash, re
 
 _SEEN = 200_000  # classes remembered by one task, so that copies are sent once
 MAX_LIGHT = 64
-STRIP = 4096  # columns of a strip of the co-occurrence matrix
+SKETCH_BITS = 2048
 BLOCK = 512  # sets of one block of a large family
 BROADCAST_ROWS = 1_000_000  # most rows (of at most three longs) of a broadcast side
 HEAVY_ROW = 16  # cost of a heavy set's row against a light one's
@@ -240,40 +240,39 @@ def _checked(small: DataFrame) -> DataFrame:
     return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
 
 
-def links_across(sets: list[np.ndarray], component: np.ndarray, config: JaccardConfig) -> list[tuple[int, int]]:
-    """Links between sets of different components, as a spanning forest.
+def parity_sketch(values: np.ndarray) -> bytes:
+    """Parity of the number of elements in each of SKETCH_BITS hash buckets.
 
-    Intersections come from inverted lists: the elements that two sets or more
-    hold become columns of a 0/1 matrix, multiplied with itself strip by strip.
+    One element more or less flips one bit, so two sets differ in at least as many
+    elements as their sketches in bits: an exact lower bound, whatever collides.
     """
-    size = np.array([len(s) for s in sets], np.int64)
-    values, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(len(sets)), size)
-    shared = times[column] > 1
-    column, row = (np.cumsum(times > 1) - 1)[column[shared]], row[shared]
-    by_column = np.argsort(column, kind="stable")
-    column, row = column[by_column], row[by_column]
-    both = np.zeros((len(sets), len(sets)), np.float32)
-    for lo in range(0, int((times > 1).sum()), STRIP):
-        a, b = np.searchsorted(column, [lo, lo + STRIP])
-        strip = np.zeros((len(sets), STRIP), np.float32)
-        strip[row[a:b], column[a:b] - lo] = 1
-        both += strip @ strip.T
-    both = np.rint(both).astype(np.int64)
-    linked = config.den * both >= config.num * (size[:, None] + size[None, :] - both)
-    linked &= component[:, None] != component[None, :]
-    label, out = component.copy(), []
-    for i in np.flatnonzero(linked.any(axis=1)):
-        for j in np.flatnonzero(linked[i] & (label != label[i])):
-            if label[j] != label[i]:
-                out.append((int(i), int(j)))
-                label[label == label[j]] = label[i]
-    return out
+    return np.packbits((np.bincount((values & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)).tobytes()
+
+
+def possible_pairs(sketches: list[bytes], size: np.ndarray, component: np.ndarray, config: JaccardConfig) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs i < j of different components that sizes and sketches do not rule out."""
+    bits = np.unpackbits(np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), -1), axis=1).astype(np.float32)
+    ones = bits.sum(axis=1)
+    found = []
+    for lo in range(0, len(bits), BLOCK):
+        rows = slice(lo, lo + BLOCK)
+        apart = ones[rows, None] + ones[None, :] - 2 * (bits[rows] @ bits.T)
+        total = size[rows, None] + size[None, :]
+        ok = np.rint(apart).astype(np.int64) * (config.num + config.den) <= total * (config.den - config.num)
+        ok &= config.den * np.minimum(size[rows, None], size[None, :]) >= config.num * np.maximum(size[rows, None], size[None, :])
+        ok &= component[rows, None] != component[None, :]
+        i, j = np.nonzero(ok)
+        found.append(np.stack([i + lo, j]))
+    i, j = np.concatenate(found, axis=1)
+    return i[i < j], j[i < j]
 
 
 def across(members: DataFrame, sets: DataFrame, config: JaccardConfig) -> DataFrame:
     """Links (a, b) between components of a family; members: node, family, component.
 
+    Blocks hold sketches, not sets: only pairs that these cannot rule out are
+    verified on the whole sets.
+
     A family is what split lists still hold together. Small families are compared
     whole; a large one is dealt into blocks, and two blocks meet unless both are
     parts of one component, so a component of any size costs only what lies outside it.
@@ -297,17 +296,19 @@ def across(members: DataFrame, sets: DataFrame, config: JaccardConfig) -> DataFr
         out = []
         node, fam, part = (table.column(c).to_numpy() for c in ("node", "family", "component"))
         key = np.stack([fam, table.column("i").to_numpy(), table.column("j").to_numpy()])
-        items = table.column("items")
+        size, sketch = table.column("n").to_numpy(), table.column("sketch")
         _, which = np.unique(key, axis=1, return_inverse=True)
         which = which.ravel()
         for g in range(int(which.max(initial=-1)) + 1):
             at = np.flatnonzero(which == g)
             if len(at) > 1:
-                pairs = links_across([np.frombuffer(items[int(k)].as_py(), np.uint64) for k in at], part[at], config)
-                out += [(int(node[at[x]]), int(node[at[y]])) for x, y in pairs]
-        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+                i, j = possible_pairs([sketch[int(k)].as_py() for k in at], size[at], part[at], config)
+                out.append(np.sort(np.stack([node[at[i]], node[at[j]]]), axis=0))
+        a, b = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+        return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
-    return sets.join(units, "node").groupBy("unit").applyInArrow(unit, "a long, b long")
+    found = sets.select("node", "n", "sketch").join(units, "node").groupBy("unit").applyInArrow(unit, "a long, b long")
+    return verify(materialize(found.distinct(), "jaccard-pairs"), sets, config)
 
 
 def jaccard_groups(docs: DataFrame, config: JaccardConfig = JaccardConfig()) -> DataFrame:
@@ -331,10 +332,13 @@ def jaccard_groups(docs: DataFrame, config: JaccardConfig = JaccardConfig()) ->
 
     def run(batches):
         for batch in batches:
-            items = [s.tobytes() for _, _, sets in _sets(batch, config) for s in sets]
-            yield pa.record_batch({"node": batch.column("node"), "items": pa.array(items, pa.binary())})
+            found = [s for _, _, sets in _sets(batch, config) for s in sets]
+            yield pa.record_batch({
+                "node": batch.column("node"), "n": pa.array([len(s) for s in found], pa.int64()),
+                "sketch": pa.array([parity_sketch(s) for s in found], pa.binary()), "items": pa.array([s.tobytes() for s in found], pa.binary()),
+            })
 
-    sets = chosen.mapInArrow(run, "node long, items binary")
+    sets = chosen.mapInArrow(run, "node long, n long, sketch binary, items binary")
     if rows.groupBy("doc_id").count().where("count > 1").isEmpty():
         sets = materialize(sets, "jaccard-sets")
     else:
