@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from .bwt import Shard, merge, positions
 from .common import materialize, mix, prefix_hash, read_table, small_batches, span_hash, text_buffers
 
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
@@ -48,8 +48,8 @@ class RepeatConfig:
     #: A phrase ends behind about one in so many 8-byte contexts.
     phrase: int = 32
     #: Bytes of segments that one bucket and one shard aim at.
-    bucket_bytes: int = 6 << 20
-    shard_bytes: int = 2 << 20
+    bucket_bytes: int = 3 << 20
+    shard_bytes: int = 1 << 20
     #: Occurrences from which on a gram's windows are compared one by one.
     hot: int = 20_000
 
@@ -149,7 +149,7 @@ def matched_windows(segments: list[bytes], counts: np.ndarray, config: RepeatCon
         key = span_hash(prefix, start, lead_end) + np.uint64(3) * span_hash(prefix, tail_start, start + length)
         key += (lead_end - start).astype(np.uint64) * _ODD[1] + (start + length - tail_start).astype(np.uint64) * _ODD[2]
         w_hash.append(mix(key))
-        w_first.append(np.where(inside, one + base, 0))
+        w_first.append(np.where(inside, one + base, 0).astype(np.int32))
         w_depth.append(np.where(inside, two - one, -1).astype(np.int32))
         base += len(borders)
     key, first, depth = (np.concatenate(x) for x in (w_hash, w_first, w_depth))
@@ -221,26 +221,33 @@ def repeated_bytes(docs: DataFrame, config: RepeatConfig = RepeatConfig()) -> Da
     again = occurs.join(often, "gram").select("key", F.struct("first", "last", "gram", (F.col("n") > config.hot).alias("hot")).alias("run"))
     by_text = again.groupBy("key").agg(F.collect_set("run").alias("runs"))
 
+    kinds = [pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
+    names = ["gram", "hot", "digest", "segment", "key", "first"]
+
+    def send(out):
+        cols = list(zip(*out, strict=True)) or [()] * len(kinds)
+        return pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+
     def cut(batches):
         sent: set[bytes] = set()
         for batch in batches:
             out: list[tuple] = []
             for key, text, found in zip(batch.column("key"), batch.column("text"), batch.column("runs"), strict=True):
                 data, key = text.as_py().encode(), key.as_py()
-                for run in found.as_py():
-                    segment = data[run["first"] : run["last"] + config.length]
+                for run in found:
+                    gram, first, last, hot = (run[k].as_py() for k in ("gram", "first", "last", "hot"))
+                    segment = data[first : last + config.length]
                     digest = hashlib.blake2b(segment, digest_size=16).digest()
                     new = digest not in sent
                     if new:
                         if len(sent) >= 500_000:
                             sent.clear()
                         sent.add(digest)
-                    out.append((run["gram"], run["hot"], digest, segment if new else None, key, run["first"]))
-            for lo in range(0, len(out), 4096):
-                cols = list(zip(*out[lo : lo + 4096], strict=True))
-                kinds = [pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
-                names = ["gram", "hot", "digest", "segment", "key", "first"]
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+                    out.append((gram, hot, digest, segment if new else None, key, first))
+                    if len(out) >= 4096:
+                        yield send(out)
+                        out = []
+            yield send(out)
 
     joined = texts.join(by_text, "key").select("key", "text", "runs")
     parts = materialize(joined.mapInArrow(cut, "gram long, hot boolean, digest binary, segment binary, key binary, first long"), "segments")
