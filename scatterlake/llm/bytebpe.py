@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 from .common import read_table, small_batches
 
 #: White space that a split at single spaces could tear apart.
+PLAIN_MARKS = frozenset(".,;:!?)")
 _JOINED = re.compile(r"\s \s|\s\Z")
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 800_000  # of each of a worker's two caches (about 150 MB)
 
 
 class BytePairVocabulary:
@@ -45,7 +46,8 @@ class BytePairVocabulary:
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.longest = max(map(len, self.ranks))
         self._made: dict[int, tuple[int, int] | None] = {}
-        self._apart: dict[tuple[int, int], bool] = {}
+        self._apart: dict[int, bool] = {}
+        self._begins: dict[bytes, int] = {}
 
     def made_of(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes ``token`` out of its own bytes.
@@ -75,7 +77,7 @@ class BytePairVocabulary:
         that met there stays apart only if its own merge ranks after the merge
         that used up one of the two. Equal ranks go to the one further left.
         """
-        key = (left, right)
+        key = left << 32 | right
         known = self._apart.get(key)
         if known is not None:
             return known
@@ -94,12 +96,60 @@ class BytePairVocabulary:
                 before, a = a, self.made_of(a)[1]
             else:
                 before, b = b + 1, self.made_of(b)[0]
-        if len(self._apart) > 400_000:
+        if len(self._apart) > 1_000_000:
             self._apart.clear()
         self._apart[key] = result
         return result
 
 
+    def last_tokens(self, data: bytes, last: list[int], begin: int) -> None:
+        """Fill ``last[begin:]``, -1 so far: the token that stands last in the encoding of each prefix.
+
+        Goes forwards, from each prefix whose last token is known along the tokens
+        that begin there; one found for a prefix is the only valid one.
+        """
+        known, apart, check, n = self.table().get, self._apart.get, self.stay_apart, len(data)
+        for start in range(begin - self.longest if begin > self.longest else 0, n):
+            before = last[start] << 32
+            if before < 0:
+                raise ValueError(f"no token for byte {data[start - 1]}")
+            for end in range(start + 1, n + 1):
+                token = known(data[start:end])
+                if token is None:
+                    break
+                if token >= 0 and last[end] < 0:
+                    if start:
+                        fits = apart(before | token)
+                        if fits is None:
+                            fits = check(before >> 32, token)
+                        if not fits:
+                            continue
+                    last[end] = token
+        if n >= begin and last[n] < 0:
+            raise ValueError(f"no token for byte {data[n - 1]}")
+
+    def table(self) -> dict[bytes, int]:
+        """Rank of each token that merging can make, and -1 for what only begins such tokens."""
+        if not self._begins:
+            made = {t: r for t, r in self.ranks.items() if self.made_of(r)}
+            self._begins = dict.fromkeys((t[:k] for t in made for k in range(1, len(t))), -1) | made
+        return self._begins
+
+    def walk_back(self, last: list[int]) -> list[int]:
+        """The ids of the whole, from its last token to its first, put in order."""
+        out, end, tokens = [], len(last) - 1, self.tokens
+        while end:
+            out.append(last[end])
+            end -= len(tokens[last[end]])
+        out.reverse()
+        return out
+
+    def encode(self, data: bytes) -> list[int]:
+        last = [0] + [-1] * len(data)
+        self.last_tokens(data, last, 1)
+        return self.walk_back(last)
+
+
 class PrefixEncoder:
     """The encoding of a growing or edited byte string, by its prefixes' last tokens."""
 
@@ -110,9 +160,8 @@ class PrefixEncoder:
     def append(self, more: bytes) -> None:
         start = len(self.data)
         self.data += more
-        self.last += [0] * len(more)
-        for end in range(start + 1, len(self.data) + 1):
-            self.last[end] = self._final(end)
+        self.last += [-1] * len(more)
+        self.vocabulary.last_tokens(self.data, self.last, start + 1)
 
     def replace(self, start: int, end: int, new: bytes) -> int:
         """Put ``new`` in place of [start, end); returns the prefixes computed again.
@@ -122,10 +171,10 @@ class PrefixEncoder:
         """
         data = self.data[:start] + new + self.data[end:]
         shift, old = len(new) - (end - start), self.last
-        self.last = old[: start + 1] + [0] * (len(data) - start)
+        self.last = old[: start + 1] + [-1] * (len(data) - start)
         self.data, same, done = data, 0, 0
         for at in range(start + 1, len(data) + 1):
-            self.last[at] = self._final(at)
+            self.vocabulary.last_tokens(data[:at], self.last, at)
             done += 1
             same = same + 1 if at - start > len(new) and self.last[at] == old[at - shift] else 0
             if same >= self.vocabulary.longest and at - start > len(new) + self.vocabulary.longest:
@@ -133,20 +182,8 @@ class PrefixEncoder:
                 break
         return done
 
-    def _final(self, end: int) -> int:
-        v, data, last = self.vocabulary, self.data, self.last
-        for start in range(max(0, end - v.longest), end):
-            token = v.ranks.get(data[start:end])
-            if token is not None and v.made_of(token) and (start == 0 or v.stay_apart(last[start], token)):
-                return token
-        raise ValueError(f"no token for byte {data[end - 1]}")
-
     def ids(self) -> list[int]:
-        out, end = [], len(self.data)
-        while end:
-            out.append(self.last[end])
-            end -= len(self.vocabulary.tokens[self.last[end]])
-        return out[::-1]
+        return self.vocabulary.walk_back(self.last)
 
 
 class _Cache(dict):
@@ -170,13 +207,20 @@ class ByteBPE:
         self.vocabulary = BytePairVocabulary(rank_file)
         self.split = regex.compile(pattern).findall
         self.piece = _Cache(self._encode_piece)
-        self.spaced = _Cache(lambda chunk: b"".join(map(self.piece.__getitem__, self.split(" " + chunk))))
+        self.spaced = _Cache(self._encode_spaced)
 
     def _encode_piece(self, piece: str) -> bytes:
         data = piece.encode()
         whole = self.vocabulary.ranks.get(data)
-        ids = [whole] if whole is not None else PrefixEncoder(self.vocabulary, data).ids()
-        return array("I", ids).tobytes()
+        return array("I", [whole] if whole is not None else self.vocabulary.encode(data)).tobytes()
+
+    def _encode_spaced(self, chunk: str) -> bytes:
+        """A chunk behind a space; words, and words with one mark behind them, need no pattern."""
+        if chunk.isalpha():
+            return self.piece[" " + chunk]
+        if chunk[-1:] in PLAIN_MARKS and chunk[:-1].isalpha():
+            return self.piece[" " + chunk[:-1]] + self.piece[chunk[-1]]
+        return b"".join(map(self.piece.__getitem__, self.split(" " + chunk)))
 
     def encode(self, text: str) -> bytes:
         if not text:
