@@ -390,3 +390,23 @@ def keep_first_of_groups(docs: DataFrame, config: JaccardConfig = JaccardConfig(
 
 def jaccard_query(spark, sf_dir: str) -> DataFrame:
     return jaccard_groups(read_table(spark, sf_dir, "documents"))
+
+
+JACCARD_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS items FROM w),
+n AS (SELECT doc_id, items, CAST(len(items) AS BIGINT) AS n FROM s),
+e AS (SELECT doc_id, n, unnest(items) AS item FROM n),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.item = b.item AND a.doc_id <> b.doc_id AND 10 * a.n >= 9 * b.n AND 10 * b.n >= 9 * a.n
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+walk(a, b) AS (SELECT doc_id, doc_id FROM n UNION SELECT walk.a, links.b FROM walk JOIN links ON links.a = walk.b),
+part AS (SELECT a AS doc_id, min(b) AS component_id FROM walk GROUP BY a)
+SELECT n.doc_id, n.n AS n_shingles, part.component_id,
+  CASE WHEN n.n > 0 THEN min(n.doc_id) OVER (PARTITION BY items) ELSE n.doc_id END AS class_id
+FROM n JOIN part ON n.doc_id = part.doc_id
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bytebpe import byte_bpe_query
-from .jaccard import jaccard_query
+from .jaccard import JACCARD_SQL, jaccard_query
 from .langid import langid_query
 from .lmscore import lm_query
 from .metricjoin import METRIC_JOIN_SQL, metric_join_query
@@ -34,4 +34,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_metric_join": METRIC_JOIN_SQL}
+    return {"op6_metric_join": METRIC_JOIN_SQL, "op8_jaccard_join": JACCARD_SQL}
