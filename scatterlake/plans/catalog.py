@@ -32,7 +32,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read(spark, f"{sf_dir}/{name}.parquet")
 
 
-def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+def _rounded(df: DataFrame, digits: int = 7) -> DataFrame:
     return df.select(*[F.round(c, digits).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
 
 
@@ -201,7 +201,7 @@ b AS (SELECT d.*, CAST(len(list_filter(CASE WHEN len(e) = 2 THEN e[2:2] ELSE e[2
 
 
 def _means(table: str, x: str, y: str, bins: int, name_x: str, name_y: str) -> str:
-    return f"WITH {_binned(table, x, y, bins)} SELECT bin, ROUND(AVG(x), 6) AS {name_x}, ROUND(AVG(y), 6) AS {name_y} FROM b GROUP BY bin"
+    return f"WITH {_binned(table, x, y, bins)} SELECT bin, ROUND(AVG(x), 7) AS {name_x}, ROUND(AVG(y), 7) AS {name_y} FROM b GROUP BY bin"
 
 
 def _inverse(k: int, source: str) -> str:
@@ -255,7 +255,7 @@ m AS (SELECT {matrix}, {right} FROM w),
 t AS (SELECT {theta} FROM m, inv),
 p AS (SELECT bin, AVG(x) AS x, AVG(y) AS y, {means} FROM b GROUP BY bin),
 o AS (SELECT {means} FROM b)
-SELECT bin, ROUND(p.x, 6) AS {PRICE}, ROUND(p.y + {shift}, 6) AS {QTY} FROM p, o, t"""
+SELECT bin, ROUND(p.x, 7) AS {PRICE}, ROUND(p.y + {shift}, 7) AS {QTY} FROM p, o, t"""
 
 
 def _absorbed(group: str, bins: int) -> str:
@@ -275,11 +275,11 @@ m AS (SELECT {matrix}, {right} FROM w),
 t AS (SELECT {theta} FROM m, inv),
 p AS (SELECT bin, AVG(x) AS x FROM b GROUP BY bin),
 o AS (SELECT AVG(y) AS y, {share} FROM b)
-SELECT p.bin, ROUND(p.x, 6) AS {PRICE}, ROUND({level} + {own}, 6) AS {QTY} FROM p, o, t"""
+SELECT p.bin, ROUND(p.x, 7) AS {PRICE}, ROUND({level} + {own}, 7) AS {QTY} FROM p, o, t"""
 
 
 def _interval(center: str, se: str, z: float) -> str:
-    return f"ROUND({center} - {z!r} * {se}, 6) AS ci_lower, ROUND({center} + {z!r} * {se}, 6) AS ci_upper, ROUND({se}, 6) AS ci_std_error"
+    return f"ROUND({center} - {z!r} * {se}, 7) AS ci_lower, ROUND({center} + {z!r} * {se}, 7) AS ci_upper, ROUND({se}, 7) AS ci_std_error"
 
 
 Z95, Z90 = 1.9599639845400536, 1.6448536269514715  # fixed values: normal quantiles of 0.975 and 0.95
@@ -313,7 +313,7 @@ pm AS (SELECT bin, AVG(x) AS x, AVG(y) AS y FROM b GROUP BY bin),
 p AS (SELECT bin, x, y, {cols} FROM pm, q),
 l AS (SELECT p.*, {lead} FROM p, inv),
 f AS (SELECT bin, x, y, {center} AS mid, sqrt(({quad}) * n / (n - {k})) AS se FROM l, c, t)
-SELECT bin, ROUND(x, 6) AS {PRICE}, ROUND(y, 6) AS {QTY}, {_interval("mid", "se", Z95)} FROM f"""
+SELECT bin, ROUND(x, 7) AS {PRICE}, ROUND(y, 7) AS {QTY}, {_interval("mid", "se", Z95)} FROM f"""
 
 
 def _poly_sql(degree: int) -> str:
@@ -339,7 +339,7 @@ p AS (SELECT bin, COUNT(*) AS n, AVG(x) AS x, AVG(y) AS y FROM b GROUP BY bin),
 v AS (SELECT b.bin, SUM((b.y - p.y) * (b.y - p.y)) AS uu FROM b JOIN p ON b.bin = p.bin GROUP BY b.bin),
 t AS (SELECT SUM(n) AS total FROM p),
 f AS (SELECT p.bin, p.x, p.y, sqrt(uu / (p.n * p.n) * total / (total - 10)) AS se FROM p JOIN v ON p.bin = v.bin, t)
-SELECT bin, ROUND(x, 6) AS {PRICE}, ROUND(y, 6) AS {QTY}, {_interval("y", "se", Z95)} FROM f"""
+SELECT bin, ROUND(x, 7) AS {PRICE}, ROUND(y, 7) AS {QTY}, {_interval("y", "se", Z95)} FROM f"""
 POINTWISE_CONTROL_SQL = f"""WITH {_binned("lineitem", PRICE, QTY, 10, ", CAST(l_discount AS DOUBLE) AS z")},
 p AS (SELECT bin, COUNT(*) AS n, AVG(x) AS x, AVG(y) AS y, AVG(z) AS z FROM b GROUP BY bin),
 o AS (SELECT COUNT(*) AS n, AVG(z) AS z FROM b),
@@ -351,7 +351,7 @@ c AS (SELECT bin, SUM(e * e) AS ee, SUM(e * e * w) AS ew FROM r GROUP BY bin),
 f AS (SELECT p.bin, p.x, p.y + g * (o.z - p.z) AS mid,
   sqrt(o.n / (o.n - 11.0) * (ee / (p.n * p.n) + 2 * (o.z - p.z) / s * ew / p.n + (o.z - p.z) * (o.z - p.z) / (s * s) * all_ww)) AS se
   FROM p JOIN c ON p.bin = c.bin, o, g, a)
-SELECT bin, ROUND(x, 6) AS {PRICE}, ROUND(mid, 6) AS {QTY}, {_interval("mid", "se", Z90)} FROM f"""
+SELECT bin, ROUND(x, 7) AS {PRICE}, ROUND(mid, 7) AS {QTY}, {_interval("mid", "se", Z90)} FROM f"""
 _ROT = _rot_sql([])
 ROT_SCATTER_SQL = f"""WITH j AS (SELECT bins FROM ({_ROT}) AS inner_rot),
 d AS (SELECT CAST({PRICE} AS DOUBLE) AS x, {SIGNAL} AS y FROM lineitem),
@@ -359,7 +359,7 @@ s AS (SELECT list(x ORDER BY x) AS l, COUNT(*) AS n FROM d),
 p AS (SELECT i, (i * (n - 1)) // bins AS q, (i * (n - 1)) % bins AS rest, bins, l FROM s, j, range(10000) AS v(i) WHERE i <= bins),
 e AS (SELECT list_sort(list_distinct(list(CASE WHEN rest = 0 THEN l[q + 1] ELSE l[q + 1] + (l[q + 2] - l[q + 1]) * (CAST(rest AS DOUBLE) / bins) END))) AS e FROM p),
 b AS (SELECT x, y, CAST(len(list_filter(e[2:len(e)-1], lambda v: x >= v)) AS INTEGER) AS bin FROM d, e)
-SELECT bin, ROUND(AVG(x), 6) AS {PRICE}, ROUND(AVG(y), 6) AS signal FROM b GROUP BY bin"""
+SELECT bin, ROUND(AVG(x), 7) AS {PRICE}, ROUND(AVG(y), 7) AS signal FROM b GROUP BY bin"""
 
 ORACLE_SQL: dict[str, str] = {
     "bin_means": _means("lineitem", PRICE, QTY, 10, PRICE, QTY),
@@ -367,7 +367,7 @@ ORACLE_SQL: dict[str, str] = {
     "bin_means_dedup": _means("lineitem", "l_discount", QTY, 20, "l_discount", QTY),
     "bin_means_dirty": _means("lineitem", BAD, QTY, 7, "bad", QTY),
     "bin_two_valued": _means("labels JOIN documents USING (doc_id)", "quality", "n_chars", 10, "quality", "n_chars"),
-    "bin_edges": f"{EDGE_SQL} SELECT CAST(i - 1 AS INTEGER) AS i, ROUND(e[i], 6) AS edge FROM q, range(1, 12) AS v(i) WHERE i <= len(e)",
+    "bin_edges": f"{EDGE_SQL} SELECT CAST(i - 1 AS INTEGER) AS i, ROUND(e[i], 7) AS edge FROM q, range(1, 12) AS v(i) WHERE i <= len(e)",
     "bin_counts": f"{EDGE_SQL} SELECT bin, COUNT(*) AS n FROM b GROUP BY bin",
     "clean_rows": f"""WITH {_binned("lineitem", BAD, QTY, 2, ", l_returnflag")}
 SELECT l_returnflag, COUNT(*) AS n, ROUND(SUM(x), 2) AS sum_x FROM d GROUP BY l_returnflag""",
@@ -403,6 +403,6 @@ SELECT COUNT(DISTINCT c) AS components, COUNT(*) - COUNT(DISTINCT c) AS rank FRO
     "poly_line_3": _poly_sql(3),
     "one_hot": """SELECT CAST(SUM(CAST(l_returnflag = 'N' AS INT)) AS DOUBLE) AS sum_0, CAST(SUM(CAST(l_returnflag = 'R' AS INT)) AS DOUBLE) AS sum_1, COUNT(*) AS n FROM lineitem""",
     "one_hot_names": """SELECT v AS level, '__ctrl_l_returnflag_' || v || '_' || left(md5('l_returnflag=''' || v || ''''), 8) AS name FROM (VALUES ('N'), ('R')) AS t(v)""",
-    "figure_ranges": """SELECT ROUND(MIN(o_totalprice) - 0.06872 * (MAX(o_totalprice) - MIN(o_totalprice)), 6) AS low,
-ROUND(MAX(o_totalprice) + 0.06872 * (MAX(o_totalprice) - MIN(o_totalprice)), 6) AS high FROM orders""",
+    "figure_ranges": """SELECT ROUND(MIN(o_totalprice) - 0.06872 * (MAX(o_totalprice) - MIN(o_totalprice)), 7) AS low,
+ROUND(MAX(o_totalprice) + 0.06872 * (MAX(o_totalprice) - MIN(o_totalprice)), 7) AS high FROM orders""",
 }
