@@ -8,7 +8,8 @@ o(n, m) elements and differ in at most d(n, m).
 * Heavy sets: inverted lists are scanned. The lists are keyed by blocks of
   elements, not by single ones: hashing deals the elements of a set into
   d + 1 blocks, so partners agree on a whole block at least (pigeonhole), and a
-  passage that many documents share does not make a list long.
+  passage that many documents share does not make a list long. Empty blocks are
+  listed only for sets with so many of them that partners may share no other.
 * The boundary is the one of least cost over the histogram of sizes.
 
 Equal sets collapse to one class first, so groups of copies cost one row.
@@ -65,6 +66,20 @@ class JaccardConfig:
         """Most elements in which linked sets of this total size differ."""
         return total * (self.den - self.num) // (self.num + self.den)
 
+    def links_only_equal(self, n: int) -> bool:
+        """Whether a set of this size links with no other set than an equal one: one more element is too many."""
+        return n * (self.den - self.num) < self.num
+
+    def blocks(self, hi: int) -> int:
+        """Blocks into which sets of at most this size are dealt: one more than they may differ in.
+
+        Where a block has few elements, some blocks are empty by chance; an eighth
+        more of them keeps the sets rare that must be listed by empty blocks.
+        """
+        most = self.difference(2 * hi)
+        few = self.num + self.den < 16 * (self.den - self.num)
+        return most + 1 + (-(-most // 8) if few else 0)
+
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, words: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each document."""
@@ -110,11 +125,11 @@ def heavy_rows(n: int, config: JaccardConfig) -> list[tuple[int, int]]:
     """(class, blocks) pairs in whose lists a set of this size stands."""
     own, hi = size_class(n)
     top, top_hi = size_class(config.den * n // config.num)
-    out = [(own, config.difference(2 * hi) + 1)]
+    out = [(own, config.blocks(hi))]
     while own < top:
         own += 1
         hi = hi * 7 // 5
-        out.append((own, config.difference(2 * hi) + 1))
+        out.append((own, config.blocks(hi)))
     return out
 
 
@@ -161,7 +176,12 @@ def signatures(values: np.ndarray, light: int, config: JaccardConfig) -> np.ndar
             edge = np.flatnonzero(np.diff(block, prepend=-1))
             sums = np.zeros(blocks, np.uint64)
             sums[block[edge]] = np.add.reduceat(own, edge)
-            out.append(mix(sums + mix(np.arange(blocks, dtype=np.uint64) + np.uint64((c + 1) << 40))))
+            keys = mix(sums + mix(np.arange(blocks, dtype=np.uint64) + np.uint64((c + 1) << 40)))
+            # Partners differ in so many blocks at most. With more blocks that have elements,
+            # they agree on one of those, and the long lists of empty blocks are not needed.
+            if len(edge) > config.difference(n + config.den * n // config.num):
+                keys = keys[block[edge]]
+            out.append(keys)
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -202,7 +222,7 @@ def listed(docs: DataFrame, light: int, config: JaccardConfig) -> DataFrame:
                 sig, who = [], []
                 for s in sets:
                     key = class_keys(s)
-                    if len(s) < 9 or key in seen:  # smaller sets link only with equal ones
+                    if config.links_only_equal(len(s)) or key in seen:
                         continue
                     if len(seen) >= _SEEN:
                         seen.clear()
