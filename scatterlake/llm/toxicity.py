@@ -4,7 +4,9 @@ A document is the average of the embeddings of its hashed character n-grams
 (word boundaries marked), classified by a linear softmax; embeddings and softmax
 are trained jointly in numpy, so misspellings share n-gram vectors with the
 words they come from. Training takes a bounded sample of the labelled rows
-(``max_toxic`` and ``max_clean``, drawn by hash); scoring is one pass over whole
+(``max_toxic`` and ``max_clean``, drawn by hash) and whole texts of these: the
+executors count the documents of each slot, then the shares of the chosen slots
+in each text, and only these reach the driver. Scoring is one pass over whole
 texts in which the embeddings are folded with the softmax weights to one number
 per n-gram slot.
 
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, pieces, read_table, small_batches, sums_by_document, text_buffers
+from .common import discard, fold, materialize, pieces, read_table, small_batches, sums_by_document, text_buffers, written
 from .subword import letters, ngram_slots
 
 
@@ -42,8 +44,6 @@ class ToxicityConfig:
     #: Most labelled rows of a class that training reads (the documented bound).
     max_toxic: int = 3000
     max_clean: int = 6000
-    #: Most bytes of one training text; scoring always reads whole texts.
-    train_bytes: int = 4000
     threshold: float = 0.7
     seed: int = 7
 
@@ -65,33 +65,52 @@ class ToxicityModel:
         return 1.0 / (1.0 + np.exp(-z))
 
 
-def features(text: str, config: ToxicityConfig) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct slots and their shares of all n-grams of one text."""
-    raw = np.frombuffer(text.encode(), np.uint8)
+def features(raw: np.ndarray, config: ToxicityConfig) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct slots and their shares of all n-grams of one text, given as UTF-8."""
     grams = ngram_slots(letters(raw), np.array([0, len(raw)]), config.sizes, config.bits)
     slots, counts = np.unique(np.concatenate([s[ok] for s, ok in grams]), return_counts=True)
     return slots, counts / max(1, counts.sum())
 
 
-def train(texts: list[str], labels: list[int], config: ToxicityConfig = ToxicityConfig()) -> ToxicityModel:
-    """Joint training of embeddings and softmax by Adam on mini-batches.
+def choose(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int, config: ToxicityConfig) -> np.ndarray:
+    """The ``max_slots`` slots whose document rates differ most between the classes, given documents per slot.
 
-    The ``max_slots`` slots whose document rates differ most between the classes
-    are trained; the others keep a zero vector (rare ones could only be learned by heart).
+    The others keep a zero vector (rare ones could only be learned by heart).
     """
-    rng = np.random.default_rng(config.seed)
+    gap = np.abs(toxic / n_toxic - clean / n_clean)
+    gap[toxic + clean < min(config.min_docs, max(1, (n_toxic + n_clean) // 50))] = 0
+    return np.sort(np.argsort(-gap, kind="stable")[: config.max_slots])
+
+
+def columns(kept: np.ndarray, bag: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The part of a bag that is in the chosen slots, with their positions for slots."""
+    slots, share = bag
+    at = np.minimum(np.searchsorted(kept, slots), len(kept) - 1)
+    ok = kept[at] == slots
+    return at[ok], share[ok]
+
+
+def constant(rate: float, config: ToxicityConfig) -> ToxicityModel:
+    """The model of labels of one class, or of none."""
+    return ToxicityModel(config, np.zeros(1 << config.bits, np.float32), -60.0 if rate == 0 else 60.0)
+
+
+def train(texts: list[str], labels: list[int], config: ToxicityConfig = ToxicityConfig()) -> ToxicityModel:
+    """Choice of slots and training on texts that are at hand."""
     size, y = 1 << config.bits, np.asarray(labels, dtype=np.int64)
     rate = float(y.mean()) if len(y) else 0.0
     if rate in (0.0, 1.0):
-        return ToxicityModel(config, np.zeros(size, np.float32), -60.0 if rate == 0 else 60.0)
-    bags = [features(t, config) for t in texts]
+        return constant(rate, config)
+    bags = [features(np.frombuffer(t.encode(), np.uint8), config) for t in texts]
     toxic, clean = (np.bincount(np.concatenate([bags[i][0] for i in np.flatnonzero(y == k)]), minlength=size) for k in (1, 0))
-    gap = np.abs(toxic / (y == 1).sum() - clean / (y == 0).sum())
-    gap[toxic + clean < min(config.min_docs, max(1, len(y) // 50))] = 0
-    kept = np.sort(np.argsort(-gap, kind="stable")[: config.max_slots])
-    column = np.full(size, -1)
-    column[kept] = np.arange(len(kept))
-    bags = [(column[s][column[s] >= 0], p[column[s] >= 0]) for s, p in bags]
+    kept = choose(toxic, clean, int((y == 1).sum()), int((y == 0).sum()), config)
+    return train_bags([columns(kept, x) for x in bags], y, kept, config)
+
+
+def train_bags(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, kept: np.ndarray, config: ToxicityConfig) -> ToxicityModel:
+    """Joint training of embeddings and softmax by Adam on mini-batches of bags over the slots ``kept``."""
+    rng = np.random.default_rng(config.seed)
+    size = 1 << config.bits
     emb = rng.normal(0, 0.1, (len(kept), config.dim))
     weight = rng.normal(0, 0.5, (config.dim, 2))
     bias = np.zeros(2)
@@ -132,10 +151,54 @@ def fit(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityCon
     sample = rows.where("toxic = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(config.max_toxic).unionByName(
         rows.where("toxic = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(config.max_clean)
     )
-    text = F.substring(F.coalesce("text", F.lit("")), 1, config.train_bytes)
-    got = docs.select("doc_id", text.alias("text")).join(F.broadcast(sample), "doc_id").select("text", "toxic").collect()
-    got.sort(key=lambda r: (r["text"], r["toxic"]))
-    return train([r["text"] for r in got], [int(r["toxic"]) for r in got], config)
+    before = written()
+    texts = materialize(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"), "toxicity-texts")
+    model = _fit_texts(texts, config)
+    discard(docs.sparkSession, [x for x in written() if x not in before])
+    return model
+
+
+def _fit_texts(texts: DataFrame, config: ToxicityConfig) -> ToxicityModel:
+    """Train on whole texts of rows (doc_id, text, toxic); texts stay on the executors."""
+    spark, size = texts.sparkSession, 1 << config.bits
+    small_batches(spark)
+    n = {int(r["toxic"]): r["count"] for r in texts.groupBy("toxic").count().collect()}
+    if not n.get(0) or not n.get(1):
+        return constant(1.0 if n.get(1) else 0.0, config)
+
+    def bags(batch):
+        raw, offsets = text_buffers(batch.column("text"))
+        for lo, hi in zip(offsets[:-1], offsets[1:], strict=True):
+            yield features(raw[lo:hi], config)
+
+    def count(batches):
+        found = np.zeros((2, size), np.int64)
+        for batch in batches:
+            for toxic, (slots, _) in zip(batch.column("toxic").to_pylist(), bags(batch), strict=True):
+                found[int(toxic), slots] += 1
+        at = np.flatnonzero(found.any(axis=0))
+        yield pa.record_batch({"slot": pa.array(at), "clean": pa.array(found[0, at]), "toxic": pa.array(found[1, at])})
+
+    rows = texts.mapInArrow(count, "slot long, clean long, toxic long").groupBy("slot").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    # slots of fewer documents are not chosen before others
+    rows = rows.where(F.col("clean") + F.col("toxic") >= min(config.min_docs, max(1, sum(n.values()) // 50))).toArrow()
+    found = np.zeros((2, size), np.int64)
+    for k, name in enumerate(("clean", "toxic")):
+        found[k, rows.column("slot").to_numpy()] = rows.column(name).to_numpy()
+    kept = choose(found[1], found[0], n[1], n[0], config)
+
+    def shares(batches):
+        for batch in batches:
+            out = [columns(kept, x) for x in bags(batch)]
+            yield pa.record_batch({
+                "doc_id": batch.column("doc_id").cast(pa.int64()), "toxic": batch.column("toxic").cast(pa.int64()),
+                "at": pa.array([a.astype(np.int32).tobytes() for a, _ in out], pa.binary()), "share": pa.array([p.tobytes() for _, p in out], pa.binary()),
+            })
+
+    got = texts.mapInArrow(shares, "doc_id long, toxic long, at binary, share binary").toArrow().to_pylist()
+    got.sort(key=lambda r: (r["doc_id"], r["toxic"], r["at"], r["share"]))
+    found = [(np.frombuffer(r["at"], np.int32), np.frombuffer(r["share"], np.float64)) for r in got]
+    return train_bags(found, np.array([r["toxic"] for r in got]), kept, config)
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
