@@ -261,17 +261,47 @@ def _checked(small: DataFrame) -> DataFrame:
 
 
 def parity_sketch(values: np.ndarray) -> bytes:
-    """Parity of the number of elements in each of SKETCH_BITS hash buckets.
+    """Parity of the number of elements in each hash bucket: SKETCH_BITS of them, or doubled until a set has no more elements.
 
     One element more or less flips one bit, so two sets differ in at least as many
     elements as their sketches in bits: an exact lower bound, whatever collides.
     """
-    return np.packbits((np.bincount((values & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)).tobytes()
+    size = SKETCH_BITS
+    while size < len(values):
+        size *= 2
+    return np.packbits((np.bincount((values & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8)).tobytes()
+
+
+def folded(sketch: bytes, size: int) -> np.ndarray:
+    """The sketch of the same set in ``size`` bytes: buckets that fall together add their parities."""
+    return np.bitwise_xor.reduce(np.frombuffer(sketch, np.uint8).reshape(-1, size), axis=0)
+
+
+def may_link(p: bytes, q: bytes, n: int, m: int, config: JaccardConfig) -> bool:
+    """Whether sizes and sketches leave open that two sets are linked."""
+    if config.den * min(n, m) < config.num * max(n, m):
+        return False
+    size = min(len(p), len(q))
+    return int(np.bitwise_count(folded(p, size) ^ folded(q, size)).sum()) <= config.difference(n + m)
+
+
+def sketched(pairs: DataFrame, sets: DataFrame, config: JaccardConfig) -> DataFrame:
+    """The pairs (a, b) that sizes and sketches do not rule out."""
+    both = sets.select(F.col("node").alias("a"), F.col("n").alias("n"), F.col("sketch").alias("x")).join(_checked(pairs), "a")
+    both = both.join(sets.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("y")), "b")
+
+    def run(batches):
+        for batch in batches:
+            ok = [may_link(*row, config) for row in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "n", "m")), strict=True)]
+            yield pa.record_batch({"a": batch.column("a"), "b": batch.column("b")}).filter(pa.array(ok, pa.bool_()))
+
+    return both.select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def possible_pairs(sketches: list[bytes], size: np.ndarray, component: np.ndarray, config: JaccardConfig) -> tuple[np.ndarray, np.ndarray]:
     """Pairs i < j of different components that sizes and sketches do not rule out."""
-    bits = np.unpackbits(np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), -1), axis=1).astype(np.float32)
+    short = min(map(len, sketches))
+    bits = np.unpackbits(np.stack([folded(x, short) for x in sketches]), axis=1).astype(np.float32)
     ones = bits.sum(axis=1)
     found = []
     for lo in range(0, len(bits), BLOCK):
@@ -284,7 +314,11 @@ def possible_pairs(sketches: list[bytes], size: np.ndarray, component: np.ndarra
         i, j = np.nonzero(ok)
         found.append(np.stack([i + lo, j]))
     i, j = np.concatenate(found, axis=1)
-    return i[i < j], j[i < j]
+    i, j = i[i < j], j[i < j]
+    # pairs of larger sets, by all bits that both of them have
+    ok = [min(len(sketches[a]), len(sketches[b])) == short or may_link(sketches[a], sketches[b], int(size[a]), int(size[b]), config) for a, b in zip(i, j, strict=True)]
+    ok = np.array(ok, bool)
+    return i[ok], j[ok]
 
 
 def across(members: DataFrame, sets: DataFrame, config: JaccardConfig) -> DataFrame:
@@ -370,7 +404,7 @@ def jaccard_groups(docs: DataFrame, config: JaccardConfig = JaccardConfig()) ->
     ranked = ranked.withColumn("best", best).where(F.col("node") != F.col("best.id"))
     fits = (config.den * F.least("n", "best.size") >= config.num * F.greatest("n", "best.size"))
     first = ranked.where(fits).select(F.least("node", "best.id").alias("a"), F.greatest("node", "best.id").alias("b")).distinct()
-    first = materialize(first, "jaccard-pairs")
+    first = materialize(sketched(materialize(first, "jaccard-pairs"), sets, config), "jaccard-pairs")
     edges = materialize(verify(first, sets, config), "jaccard-links")
 
     # second round: across the components that a list still joins

@@ -84,3 +84,21 @@ def test_linked_sets_share_a_list_without_most_empty_blocks():
             assert len(np.intersect1d(x, y))
             short += len(x) < sum(k for _, k in heavy_rows(len(a), c))
     assert short
+
+
+def test_sketches_of_large_sets_rule_out_others_but_no_linked_pair():
+    import numpy as np
+    from scatterlake.llm.jaccard import may_link, parity_sketch, possible_pairs
+
+    rng, c = np.random.default_rng(5), JaccardConfig(words=5, num=4, den=5)
+    for n in (30, 1500, 2040, 9000):
+        base = np.unique(rng.integers(0, 2**63, n + n // 9, dtype=np.uint64))
+        sets = [rng.permutation(base)[:n] for _ in range(3)] + [rng.permutation(base)[: n + n // 9], rng.integers(0, 2**63, n, dtype=np.uint64)]
+        sketches, size = [parity_sketch(s) for s in sets], np.array([len(s) for s in sets])
+        found = set(zip(*(x.tolist() for x in possible_pairs(sketches, size, np.arange(5), c)), strict=True))
+        for i in range(5):
+            for j in range(i + 1, 5):
+                same = len(np.intersect1d(sets[i], sets[j]))
+                linked = c.den * same >= c.num * (size[i] + size[j] - same)
+                assert not linked or (i, j) in found and may_link(sketches[i], sketches[j], int(size[i]), int(size[j]), c)
+                assert j < 4 or (i, j) not in found
