@@ -1,22 +1,32 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax.
 
-A document is the average of the embeddings of its hashed character n-grams
-(word boundaries marked), classified by a linear softmax; embeddings and softmax
-are trained jointly in numpy, so misspellings share n-gram vectors with the
-words they come from. Training takes a bounded sample of the labelled rows
-(``max_toxic`` and ``max_clean``, drawn by hash) and whole texts of these: the
-executors count the documents of each slot, then the shares of the chosen slots
-in each text, and only these reach the driver. Scoring is one pass over whole
-texts in which the embeddings are folded with the softmax weights to one number
-per n-gram slot.
-
-Defined cases: null or empty text, or one without any n-gram, scores the
-training base rate; a null document id is scored and never trained on; with no
-labels of one class every score is the base rate (0.0 without any label).
+A document is the average of the embeddings of the hashed character n-grams of
+its words (word boundaries marked, rare n-grams weighted up, each distinct word
+counted once, so that a long text does not drown a word), classified by a linear
+softmax; embeddings and softmax are trained jointly in numpy, so misspellings
+share n-gram vectors with the words they come from. Every slot that ``min_docs``
+training documents have gets an embedding; the others keep a zero vector.
+
+Training takes a bounded sample of the labelled rows (``max_toxic`` and
+``max_clean``, drawn by hash) and whole texts of these. Executors count the
+documents of each slot and turn texts into bags; one task trains and returns
+only the folded model, so neither texts nor bags reach the driver. Five models
+that leave out a fifth of the rows each are averaged (they are linear), and the
+logits of what each left out calibrate the scores (isotonic regression). Scoring is one pass over whole texts in which the embeddings are
+folded with the softmax weights to one number per n-gram slot.
+
+Defined cases: null or empty text, or one without any letter, scores the
+training base rate; a null document id is scored and never trained on; repeated
+rows are scored each, and rows that share a sampled id are trained on up to the
+bounds; very long texts are one piece of their own and never cut; with no labels
+of one class every score is the base rate (0.0 without any label); other columns
+are ignored, or kept as they are by :func:`keep_clean`; a score of exactly the
+threshold is toxic.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,8 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, fold, materialize, pieces, read_table, small_batches, sums_by_document, text_buffers, written
-from .subword import letters, ngram_slots
+from .common import discard, fold, materialize, read_table, small_batches, written
+from .subword import words_of
 
 
 @dataclass(frozen=True)
@@ -33,14 +43,18 @@ class ToxicityConfig:
     sizes: tuple[int, ...] = (3, 4, 5, 6)
     bits: int = 19
     dim: int = 8
-    epochs: int = 8
-    least_steps: int = 300
-    rate: float = 0.03
-    batch: int = 128
-    decay: float = 1e-6
-    min_docs: int = 6
-    #: Slots that get an embedding of their own.
-    max_slots: int = 1024
+    #: Texts that training of one model looks at, over all epochs, and the bounds of the number of epochs.
+    looks: int = 20_000
+    epochs: tuple[int, int] = (3, 200)
+    rate: float = 1.0
+    #: Averages of thousands of n-grams are short vectors: they are stretched by this.
+    stretch: float = 200.0
+    batch: int = 64
+    #: Squared length of a vector from which on its steps shrink.
+    longest: float = 256.0
+    min_docs: int = 3
+    #: Models that are averaged; each leaves out one part of the rows, on which it is calibrated.
+    parts: int = 5
     #: Most labelled rows of a class that training reads (the documented bound).
     max_toxic: int = 3000
     max_clean: int = 6000
@@ -48,157 +62,196 @@ class ToxicityConfig:
     seed: int = 7
 
 
+Bag = tuple[np.ndarray, np.ndarray]  # distinct slots, and their shares of all n-grams
+
+
 @dataclass(frozen=True)
 class ToxicityModel:
     config: ToxicityConfig
     margin: np.ndarray  # per slot: embedding folded with the softmax weights
     bias: float
-
-    def score(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Probability of label 1 for documents laid end to end."""
-        n = len(offsets) - 1
-        total, count = np.zeros(n), np.zeros(n)
-        for slots, ok in ngram_slots(letters(raw), offsets, self.config.sizes, self.config.bits):
-            total += sums_by_document(self.margin[slots] * ok, offsets)
-            count += sums_by_document(ok, offsets)
-        z = np.clip(np.where(count > 0, total / np.maximum(count, 1), 0.0) + self.bias, -60, 60)
-        return 1.0 / (1.0 + np.exp(-z))
-
-
-def features(raw: np.ndarray, config: ToxicityConfig) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct slots and their shares of all n-grams of one text, given as UTF-8."""
-    grams = ngram_slots(letters(raw), np.array([0, len(raw)]), config.sizes, config.bits)
-    slots, counts = np.unique(np.concatenate([s[ok] for s, ok in grams]), return_counts=True)
-    return slots, counts / max(1, counts.sum())
-
-
-def choose(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int, config: ToxicityConfig) -> np.ndarray:
-    """The ``max_slots`` slots whose document rates differ most between the classes, given documents per slot.
-
-    The others keep a zero vector (rare ones could only be learned by heart).
-    """
-    gap = np.abs(toxic / n_toxic - clean / n_clean)
-    gap[toxic + clean < min(config.min_docs, max(1, (n_toxic + n_clean) // 50))] = 0
-    return np.sort(np.argsort(-gap, kind="stable")[: config.max_slots])
-
-
-def columns(kept: np.ndarray, bag: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The part of a bag that is in the chosen slots, with their positions for slots."""
-    slots, share = bag
-    at = np.minimum(np.searchsorted(kept, slots), len(kept) - 1)
-    ok = kept[at] == slots
-    return at[ok], share[ok]
+    base: float  # share of label 1 in training
+    knots: tuple[np.ndarray, np.ndarray] | None = None  # of the calibration curve
+
+    def probability(self, z: np.ndarray) -> np.ndarray:
+        """The calibrated probability of logits; a twentieth stays logistic, which keeps their order."""
+        plain = 1.0 / (1.0 + np.exp(-np.clip(z, -60, 60)))
+        return plain if self.knots is None else 0.95 * np.interp(z, *self.knots) + 0.05 * plain
+
+    def score(self, texts: list[str | None]) -> np.ndarray:
+        """Probability of label 1 of each text."""
+        out = []
+        for w in words_of(texts, self.config.sizes, self.config.bits):
+            upto = np.zeros(len(w.slots) + 1)
+            np.cumsum(self.margin[w.slots], dtype=np.float64, out=upto[1:])
+            total = np.bincount(w.doc, np.diff(upto[w.first])[w.word], w.docs)
+            n = np.bincount(w.doc, np.diff(w.first)[w.word], w.docs)
+            out.append(np.where(n > 0, self.probability(total / np.maximum(n, 1) + self.bias), self.base))
+        return np.concatenate(out) if out else np.zeros(0)
+
+
+def bags_of(texts: list[str | None], config: ToxicityConfig) -> Iterator[Bag]:
+    """The bag of each text: an n-gram counts once for each distinct word that has it."""
+    for w in words_of(texts, config.sizes, config.bits):
+        pair, slots = w.pair_slots()
+        key, times = np.unique((w.doc[pair] << config.bits) | slots, return_counts=True)
+        edge = np.searchsorted(key, np.arange(w.docs + 1) << config.bits)
+        for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+            part = times[lo:hi]
+            yield (key[lo:hi] & ((1 << config.bits) - 1)).astype(np.int32), (part / max(1, part.sum())).astype(np.float32)
 
 
 def constant(rate: float, config: ToxicityConfig) -> ToxicityModel:
     """The model of labels of one class, or of none."""
-    return ToxicityModel(config, np.zeros(1 << config.bits, np.float32), -60.0 if rate == 0 else 60.0)
+    return ToxicityModel(config, np.zeros(1 << config.bits, np.float32), -60.0 if rate == 0 else 60.0, rate)
+
+
+def train(texts: list[str | None], labels: list[int], config: ToxicityConfig = ToxicityConfig()) -> ToxicityModel:
+    """Training on texts that are at hand."""
+    return train_bags(list(bags_of(texts, config)), np.asarray(labels, dtype=np.int64), config)
 
 
-def train(texts: list[str], labels: list[int], config: ToxicityConfig = ToxicityConfig()) -> ToxicityModel:
-    """Choice of slots and training on texts that are at hand."""
-    size, y = 1 << config.bits, np.asarray(labels, dtype=np.int64)
+def train_bags(bags: list[Bag], y: np.ndarray, config: ToxicityConfig) -> ToxicityModel:
+    """The mean of models that leave out one part each, calibrated on what each left out."""
     rate = float(y.mean()) if len(y) else 0.0
     if rate in (0.0, 1.0):
         return constant(rate, config)
-    bags = [features(np.frombuffer(t.encode(), np.uint8), config) for t in texts]
-    toxic, clean = (np.bincount(np.concatenate([bags[i][0] for i in np.flatnonzero(y == k)]), minlength=size) for k in (1, 0))
-    kept = choose(toxic, clean, int((y == 1).sum()), int((y == 0).sum()), config)
-    return train_bags([columns(kept, x) for x in bags], y, kept, config)
-
-
-def train_bags(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, kept: np.ndarray, config: ToxicityConfig) -> ToxicityModel:
-    """Joint training of embeddings and softmax by Adam on mini-batches of bags over the slots ``kept``."""
+    seen = np.bincount(np.concatenate([s for s, _ in bags]), minlength=1 << config.bits)
+    kept = np.flatnonzero(seen >= min(config.min_docs, max(1, len(y) // 50)))
+    place = np.full(1 << config.bits, -1, np.int32)
+    place[kept] = np.arange(len(kept))
+    weight = (config.stretch * (np.log(len(y) / seen[kept]) + 0.01)).astype(np.float32)
+    bags = [(at, x[ok] * weight[at]) for x, ok, at in ((x, place[s] >= 0, place[s][place[s] >= 0]) for s, x in bags)]
+    part, all_rows = np.random.default_rng(config.seed).permutation(len(y)) % config.parts, np.arange(len(y))
+    knots = None
+    if all(min((y[part != k] == 1).sum(), (y[part != k] == 0).sum()) > 4 for k in range(config.parts)):
+        apart, models = np.zeros(len(y)), []
+        for k in range(config.parts):
+            margin, bias = _joint(bags, y, all_rows[part != k], len(kept), config)
+            apart[part == k] = [margin[s] @ x + bias for s, x in (bags[i] for i in all_rows[part == k])]
+            models.append((margin, bias))
+        margin, bias = sum(m for m, _ in models) / len(models), sum(b for _, b in models) / len(models)
+        knots = calibration(apart, y)
+    else:
+        margin, bias = _joint(bags, y, all_rows, len(kept), config)
+    folded = np.zeros(1 << config.bits, np.float32)
+    folded[kept] = margin * weight
+    return ToxicityModel(config, folded, bias, rate, knots)
+
+
+def _joint(bags: list[Bag], y: np.ndarray, rows: np.ndarray, size: int, config: ToxicityConfig) -> tuple[np.ndarray, float]:
+    """Embeddings and softmax by stochastic gradients; returned folded to a margin per slot, and the bias."""
     rng = np.random.default_rng(config.seed)
-    size = 1 << config.bits
-    emb = rng.normal(0, 0.1, (len(kept), config.dim))
-    weight = rng.normal(0, 0.5, (config.dim, 2))
-    bias = np.zeros(2)
-    params = [emb, weight, bias]
-    first, second = [np.zeros_like(x) for x in params], [np.zeros_like(x) for x in params]
-    per_epoch = -(-len(y) // config.batch)
-    steps = max(config.least_steps, config.epochs * per_epoch)
-    order = np.concatenate([rng.permutation(len(y)) for _ in range(-(-steps // per_epoch))])
-    for step in range(1, steps + 1):
-        lo = (step - 1) * config.batch % max(1, len(order) - config.batch + 1)
-        chosen = order[lo : lo + config.batch]
-        owner = np.repeat(np.arange(len(chosen)), [len(bags[i][0]) for i in chosen])
-        slots = np.concatenate([bags[i][0] for i in chosen])
-        share = np.concatenate([bags[i][1] for i in chosen])
-        taken = emb[slots]
-        hidden = np.stack([np.bincount(owner, taken[:, d] * share, len(chosen)) for d in range(config.dim)], axis=1)
-        logits = hidden @ weight + bias
-        p = np.exp(logits - logits.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(len(chosen)), y[chosen]] -= 1
-        p /= len(chosen)
-        back = (p @ weight.T)[owner] * share[:, None]
-        wide = np.stack([np.bincount(slots, back[:, d], len(kept)) for d in range(config.dim)], axis=1)
-        rate_now = config.rate * (1 - (step - 1) / steps)
-        for x, grad, m, v in zip(params, (wide + config.decay * emb, hidden.T @ p, p.sum(axis=0)), first, second, strict=True):
-            m += 0.1 * (grad - m)
-            v += 0.01 * (grad * grad - v)
-            x -= rate_now * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
-    margin = np.zeros(size, np.float32)
-    margin[kept] = emb @ (weight[:, 1] - weight[:, 0])
-    return ToxicityModel(config, margin, float(bias[1] - bias[0]))
+    emb = np.zeros((size, config.dim), np.float32)
+    weight = rng.normal(0, config.dim**-0.5, (config.dim, 2)).astype(np.float32)
+    bias = np.zeros(2, np.float32)
+    least, most = config.epochs
+    batches = [_block(bags, x) for x in np.array_split(rng.permutation(rows), -(-len(rows) // config.batch))]
+    epochs = min(most, max(least, config.looks // len(rows)))
+    steps, step = epochs * len(batches), 0
+    for _ in range(epochs):
+        for k in rng.permutation(len(batches)):
+            chosen, here, cells, values = batches[k]
+            x = np.zeros((len(chosen), len(here)), np.float32)
+            x.ravel()[cells] = values
+            own = emb[here]
+            hidden = x @ own
+            z = hidden @ weight + bias
+            p = np.exp(z - z.max(axis=1, keepdims=True))
+            p /= p.sum(axis=1, keepdims=True)
+            p[np.arange(len(chosen)), y[chosen]] -= 1
+            # one step moves a short text, whose vector is long, no further than others
+            p *= np.minimum(1, config.longest / np.maximum(1e-9, np.einsum("ij,ij->i", x, x)))[:, None] / len(chosen)
+            rate = config.rate * (1 - step / steps)
+            step += 1
+            emb[here] = own - rate * (x.T @ (p @ weight.T))
+            weight -= 0.1 * rate * (hidden.T @ p)
+            bias -= 0.1 * rate * p.sum(axis=0)
+    return emb @ (weight[:, 1] - weight[:, 0]), float(bias[1] - bias[0])
+
+
+def _block(bags: list[Bag], rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bags of some rows as the cells of a dense matrix over the slots that they have."""
+    here, column = np.unique(np.concatenate([bags[i][0] for i in rows]), return_inverse=True)
+    owner = np.repeat(np.arange(len(rows)), [len(bags[i][0]) for i in rows])
+    return rows, here, (owner * len(here) + column).astype(np.int32), np.concatenate([bags[i][1] for i in rows])
+
+
+def calibration(z: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Knots (logit, probability) of a rising curve: pooled adjacent violators, each block's rate drawn to the base rate by one row."""
+    order = np.argsort(z, kind="stable")
+    base, blocks = float(y.mean()), []  # [rows, ones, sum of logits]
+    for value, one in zip(z[order], y[order], strict=True):
+        blocks.append([1, int(one), float(value)])
+        while len(blocks) > 1 and blocks[-2][1] * blocks[-1][0] >= blocks[-1][1] * blocks[-2][0]:
+            n, ones, total = blocks.pop()
+            blocks[-1] = [blocks[-1][0] + n, blocks[-1][1] + ones, blocks[-1][2] + total]
+    n, ones, total = (np.array(x, float) for x in zip(*blocks, strict=True))
+    return total / n, np.maximum.accumulate((ones + base) / (n + 1))
 
 
 def fit(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityConfig()) -> ToxicityModel:
-    """Train on labelled rows whose id fold is open; a bounded number of rows of either class reaches the driver."""
+    """Train on labelled rows whose id fold is open, in one task; only the folded model reaches the driver."""
+    spark, size = docs.sparkSession, 1 << config.bits
     clean = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = clean.where(fold("doc_id", 3) != 1)
-    sample = rows.where("toxic = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(config.max_toxic).unionByName(
-        rows.where("toxic = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(config.max_clean)
+    most = {1: config.max_toxic, 0: config.max_clean}
+    sample = rows.where("toxic = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most[1]).unionByName(
+        rows.where("toxic = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most[0])
     )
     before = written()
-    texts = materialize(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"), "toxicity-texts")
-    model = _fit_texts(texts, config)
-    discard(docs.sparkSession, [x for x in written() if x not in before])
-    return model
-
-
-def _fit_texts(texts: DataFrame, config: ToxicityConfig) -> ToxicityModel:
-    """Train on whole texts of rows (doc_id, text, toxic); texts stay on the executors."""
-    spark, size = texts.sparkSession, 1 << config.bits
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
+    texts = materialize(found.select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text"), "toxicity-texts")
+    n = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
+    if any(n.get(k, 0) > most[k] for k in most):  # ids that several rows share
+        bound = [texts.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(m) for k, m in most.items()]
+        texts = materialize(bound[0].unionByName(bound[1]), "toxicity-texts")
+    least = min(config.min_docs, max(1, sum(min(n.get(k, 0), m) for k, m in most.items()) // 50))
     small_batches(spark)
-    n = {int(r["toxic"]): r["count"] for r in texts.groupBy("toxic").count().collect()}
-    if not n.get(0) or not n.get(1):
-        return constant(1.0 if n.get(1) else 0.0, config)
-
-    def bags(batch):
-        raw, offsets = text_buffers(batch.column("text"))
-        for lo, hi in zip(offsets[:-1], offsets[1:], strict=True):
-            yield features(raw[lo:hi], config)
 
     def count(batches):
-        found = np.zeros((2, size), np.int64)
+        seen = np.zeros(size, np.int64)
         for batch in batches:
-            for toxic, (slots, _) in zip(batch.column("toxic").to_pylist(), bags(batch), strict=True):
-                found[int(toxic), slots] += 1
-        at = np.flatnonzero(found.any(axis=0))
-        yield pa.record_batch({"slot": pa.array(at), "clean": pa.array(found[0, at]), "toxic": pa.array(found[1, at])})
-
-    rows = texts.mapInArrow(count, "slot long, clean long, toxic long").groupBy("slot").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    # slots of fewer documents are not chosen before others
-    rows = rows.where(F.col("clean") + F.col("toxic") >= min(config.min_docs, max(1, sum(n.values()) // 50))).toArrow()
-    found = np.zeros((2, size), np.int64)
-    for k, name in enumerate(("clean", "toxic")):
-        found[k, rows.column("slot").to_numpy()] = rows.column(name).to_numpy()
-    kept = choose(found[1], found[0], n[1], n[0], config)
-
-    def shares(batches):
+            for slots, _ in bags_of(batch.column("text").to_pylist(), config):
+                seen[slots] += 1
+        at = np.flatnonzero(seen)
+        yield pa.record_batch({"slot": pa.array(at), "n": pa.array(seen[at])})
+
+    often = texts.select("text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    kept = spark.sparkContext.broadcast(np.sort(often.select("slot").toArrow().column("slot").to_numpy()))
+
+    def bags(batches):
+        ok = np.zeros(size, bool)
+        ok[kept.value] = True
         for batch in batches:
-            out = [columns(kept, x) for x in bags(batch)]
+            out = [(s[ok[s]], x[ok[s]]) for s, x in bags_of(batch.column("text").to_pylist(), config)]
             yield pa.record_batch({
-                "doc_id": batch.column("doc_id").cast(pa.int64()), "toxic": batch.column("toxic").cast(pa.int64()),
-                "at": pa.array([a.astype(np.int32).tobytes() for a, _ in out], pa.binary()), "share": pa.array([p.tobytes() for _, p in out], pa.binary()),
+                "doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"),
+                "slots": pa.array([s.tobytes() for s, _ in out], pa.binary()), "shares": pa.array([x.tobytes() for _, x in out], pa.binary()),
             })
 
-    got = texts.mapInArrow(shares, "doc_id long, toxic long, at binary, share binary").toArrow().to_pylist()
-    got.sort(key=lambda r: (r["doc_id"], r["toxic"], r["at"], r["share"]))
-    found = [(np.frombuffer(r["at"], np.int32), np.frombuffer(r["share"], np.float64)) for r in got]
-    return train_bags(found, np.array([r["toxic"] for r in got]), kept, config)
+    def learn(batches):
+        rows = []
+        for batch in batches:
+            rows += zip(*(batch.column(c).to_pylist() for c in ("doc_id", "toxic", "slots", "shares")), strict=True)
+        rows.sort()
+        model = train_bags([(np.frombuffer(s, np.int32), np.frombuffer(x, np.float32)) for _, _, s, x in rows], np.array([r[1] for r in rows], np.int64), config)
+        yield pa.record_batch({
+            "margin": pa.array([model.margin.tobytes()], pa.binary()), "bias": pa.array([model.bias]), "base": pa.array([model.base]),
+            "logit": pa.array([[] if model.knots is None else model.knots[0]], pa.list_(pa.float64())), "rate": pa.array([[] if model.knots is None else model.knots[1]], pa.list_(pa.float64())),
+        })
+
+    small_batches(spark, 64)
+    packed = texts.mapInArrow(bags, "doc_id long, toxic int, slots binary, shares binary").repartition(1)
+    got = packed.mapInArrow(learn, "margin binary, bias double, base double, logit array<double>, rate array<double>").first()
+    kept.destroy()
+    discard(spark, [x for x in written() if x not in before])
+    knots = (np.array(got["logit"]), np.array(got["rate"])) if got["logit"] else None
+    return ToxicityModel(config, np.frombuffer(got["margin"], np.float32), got["bias"], got["base"], knots)
+
+
+def _scores(batch, model: ToxicityModel) -> np.ndarray:
+    return model.score(batch.column("text").to_pylist())
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
@@ -208,11 +261,8 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches):
-        m = shared.value
         for batch in batches:
-            raw, offsets = text_buffers(batch.column("text"))
-            out = [m.score(part, offs) for _, _, part, offs in pieces(raw, offsets)]
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), "score": pa.array(np.concatenate(out) if out else np.zeros(0))})
+            yield pa.record_batch({"doc_id": batch.column("doc_id"), "score": pa.array(_scores(batch, shared.value), pa.float64())})
 
     scored = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
     return scored.select(
@@ -230,12 +280,10 @@ def keep_clean(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches):
-        m = shared.value
         for batch in batches:
-            raw, offsets = text_buffers(batch.column("text"))
-            out = [m.score(part, offs) for _, _, part, offs in pieces(raw, offsets)]
-            yield batch.filter(pa.array((np.concatenate(out) if out else np.zeros(0)) < m.config.threshold))
+            yield batch.filter(pa.array(_scores(batch, shared.value) < model_threshold, pa.bool_()))
 
+    model_threshold = model.config.threshold
     return docs.mapInArrow(run, docs.schema)
 
 
