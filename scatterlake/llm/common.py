@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Upper bound of rows of one Arrow batch handed to Python (bounds worker memory).
 ARROW_ROWS = 512
+#: And of its bytes; a longer row is a batch of its own.
+ARROW_BYTES = 4 << 20
 #: Bytes of text worked on at once inside a batch; a longer text is one piece of its own.
 PIECE_BYTES = 1 << 20
 
@@ -34,16 +36,27 @@ _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is the session's ``spark.checkpoint.dir``; only where that is unset (as
-    in tests on one machine) a temporary folder is made and set.
+    It is the session's ``spark.checkpoint.dir``. Only where that is unset and
+    everything runs in one process (as in tests) a temporary folder is made and set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="scatterlake-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def fresh(columns: list[str], stem: str) -> str:
+    """A column name that none of ``columns`` has, in any case."""
+    taken, n = {c.lower() for c in columns}, 0
+    while f"{stem}_{n}" in taken:
+        n += 1
+    return f"{stem}_{n}"
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back, cutting its lineage."""
     spark = df.sparkSession
@@ -69,9 +82,14 @@ def discard(spark: SparkSession, paths: list[str]) -> None:
         _written.remove(path)
 
 
-def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Set how many rows go to Python at once: rows may be long, and a batch is held whole in a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession) -> None:
+    """Bound the rows and the bytes that go to Python at once, for the session.
+
+    A batch is held whole in a worker, and rows may be long. All operators share the
+    bounds, so a lazy result does not depend on what was built after it.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -256,7 +256,6 @@ def lm_scores(docs: DataFrame, config: LMConfig = LMConfig()) -> DataFrame:
                 out = [[i, b.number, 0, _deltas(b.words[place == i]), pack(counts[place == i])] for i in range(word_shards)]
                 yield from _messages(out).to_batches()
 
-    small_batches(spark, 16)  # a row is a block
     asked = blocks.mapInArrow(ask_words, MESSAGE)
     answers = materialize(asked.groupBy("shard").applyInArrow(lambda t: word_shard(t, word_shards), MESSAGE), "lm-words")
     sums = np.sum([np.frombuffer(r["x"], np.uint64).astype(np.int64) for r in answers.where("kind = 2").select("x").collect()], axis=0)

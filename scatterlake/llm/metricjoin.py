@@ -46,12 +46,19 @@ class RangeJoinConfig:
 
 def _unit(emb: np.ndarray) -> np.ndarray:
     wide = emb.astype(np.float64)
+    wide = wide / np.abs(wide).max(axis=1, keepdims=True)  # so that no square overflows
     return wide / np.sqrt((wide * wide).sum(axis=1, keepdims=True))
 
 
 def _matrix(column) -> np.ndarray:
+    """Rows of one length; a vector is the letter of its type and its components."""
     values = column.to_pylist()
-    return np.frombuffer(b"".join(values), np.float32).reshape(len(values), -1)
+    kind = {b"f"[0]: np.float32, b"d"[0]: np.float64}[values[0][0]]
+    return np.frombuffer(b"".join(v[1:] for v in values), kind).reshape(len(values), -1)
+
+
+def _length(emb: bytes) -> int:
+    return (len(emb) - 1) // (4 if emb[:1] == b"f" else 8)
 
 
 def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -105,7 +112,8 @@ def choose_pivots(x: np.ndarray, total: int, config: RangeJoinConfig) -> np.ndar
 
 
 def classes_of(vectors: DataFrame) -> DataFrame:
-    """node (smallest vec_id), cnt and emb (float32 bytes) of each distinct comparable vector."""
+    """vec_id and emb of each comparable vector: its components in the precision that the table has."""
+    kind = "d" if vectors.schema["embedding"].dataType.elementType.typeName() == "double" else "f"
 
     def run(batches):
         for batch in batches:
@@ -114,13 +122,13 @@ def classes_of(vectors: DataFrame) -> DataFrame:
                 if i is None or not v or any(c is None for c in v):
                     continue
                 with np.errstate(over="ignore"):
-                    x = np.asarray(v, np.float32) + np.float32(0)  # one zero only
+                    x = np.asarray(v, kind) + np.zeros(1, kind)  # one zero only
                 if np.isfinite(x).all() and x.any():
                     ids.append(i)
-                    emb.append(x.tobytes())
+                    emb.append(kind.encode() + x.tobytes())
             yield pa.record_batch({"vec_id": pa.array(ids, pa.int64()), "emb": pa.array(emb, pa.binary())})
 
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>" if kind == "d" else "array<float>").alias("embedding"))
     return rows.mapInArrow(run, "vec_id long, emb binary")
 
 
@@ -131,20 +139,19 @@ def join_cells(classes: DataFrame, config: RangeJoinConfig = RangeJoinConfig())
     sample = classes.orderBy(F.xxhash64("node"), "node").limit(config.sample).select("emb").collect()
     by_dim: dict[int, list[bytes]] = {}
     for row in sample:
-        by_dim.setdefault(len(row["emb"]) // 4, []).append(bytes(row["emb"]))
+        by_dim.setdefault(_length(row["emb"]), []).append(bytes(row["emb"]))
     total = classes.count()
     plan = {}
     for dim, rows in by_dim.items():
-        x = _unit(np.frombuffer(b"".join(rows), np.float32).reshape(len(rows), dim))
+        x = _unit(_matrix(pa.array(rows, pa.binary())))
         pivots = choose_pivots(x, max(1, total * len(rows) // max(1, len(sample))), config)
         plan[dim] = (pivots, _distances(pivots, pivots))
     shared = spark.sparkContext.broadcast(plan)
 
     def by_length(batch):
-        size = np.array([len(e.as_py()) for e in batch.column("emb")], np.int64)
-        for bytes_ in np.unique(size):
-            part = batch.filter(pa.array(size == bytes_))
-            dim = int(bytes_) // 4
+        size = np.array([_length(e) for e in batch.column("emb").to_pylist()], np.int64)
+        for dim in np.unique(size).tolist():
+            part = batch.filter(pa.array(size == dim))
             pivots, between = shared.value.get(dim, (np.zeros((0, dim)), None))
             if not len(pivots):  # a length that the sample lacks: one cell
                 yield dim, part, np.zeros((part.num_rows, 1)), np.zeros((1, 1))
@@ -246,7 +253,7 @@ def join_cells(classes: DataFrame, config: RangeJoinConfig = RangeJoinConfig())
 
 def near_duplicates(vectors: DataFrame, config: RangeJoinConfig = RangeJoinConfig()) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of ``vectors`` (vec_id, embedding)."""
-    small_batches(vectors.sparkSession, 2048)
+    small_batches(vectors.sparkSession)
     rows = materialize(classes_of(vectors), "vectors")
     classes = materialize(rows.groupBy("emb").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("cnt")), "classes")
     links, edges = join_cells(classes.select("node", "cnt", "emb"), config)

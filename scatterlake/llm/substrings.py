@@ -3,25 +3,28 @@
 1. Winnowing. Every window of ``length`` bytes is assigned to the least hash of
    its k-byte grams, so equal windows meet under an equal gram. Runs of windows
    under one gram are the unit of work; grams that occur once end here.
-2. Runs with a recurring gram become segments (the bytes that their windows
+2. Crowded grams are dealt further. Equal windows hold their gram at an equal
+   offset, so the runs of a gram with too many different segments are cut into
+   ranges of offsets, and the bytes that all windows of a range share (its core)
+   join the gram's name. Ranges shrink to an eighth until no group is crowded; a
+   range of one offset has one segment per group, so every group is bounded.
+3. Runs with a recurring name become segments (the bytes that their windows
    cover). Equal segments collapse to one with a count.
-3. Segments are dealt into buckets by gram. A bucket parses its segments into
+4. Segments are dealt into buckets by name. A bucket parses its segments into
    content-defined phrases, builds the Burrows-Wheeler transform of the phrase
    strings shard by shard, merges the shards by interleave refinement, and reads
    the repeated intervals of every depth off the merged order. A window is its
    bytes before its first phrase, the interval of its whole phrases, and its
    bytes behind the last; windows that agree in all three are equal.
-4. Matched windows go back to the texts, whose covered bytes are removed.
+5. Matched windows go back to the texts, whose covered bytes are removed.
 
-A gram with more occurrences than ``hot`` is not put in one bucket: its windows
-are compared by 128-bit digests in a distributed aggregation, which is exact in
-the same way and bounded for any group. Bytes are compared by 64-bit hashes
-inside a bucket (with the count of windows of a bucket, not of the corpus, as
-the size of the birthday problem).
+Bytes are compared by 64-bit hashes inside a bucket (with the count of windows of
+a bucket, not of the corpus, as the size of the birthday problem).
 
 Defined cases: null text is empty; shorter texts keep every byte; rows are
-occurrences, so repeated rows of at least ``length`` bytes are removed whole; a
-null id is carried through.
+occurrences, so repeated rows of at least ``length`` bytes are removed whole;
+long texts are read in chunks and never cut; a null id is carried through; other
+columns are kept as they are by :func:`remove_repeats`, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,8 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bwt import Shard, merge, positions
-from .common import materialize, mix, prefix_hash, read_table, small_batches, span_hash, text_buffers
+from .bwt import Shard, merge
+from .common import discard, fresh, materialize, mix, prefix_hash, read_table, small_batches, span_hash, text_buffers, written
 
 CHUNK = 1 << 19
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
@@ -48,10 +51,17 @@ class RepeatConfig:
     #: A phrase ends behind about one in so many 8-byte contexts.
     phrase: int = 32
     #: Bytes of segments that one bucket and one shard aim at.
-    bucket_bytes: int = 3 << 20
+    bucket_bytes: int = 2 << 20
     shard_bytes: int = 1 << 20
-    #: Occurrences from which on a gram's windows are compared one by one.
-    hot: int = 20_000
+    #: Different segments from which on the runs of a name are dealt further.
+    crowd: int = 2000
+
+    def widths(self) -> list[int]:
+        """Offsets in a range, level by level."""
+        out = [self.length - self.gram + 1]
+        while out[-1] > 1:
+            out.append(-(-out[-1] // 8))
+        return out[1:]
 
 
 def gram_hashes(raw: np.ndarray) -> np.ndarray:
@@ -80,8 +90,11 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def runs(raw: np.ndarray, config: RepeatConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(gram hash, first window, last window) of each run of one text; windows are named by their start."""
+def runs(raw: np.ndarray, config: RepeatConfig) -> tuple[np.ndarray, ...]:
+    """Name, first window, last window, place of the gram and hash of the segment of each run of one text.
+
+    Windows are named by their start.
+    """
     found = []
     width = config.length - config.gram + 1
     for lo in range(0, max(0, len(raw) - config.length + 1), CHUNK):
@@ -92,13 +105,31 @@ def runs(raw: np.ndarray, config: RepeatConfig) -> tuple[np.ndarray, np.ndarray,
         least = sliding_least((hashed & ~np.uint64(0xFFFFFF)) | place, width) & np.uint64(0xFFFFFF)
         edge = np.flatnonzero(np.diff(least.astype(np.int64), prepend=-1))
         last = np.append(edge[1:], len(least)) - 1
-        found.append((hashed[least[edge].astype(np.int64)], edge + lo, last + lo))
+        at = least[edge].astype(np.int64)
+        found.append((hashed[at], edge + lo, last + lo, at + lo, span_hash(prefix_hash(part), edge, last + config.length)))
     if not found:
         z = np.zeros(0, np.int64)
-        return z.astype(np.uint64), z, z
+        return z.astype(np.uint64), z, z, z, z.astype(np.uint64)
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def _hash(data: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little")
+
+
+def dealt_further(data: bytes, found: list[tuple[int, int, int, int]], width: int, config: RepeatConfig) -> list[tuple[int, int, int, int, int]]:
+    """Runs (name, first, last, at) of one text cut into ranges of ``width`` offsets, named by the core too; with their segments' hashes."""
+    out, most = [], config.length - config.gram
+    for name, first, last, at in found:
+        for k in range((at - last) // width, (at - first) // width + 1):
+            low, high = k * width, min(most, (k + 1) * width - 1)
+            begin, end = max(first, at - high), min(last, at - low)
+            core = data[at - low : at - high + config.length]
+            new = _hash(b"%d %d %d " % (name, width, k) + core)
+            out.append((new, begin, end, at, _hash(data[begin : end + config.length])))
+    return out
+
+
 def matched_windows(segments: list[bytes], counts: np.ndarray, config: RepeatConfig) -> list[np.ndarray]:
     """For each distinct segment, which of its windows are equal to another window."""
     length = config.length
@@ -166,11 +197,13 @@ def matched_windows(segments: list[bytes], counts: np.ndarray, config: RepeatCon
             at = end
         by_depth = np.argsort(depth, kind="stable")
         ends = np.searchsorted(depth[by_depth], np.arange(1, deepest + 2))
-        for k, (source, block) in enumerate(merge(shards, deepest), start=1):
+        for k, (places, block) in enumerate(merge(shards, deepest), start=1):
             here = by_depth[ends[k - 1] : ends[k]]
             if len(here):
-                interval = np.empty(len(symbol), np.int32)
-                interval[positions(shards, source)] = block
+                interval, base = np.empty(len(symbol), np.int32), 0
+                for shard, place in zip(shards, places, strict=True):
+                    interval[shard.order + base] = block[place]
+                    base += len(shard.order)
                 key[here] = mix(key[here] + interval[first[here]].astype(np.uint64) * _ODD[3] + np.uint64(k))
     ranked = np.argsort(key)
     same = key[ranked[1:]] == key[ranked[:-1]]
@@ -187,12 +220,81 @@ def _ranges(flags: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.diff(np.concatenate([[False], flags, [False]]).astype(np.int8))).astype(np.int64)
 
 
-def _removed(size: int, ranges: np.ndarray, length: int) -> np.ndarray:
-    """Bytes covered by the windows that start in [ranges[0], ranges[1]), ..."""
-    change = np.zeros(size + 1, np.int64)
-    np.add.at(change, ranges[::2], 1)
-    np.add.at(change, ranges[1::2] + length - 1, -1)
-    return np.cumsum(change[:-1]) > 0
+def removed_spans(ranges: np.ndarray, length: int) -> np.ndarray:
+    """Maximal runs (first, end) of bytes covered by the windows that start in [ranges[0], ranges[1]), ..."""
+    order = np.argsort(ranges[::2], kind="stable")
+    first, end = ranges[::2][order], np.maximum.accumulate(ranges[1::2][order] + length - 1)
+    border = np.flatnonzero(first[1:] > end[:-1]) + 1
+    return np.stack([first[np.append(0, border)], end[np.append(border - 1, len(end) - 1)]], axis=1)
+
+
+def _stay(data: bytes, spans: np.ndarray) -> bytes:
+    at, out = 0, []
+    for first, end in spans.tolist():
+        out.append(data[at:first])
+        at = end
+    out.append(data[at:])
+    return b"".join(out)
+
+
+def _int64(column) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False)
+
+
+_RUN = "gram long, key binary, first long, last long, at long, segment long"
+
+
+def _run_batch(keys: pa.Array, who, columns) -> pa.RecordBatch:
+    gram, first, last, at, segment = columns
+    return pa.record_batch({
+        "gram": pa.array(np.asarray(gram, np.uint64).view(np.int64)), "key": keys.take(pa.array(who, pa.int64())), "first": pa.array(first, pa.int64()),
+        "last": pa.array(last, pa.int64()), "at": pa.array(at, pa.int64()), "segment": pa.array(np.asarray(segment, np.uint64).view(np.int64)),
+    })
+
+
+def recurring_runs(texts: DataFrame, config: RepeatConfig) -> DataFrame:
+    """Runs (name, key, first, last) whose name recurs, in groups that are not crowded; texts: key, text."""
+
+    def find(batches):
+        for batch in batches:
+            raw, offsets = text_buffers(batch.column("text"))
+            got = [runs(raw[a:b], config) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            if got:
+                yield _run_batch(batch.column("key"), np.repeat(np.arange(len(got)), [len(g[0]) for g in got]), [np.concatenate([g[k] for g in got]) for k in range(5)])
+
+    def again(rows: DataFrame) -> DataFrame:
+        rows = materialize(rows, "runs")
+        path = written()[-1]
+        often = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        out = materialize(rows.join(often, "gram"), "runs-again")
+        discard(texts.sparkSession, [path])
+        return out
+
+    found = again(texts.mapInArrow(find, _RUN))
+    ready = []
+    for width in config.widths():
+        many = found.where(F.col("n") > config.crowd)
+        spread = many.groupBy("gram", "segment").agg(F.lit(1)).groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"))
+        crowded = materialize(spread.where(F.col("kinds") > config.crowd).select("gram"), "crowded")
+        if crowded.isEmpty():
+            break
+        ready += [found.where(F.col("n") <= config.crowd), many.join(crowded, "gram", "left_anti")]
+
+        def further(batches, width=width):
+            for batch in batches:
+                got = [
+                    dealt_further(text.encode(), [(r["gram"], r["first"], r["last"], r["at"]) for r in found], width, config)
+                    for text, found in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist(), strict=True)
+                ]
+                columns = list(zip(*[r for g in got for r in g], strict=True)) or [()] * 5
+                yield _run_batch(batch.column("key"), np.repeat(np.arange(len(got)), [len(g) for g in got]), columns)
+
+        by_text = many.join(crowded, "gram", "left_semi").groupBy("key").agg(F.collect_set(F.struct("gram", "first", "last", "at")).alias("runs"))
+        found = again(texts.join(by_text, "key").select("key", "text", "runs").mapInArrow(further, _RUN))
+    out = found.select("gram", "key", "first", "last")
+    for rows in ready:
+        out = out.unionByName(rows.select("gram", "key", "first", "last"))
+    return out
 
 
 def repeated_bytes(docs: DataFrame, config: RepeatConfig = RepeatConfig()) -> DataFrame:
@@ -201,28 +303,14 @@ def repeated_bytes(docs: DataFrame, config: RepeatConfig = RepeatConfig()) -> Da
     Columns: key (digest of the text), ranges (int64 values as bytes).
     """
     spark = docs.sparkSession
-    small_batches(spark, 256)
+    small_batches(spark)
     texts = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text"))
     texts = texts.select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("key"), "text").where(F.octet_length("text") >= config.length)
+    # a text's runs: their number is bounded by the length of the text
+    by_text = recurring_runs(texts, config).groupBy("key").agg(F.collect_set(F.struct("first", "last", "gram")).alias("runs"))
 
-    def find(batches):
-        for batch in batches:
-            raw, offsets = text_buffers(batch.column("text"))
-            got = [runs(raw[a:b], config) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            who = np.repeat(np.arange(len(got)), [len(g[0]) for g in got])
-            cols = [np.concatenate([g[k] for g in got]) if got else np.zeros(0, np.int64) for k in range(3)]
-            yield pa.record_batch({
-                "gram": pa.array(cols[0].astype(np.uint64).view(np.int64)), "key": batch.column("key").take(pa.array(who)),
-                "first": pa.array(cols[1].astype(np.int64)), "last": pa.array(cols[2].astype(np.int64)),
-            })
-
-    occurs = materialize(texts.select("key", "text").mapInArrow(find, "gram long, key binary, first long, last long"), "grams")
-    often = occurs.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    again = occurs.join(often, "gram").select("key", F.struct("first", "last", "gram", (F.col("n") > config.hot).alias("hot")).alias("run"))
-    by_text = again.groupBy("key").agg(F.collect_set("run").alias("runs"))
-
-    kinds = [pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
-    names = ["gram", "hot", "digest", "segment", "key", "first"]
+    kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
+    names = ["gram", "digest", "segment", "key", "first"]
 
     def send(out):
         cols = list(zip(*out, strict=True)) or [()] * len(kinds)
@@ -234,97 +322,69 @@ def repeated_bytes(docs: DataFrame, config: RepeatConfig = RepeatConfig()) -> Da
             out: list[tuple] = []
             for key, text, found in zip(batch.column("key"), batch.column("text"), batch.column("runs"), strict=True):
                 data, key = text.as_py().encode(), key.as_py()
-                for run in found:
-                    gram, first, last, hot = (run[k].as_py() for k in ("gram", "first", "last", "hot"))
+                fields = [_int64(found.values.field(c)) for c in ("gram", "first", "last")]
+                for gram, first, last in zip(*(f.tolist() for f in fields), strict=True):
                     segment = data[first : last + config.length]
-                    digest = hashlib.blake2b(segment, digest_size=16).digest()
+                    digest = hashlib.blake2b(segment, digest_size=16, salt=gram.to_bytes(8, "little", signed=True)).digest()
                     new = digest not in sent
                     if new:
-                        if len(sent) >= 500_000:
+                        if len(sent) >= 200_000:
                             sent.clear()
                         sent.add(digest)
-                    out.append((gram, hot, digest, segment if new else None, key, first))
+                    out.append((gram, digest, segment if new else None, key, first))
                     if len(out) >= 4096:
                         yield send(out)
                         out = []
             yield send(out)
 
     joined = texts.join(by_text, "key").select("key", "text", "runs")
-    parts = materialize(joined.mapInArrow(cut, "gram long, hot boolean, digest binary, segment binary, key binary, first long"), "segments")
-
-    size = parts.where("not hot").agg(F.sum(F.octet_length("segment"))).first()[0] or 0
+    parts = materialize(joined.mapInArrow(cut, "gram long, digest binary, segment binary, key binary, first long"), "segments")
+    size = parts.agg(F.sum(F.octet_length("segment"))).first()[0] or 0
     buckets = max(1, -(-size // config.bucket_bytes))
 
-    def bucket(table: pa.Table) -> pa.Table:
-        segments: dict[bytes, bytes] = {}
-        counts: dict[bytes, int] = {}
-        for digest, segment, n in zip(table.column("digest").to_pylist(), table.column("segment").to_pylist(), table.column("n").to_pylist(), strict=True):
-            counts[digest] = counts.get(digest, 0) + n
-            if segment is not None:
-                segments[digest] = segment
+    def solve(segments: dict[bytes, bytes], counts: dict[bytes, int]) -> pa.RecordBatch:
         names = list(segments)
         flags = matched_windows([segments[d] for d in names], np.array([counts[d] for d in names]), config) if names else []
         found = [(d, _ranges(f).tobytes()) for d, f in zip(names, flags, strict=True) if f.any()]
-        return pa.table({"digest": pa.array([d for d, _ in found], pa.binary()), "ranges": pa.array([r for _, r in found], pa.binary())})
+        return pa.record_batch({"digest": pa.array([d for d, _ in found], pa.binary()), "ranges": pa.array([r for _, r in found], pa.binary())})
+
+    def bucket(batches):
+        now, segments, counts = None, {}, {}
+        for batch in batches:
+            for b, digest, segment, n in zip(*(batch.column(c).to_pylist() for c in ("bucket", "digest", "segment", "n")), strict=True):
+                if b != now:
+                    if segments:
+                        yield solve(segments, counts)
+                    now, segments, counts = b, {}, {}
+                counts[digest] = counts.get(digest, 0) + n
+                if segment is not None:
+                    segments[digest] = segment
+        if segments:
+            yield solve(segments, counts)
 
-    cold = parts.where("not hot")
     # copies of a segment are counted before the shuffle; its bytes come once for each task that met it
-    tally = cold.groupBy("gram", "digest").agg(F.count(F.lit(1)).alias("n")).withColumn("segment", F.lit(None).cast("binary"))
-    bytes_ = cold.where("segment is not null").select("gram", "digest", F.lit(0).cast("long").alias("n"), "segment")
+    tally = parts.groupBy("gram", "digest").agg(F.count(F.lit(1)).alias("n")).withColumn("segment", F.lit(None).cast("binary"))
+    bytes_ = parts.where("segment is not null").select("gram", "digest", F.lit(0).cast("long").alias("n"), "segment")
     dealt = tally.unionByName(bytes_).withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(int(buckets))))
-    matched = dealt.groupBy("bucket").applyInArrow(bucket, "digest binary, ranges binary")
-    hits = cold.select("digest", "key", "first").join(matched, "digest").select("key", "first", "ranges")
-
-    if not parts.where("hot").isEmpty():
-        hits = hits.unionByName(_hot_hits(parts.where("hot"), config))
-
-    def gather(table: pa.Table) -> pa.Table:
-        spans = [np.frombuffer(r, np.int64) + f for r, f in zip(table.column("ranges").to_pylist(), table.column("first").to_pylist(), strict=True)]
-        return pa.table({"key": table.column("key").slice(0, 1), "ranges": pa.array([np.concatenate(spans).tobytes()], pa.binary())})
-
-    # a text's runs: their number is bounded by the length of the text
-    return hits.groupBy("key").applyInArrow(gather, "key binary, ranges binary")
+    # buckets pass one after the other through a task, so it holds one at a time, and each segment once
+    dealt = dealt.repartition("bucket").sortWithinPartitions("bucket").select("bucket", "digest", "segment", "n")
+    matched = dealt.mapInArrow(bucket, "digest binary, ranges binary")
+    hits = parts.select("digest", "key", "first").join(matched, "digest").select("key", F.struct("first", "ranges").alias("hit"))
 
-
-def _hot_hits(parts: DataFrame, config: RepeatConfig) -> DataFrame:
-    """Matched windows of very frequent grams, by counting window digests in a distributed aggregation."""
-
-    def windows(batches):
-        for batch in batches:
-            for digest, segment in zip(batch.column("digest").to_pylist(), batch.column("segment").to_pylist(), strict=True):
-                raw = np.frombuffer(segment, np.uint8)
-                start = np.arange(len(raw) - config.length + 1)
-                one = span_hash(prefix_hash(raw), start, start + config.length)
-                two = span_hash(prefix_hash(raw ^ np.uint8(0x5A)), start, start + config.length)
-                yield pa.record_batch({
-                    "digest": pa.array([digest] * len(start), pa.binary()), "at": pa.array(start),
-                    "w1": pa.array(one.view(np.int64)), "w2": pa.array(two.view(np.int64)),
-                })
-
-    n = parts.groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
-    whole = parts.where("segment is not null").select("digest", "segment").dropDuplicates(["digest"])
-    each = materialize(whole.mapInArrow(windows, "digest binary, at long, w1 long, w2 long").join(n, "digest"), "windows")
-    twice = each.groupBy("w1", "w2").agg(F.sum("n").alias("n")).where("n > 1").select("w1", "w2")
-    met = each.join(twice, ["w1", "w2"]).groupBy("digest").agg(F.sort_array(F.collect_set("at")).alias("at"))
-
-    def spans(batches):
+    def gather(batches):
         for batch in batches:
-            out = []
-            for at in batch.column("at"):
-                flags = np.zeros(at.values[-1].as_py() + 1, bool)
-                flags[at.values.to_numpy()] = True
-                out.append(_ranges(flags).tobytes())
-            yield pa.record_batch({"digest": batch.column("digest"), "ranges": pa.array(out, pa.binary())})
+            out = [np.concatenate([np.frombuffer(h["ranges"], np.int64) + h["first"] for h in hits]).tobytes() for hits in batch.column("hits").to_pylist()]
+            yield pa.record_batch({"key": batch.column("key"), "ranges": pa.array(out, pa.binary())})
 
-    found = met.mapInArrow(spans, "digest binary, ranges binary")
-    return parts.select("digest", "key", "first").join(found, "digest").select("key", "first", "ranges")
+    return hits.groupBy("key").agg(F.collect_set("hit").alias("hits")).mapInArrow(gather, "key binary, ranges binary")
 
 
-def with_removals(docs: DataFrame, config: RepeatConfig = RepeatConfig()) -> DataFrame:
-    """``docs`` with ``_ranges`` (see :func:`repeated_bytes`) per row."""
-    found = repeated_bytes(docs, config).withColumnRenamed("key", "_key").withColumnRenamed("ranges", "_ranges")
-    keyed = docs.withColumn("_key", F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))))
-    return keyed.join(found, "_key", "left").drop("_key")
+def with_removals(docs: DataFrame, ranges: str, config: RepeatConfig = RepeatConfig()) -> DataFrame:
+    """``docs`` with the matched windows of each row (see :func:`repeated_bytes`) in a new column ``ranges``."""
+    key = fresh([*docs.columns, ranges], "key")
+    found = repeated_bytes(docs, config).select(F.col("key").alias(key), F.col("ranges").alias(ranges))
+    keyed = docs.withColumn(key, F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))))
+    return keyed.join(found, key, "left").drop(key)
 
 
 def digests(docs: DataFrame, config: RepeatConfig = RepeatConfig()) -> DataFrame:
@@ -333,22 +393,18 @@ def digests(docs: DataFrame, config: RepeatConfig = RepeatConfig()) -> DataFrame
     def run(batches):
         for batch in batches:
             out = []
-            for text, ranges in zip(batch.column("text"), batch.column("_ranges"), strict=True):
+            for text, ranges in zip(batch.column("text"), batch.column("ranges"), strict=True):
                 data = (text.as_py() or "").encode()
-                if ranges.is_valid:
-                    gone = _removed(len(data), np.frombuffer(ranges.as_py(), np.int64), config.length)
-                    stay = np.frombuffer(data, np.uint8)[~gone].tobytes()
-                    out.append((len(data), int(gone.sum()), len(_ranges(gone)) // 2, hashlib.sha256(stay).hexdigest()))
-                else:
-                    out.append((len(data), 0, 0, hashlib.sha256(data).hexdigest()))
+                spans = removed_spans(np.frombuffer(ranges.as_py(), np.int64), config.length) if ranges.is_valid else np.zeros((0, 2), np.int64)
+                out.append((len(data), int((spans[:, 1] - spans[:, 0]).sum()), len(spans), hashlib.sha256(_stay(data, spans)).hexdigest()))
             cols = [list(c) for c in zip(*out, strict=True)] or [[], [], [], []]
             yield pa.record_batch({
                 "doc_id": batch.column("doc_id"), "n_bytes": pa.array(cols[0], pa.int64()), "n_removed": pa.array(cols[1], pa.int64()),
                 "n_spans": pa.array(cols[2], pa.int64()), "kept_sha256": pa.array(cols[3], pa.string()),
             })
 
-    rows = with_removals(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), config)
-    return rows.select("doc_id", "text", "_ranges").mapInArrow(
+    rows = with_removals(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "ranges", config)
+    return rows.select("doc_id", "text", "ranges").mapInArrow(
         run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     )
 
@@ -358,21 +414,21 @@ def remove_repeats(docs: DataFrame, config: RepeatConfig = RepeatConfig()) -> Da
 
     A cut inside a character drops that character's remaining bytes, so texts stay valid.
     """
+    name = fresh(docs.columns, "ranges")
 
     def run(batches):
         for batch in batches:
             out = []
-            for text, ranges in zip(batch.column("text"), batch.column("_ranges"), strict=True):
+            for text, ranges in zip(batch.column("text"), batch.column(name), strict=True):
                 if text.is_valid and ranges.is_valid:
-                    data = np.frombuffer(text.as_py().encode(), np.uint8)
-                    gone = _removed(len(data), np.frombuffer(ranges.as_py(), np.int64), config.length)
-                    out.append(data[~gone].tobytes().decode("utf-8", "ignore"))
+                    data = _stay(text.as_py().encode(), removed_spans(np.frombuffer(ranges.as_py(), np.int64), config.length))
+                    out.append(data.decode("utf-8", "ignore"))
                 else:
                     out.append(text.as_py())
             at = batch.schema.get_field_index("text")
-            yield batch.set_column(at, "text", pa.array(out, pa.string())).drop_columns(["_ranges"])
+            yield batch.set_column(at, "text", pa.array(out, pa.string())).drop_columns([name])
 
-    return with_removals(docs, config).mapInArrow(run, docs.schema)
+    return with_removals(docs, name, config).mapInArrow(run, docs.schema)
 
 
 def substring_query(spark, sf_dir: str) -> DataFrame:

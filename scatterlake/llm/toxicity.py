@@ -241,7 +241,6 @@ def fit(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityCon
             "logit": pa.array([[] if model.knots is None else model.knots[0]], pa.list_(pa.float64())), "rate": pa.array([[] if model.knots is None else model.knots[1]], pa.list_(pa.float64())),
         })
 
-    small_batches(spark, 64)
     packed = texts.mapInArrow(bags, "doc_id long, toxic int, slots binary, shares binary").repartition(1)
     got = packed.mapInArrow(learn, "margin binary, bias double, base double, logit array<double>, rate array<double>").first()
     kept.destroy()

@@ -3,9 +3,10 @@ import random
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from scatterlake.llm.bwt import Shard, merge, positions, transform
-from scatterlake.llm.substrings import RepeatConfig, digests, remove_repeats
+from scatterlake.llm.substrings import RepeatConfig, digests, recurring_runs, remove_repeats
 
 
 def brute(texts, length):
@@ -58,8 +59,22 @@ def test_equal_to_brute_force(spark):
     compare(spark, corpus(rng, 400), RepeatConfig(shard_bytes=50_000))
 
 
-def test_hot_grams_take_the_distributed_path(spark):
-    compare(spark, corpus(random.Random(2), 64), RepeatConfig(length=64, hot=2))
+def test_crowded_grams_are_dealt_further(spark):
+    compare(spark, corpus(random.Random(2), 64), RepeatConfig(length=64, crowd=2))
+    rng = random.Random(9)
+    common = "".join(rng.choice("abcdefgh") for _ in range(50))
+    texts = ["".join(rng.choice("xyz ") for _ in range(rng.randint(20, 40))) + common + "".join(rng.choice("uvw") for _ in range(rng.randint(20, 40))) for _ in range(80)]
+    texts += [texts[3][:85], texts[4][10:], texts[5], "q" + texts[5]]
+    config = RepeatConfig(length=64, crowd=5, bucket_bytes=2000)
+    compare(spark, texts, config)
+    found = recurring_runs(keyed(spark, texts), config)
+    # windows of the common passage with different surroundings part before any bucket sees them
+    assert max(r["kinds"] for r in found.groupBy("gram").agg(F.countDistinct("key", "first").alias("kinds")).collect()) <= 12
+
+
+def keyed(spark, texts):
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    return rows.select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("key"), "text")
 
 
 def test_whole_table(spark, sf_dir):
@@ -85,6 +100,12 @@ def test_merge_equals_sorting_all_rotations():
     assert transform(shards, source).tolist() == [before[i] for i in at]
 
 
+def test_texts_without_repeats_and_clashing_names(spark):
+    rows = [("a" * 30, 1, 2, 3), (None, 4, 5, 6)]
+    df = spark.createDataFrame(rows, "text string, key_0 int, ranges_0 int, _ranges int")
+    assert sorted(map(tuple, remove_repeats(df, RepeatConfig(length=40)).collect()), key=str) == sorted(rows, key=str)
+
+
 def test_texts_without_repeats_and_other_columns(spark):
     passage = "".join(random.Random(5).choice("abcdefgh é") for _ in range(500))
     rows = [(1, "x" + passage + "y", "k", 1), (2, "z" + passage, "k", 2), (None, "short", "k", 3), (4, None, "k", 4)]
