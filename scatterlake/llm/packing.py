@@ -4,20 +4,23 @@ Every example has a demand in three dimensions (tokens, segments, loss-bearing
 tokens) and a sequence has a limit in each. The next example of a sequence is
 the one that fits and whose demand has the largest dot product with what the
 sequence has left, all in shares of the limits. Where examples may be cut, the
-best example that does not fit whole is cut to fill the sequence.
+best example that does not fit whole is cut as far as tokens and loss allow.
 
 Packing runs per block of rows in the order they are read, so it needs no
 shuffle and its memory is bounded by a block. Where cutting is allowed, a
-block's rest is dealt into sequences whose lengths are powers of two, which need
-no padding, so small blocks waste nothing.
-
-Defined cases: null text is empty; a document always has at least its closing
-id; repeated rows are packed each; an example over a limit that may not be cut
-raises ``ValueError``; an empty table gives no pieces.
+sequence that a limit closes early is dealt into sequences whose lengths are
+powers of two, which need no padding, so small blocks waste nothing.
+
+Defined cases: null text (or prompt) is empty; a document always has at least its
+closing id, which bears no loss; repeated rows are packed each; a null id is
+carried through; very long texts are cut into full sequences; ties go to the
+earlier row; other columns are ignored, whatever their names; an example over a
+limit that may not be cut raises ``ValueError``; an empty table gives no pieces.
 """
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import zlib
@@ -33,7 +36,12 @@ from pyspark.sql import functions as F
 
 from .common import read_table, small_batches
 
-CACHE_ENTRIES = 700_000  # of each of a worker's two caches (about 130 MB)
+CACHE_ENTRIES = 800_000  # of a generation of a worker's larger cache (about 130 MB)
+
+
+#: Examples, and characters, that are packed together.
+BLOCK_ROWS = 512
+BLOCK_CHARS = 8 << 20
 
 
 @dataclass(frozen=True)
@@ -41,7 +49,7 @@ class Limits:
     """What one sequence may hold."""
 
     tokens: int = 4096
-    segments: int = 1024
+    segments: int = 256
     loss_tokens: int = 4096
 
 
@@ -54,57 +62,66 @@ class Piece:
     offset: int
 
 
-def pack(tokens: Iterable[int], loss: Iterable[int] | None = None, limits: Limits = Limits(), cut: bool = True) -> list[Piece]:
-    """Place examples with ``tokens[i]`` tokens, ``loss[i]`` of them loss-bearing.
+def pack(tokens: Iterable[int], loss: Iterable[int] | None = None, limits: Limits = Limits(), cut: bool = True, lead: Iterable[int] | None = None) -> list[Piece]:
+    """Place examples with ``tokens[i]`` tokens, ``loss[i]`` of them (all, by default) loss-bearing.
 
-    With ``cut`` every token must be loss-bearing or none known (``loss`` is None);
-    without it examples stay whole. Ties go to the earlier example.
+    Those are consecutive and begin behind ``lead[i]`` tokens (by default, so that they come last).
+    Without ``cut`` examples stay whole. Ties go to the earlier example.
     """
-    left = np.array(list(tokens), dtype=np.int64)
-    bears = left.copy() if loss is None else np.array(list(loss), dtype=np.int64)
-    if cut and loss is not None and not np.array_equal(left, bears):
-        raise ValueError("examples with masked tokens cannot be cut")
-    if not cut and len(left) and (left.max() > limits.tokens or bears.max() > limits.loss_tokens):
+    size = np.array(list(tokens), dtype=np.int64)
+    bearing = size.copy() if loss is None else np.array(list(loss), dtype=np.int64)
+    first = size - bearing if lead is None else np.array(list(lead), dtype=np.int64)
+    if not cut and len(size) and (size.max() > limits.tokens or bearing.max() > limits.loss_tokens):
         raise ValueError("an example exceeds a limit")
-    size = min(limits.tokens, limits.loss_tokens) if cut else limits.tokens
-    start, out, sequence = np.zeros(len(left), np.int64), [], 0
+    start, left, bears, out, sequence = np.zeros(len(size), np.int64), size.copy(), bearing.copy(), [], 0
+
+    def most(i: int, room: int, budget: int) -> int:
+        """How many of an example's next tokens fit into so many tokens and loss-bearing tokens."""
+        if bears[i] <= budget:
+            return min(room, int(left[i]))
+        return min(room, max(0, int(first[i] - start[i])) + budget)
+
+    def use(i: int, take: int) -> int:
+        """Take tokens off an example; returns how many of them bear loss."""
+        start[i] += take
+        left[i] -= take
+        now = int(bearing[i] - min(max(start[i] - first[i], 0), bearing[i]))
+        used = int(bears[i]) - now
+        bears[i] = now
+        return used
+
     if cut:  # whole sequences of long examples
-        for i in np.flatnonzero(left >= size):
-            for _ in range(int(left[i] // size)):
-                out.append(Piece(int(i), int(start[i]), size, sequence, 0))
-                start[i] += size
+        for i in np.flatnonzero(left >= limits.tokens).tolist():
+            while left[i] >= limits.tokens and most(i, limits.tokens, limits.loss_tokens) == limits.tokens:
+                out.append(Piece(i, int(start[i]), limits.tokens, sequence, 0))
+                use(i, limits.tokens)
                 sequence += 1
-            left[i] = bears[i] = left[i] % size
     open_ = np.flatnonzero(left > 0)
     while len(open_):
-        room, seats, bearing, offset, chosen = size, limits.segments, limits.loss_tokens, 0, []
+        room, seats, budget, chosen = limits.tokens, limits.segments, limits.loss_tokens, []
         while room > 0 and seats > 0 and len(open_):
             need, loss_need = left[open_], bears[open_]
-            gain = need * (room / limits.tokens**2) + loss_need * (bearing / limits.loss_tokens**2) + seats / limits.segments**2
-            fits = (need <= room) & (loss_need <= bearing)
-            if fits.any():
-                at = int(np.argmax(np.where(fits, gain, -1.0)))
-                take = int(need[at])
-            elif cut and min(room, bearing) > 0:
-                at = int(np.argmax(gain))
-                take = min(room, bearing)
-            else:
-                break
+            gain = need * (room / limits.tokens**2) + loss_need * (budget / limits.loss_tokens**2) + seats / limits.segments**2
+            fits = (need <= room) & (loss_need <= budget)
+            if not fits.any():
+                if not cut:
+                    break
+                fits = (loss_need <= budget) | (first[open_] > start[open_]) | (budget > 0)  # what can be cut here
+                if not fits.any():
+                    break
+            at = int(np.argmax(np.where(fits, gain, -1.0)))
             i = int(open_[at])
-            used = int(bears[i]) if take == left[i] else take
+            take = most(i, room, budget)
             chosen.append((i, int(start[i]), take))
-            room, seats, bearing, offset = room - take, seats - 1, bearing - used, offset + take
-            start[i] += take
-            left[i] -= take
-            bears[i] -= used
+            room, seats, budget = room - take, seats - 1, budget - use(i, take)
             if left[i] == 0:
                 open_ = np.delete(open_, at)
-        if cut and not len(open_) and offset < size:
-            sequence = _powers_of_two(chosen, offset, sequence, out)
+        if cut and room > 0:
+            sequence = _powers_of_two(chosen, limits.tokens - room, sequence, out)
         else:
             at = 0
-            for i, first, take in chosen:
-                out.append(Piece(i, first, take, sequence, at))
+            for i, begin, take in chosen:
+                out.append(Piece(i, begin, take, sequence, at))
                 at += take
             sequence += 1
     return out
@@ -123,17 +140,39 @@ def _powers_of_two(chosen: list[tuple[int, int, int]], total: int, sequence: int
     return sequence
 
 
+class Cache:
+    """A bounded map in two generations: when the young one is full it becomes the old one, and what is asked again moves back."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def missing(self, keys: Iterable[str]) -> list[str]:
+        """The distinct keys that neither generation has; the others are young now."""
+        new = set(keys).difference(self.young)
+        if self.old:
+            back = new.intersection(self.old)
+            self.young.update(zip(back, map(self.old.__getitem__, back), strict=True))
+            new -= back
+        return list(new)
+
+    def turn(self) -> None:
+        if len(self.young) > self.most:
+            self.young, self.old = {}, self.young
+
+
 class WordTokenizer:
     """Ids of whole texts by a tokenizer that lower-cases and drops white space, word by word through bounded caches.
 
-    White space never joins or changes a word's ids in such a tokenizer. Plain
-    words (Latin letters, perhaps one mark behind) are lower-cased first and
-    encoded many at a time. Texts with a separator that Python splits at and the
-    tokenizer does not are encoded whole.
+    White space never joins or changes a word's ids in such a tokenizer. Texts of
+    characters that lower-case one by one are lower-cased first. Plain words (Latin
+    letters, perhaps one mark behind) are encoded many at a time. Texts with a
+    separator that Python splits at and the tokenizer does not are encoded whole.
     """
 
-    #: Letters that stay one letter when they are composed and lower-cased, and marks that are one piece.
-    PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+)([.,;:!?)]?)")
+    #: Characters that stay one character when they are composed and lower-cased.
+    SIMPLE = re.compile("[\x00-\x1b\x20-\u012f\u0131-\u017f]*")
+    #: A plain word and its mark, or any other word, on each line.
+    PLAIN = re.compile("^(?:([a-z\u00df-\u00f6\u00f8-\u012f\u0131-\u017f]+)([.,;:!?)]?)|(.+))$", re.M)
     TOGETHER = 500
 
     def __init__(self, path: str):
@@ -141,91 +180,114 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None) or None
+        #: Ids that end a word; without a suffix that tells, plain words are encoded one by one.
+        self.ends_word = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
+        if suffix:
+            self.ends_word[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
+        self.known, self.words = Cache(CACHE_ENTRIES), Cache(CACHE_ENTRIES // 2)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn_words(self, words: list[str]) -> None:
-        """Encode plain words, joined by spaces, and cut the ids where words begin."""
+        """Encode plain words, joined by spaces, and cut the ids behind the ones that end a word."""
         for lo in range(0, len(words), self.TOGETHER):
             part = words[lo : lo + self.TOGETHER]
-            e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            owner = np.asarray(e.word_ids)
-            first = np.searchsorted(owner, np.arange(len(part) + 1)) * 4
-            if owner[-1] != len(part) - 1:  # a word fell into several pieces
-                self.words.update(zip(part, self._encode(part), strict=True))
+            ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) != len(part) or ends[-1] != len(ids):  # a word fell into several pieces
+                self.words.young.update(zip(part, self._encode(part), strict=True))
                 continue
-            data = np.asarray(e.ids, "<u4").tobytes()
-            self.words.update((w, data[first[i] : first[i + 1]]) for i, w in enumerate(part))
+            data, edge = ids.tobytes(), (ends * 4).tolist()
+            self.words.young.update(zip(part, [data[i:j] for i, j in zip([0, *edge], edge)]))  # noqa: B905
 
     def _learn(self, new: list[str]) -> None:
-        plain, other = {}, []
-        for w in new:
-            m = self.PLAIN.fullmatch(w)
-            if m:
-                plain[w] = (m[1].lower(), m[2])
-            else:
-                other.append(w)
-        self._learn_words(list({core for core, _ in plain.values() if core not in self.words}))
-        marks = {mark for _, mark in plain.values()}
-        mark_ids = dict(zip(marks, self._encode(list(marks)), strict=True))
-        known, words = self.known, self.words
-        for w, (core, mark) in plain.items():
-            known[w] = words[core] + mark_ids[mark] if mark else words[core]
-        known.update(zip(other, self._encode(other), strict=True))
+        parts = self.PLAIN.findall("\n".join(new))
+        self._learn_words(self.words.missing([core for core, _, _ in parts if core]))
+        marks = list({mark for _, mark, _ in parts if mark})
+        mark_ids = dict(zip(marks, self._encode(marks), strict=True)) | {"": b""}
+        other = [w for _, _, w in parts if w]
+        other_ids = dict(zip(other, self._encode(other), strict=True))
+        words = self.words.young
+        self.known.young.update(zip(new, [words[core] + mark_ids[mark] if core else other_ids[w] for core, mark, w in parts], strict=True))
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        split = [None if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]
-        known = self.known
-        if len(known) > CACHE_ENTRIES:
-            known.clear()
-        if len(self.words) > CACHE_ENTRIES:
-            self.words.clear()
-        new = set()
-        for words in split:
-            if words:
-                new.update(words)
-        self._learn([w for w in new if w not in known])
-        get = known.__getitem__
-        return [self._encode([t])[0] if words is None else b"".join(map(get, words)) for t, words in zip(texts, split, strict=True)]
+        self.known.turn()
+        self.words.turn()
+        split, simple = [], self.SIMPLE.fullmatch
+        for t in texts:
+            if simple(t):
+                split.append(t.lower().split())
+            else:
+                split.append(None if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split())
+        get = self.known.young.get
+        got = [None if words is None else list(map(get, words)) for words in split]
+        gaps = [[] if ids is None else [i for i, x in enumerate(ids) if x is None] for ids in got]
+        self._learn(self.known.missing([words[i] for words, at in zip(split, gaps, strict=True) for i in at]))
+        for words, ids, at in zip(split, got, gaps, strict=True):
+            for i in at:
+                ids[i] = get(words[i])
+        return [self._encode([t])[0] if ids is None else b"".join(ids) for t, ids in zip(texts, got, strict=True)]
 
 
 _made: dict[str, WordTokenizer] = {}  # one tokenizer, with its cache, per worker
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, closing_id: int = 2, limits: Limits = Limits()) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, closing_id: int = 2, limits: Limits = Limits(), prompt: str | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    ``tokenizer_path`` must exist on every executor (an installed vocabulary).
+    ``tokenizer_path`` must exist on every executor (an installed vocabulary). The ids of
+    ``text`` bear loss, those of the column ``prompt`` before it and the closing id do not.
     """
     small_batches(docs.sparkSession)
     closing = array("I", [closing_id]).tobytes()
 
+    def blocks(batches):
+        """Rows (doc_id, prompt, text) in blocks that do not depend on how rows come in batches."""
+        rows, size = [], 0
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "prompt", "text")), strict=True):
+                rows.append(row)
+                size += len(row[2] or "") + len(row[1] or "")
+                if len(rows) >= BLOCK_ROWS or size >= BLOCK_CHARS:
+                    yield rows
+                    rows, size = [], 0
+        if rows:
+            yield rows
+
     def run(batches):
         if tokenizer_path not in _made:
             _made[tokenizer_path] = WordTokenizer(tokenizer_path)
         coder = _made[tokenizer_path]
         sequences = TaskContext.get().partitionId() << 36
-        for batch in batches:
-            ids = [x + closing for x in coder.encode_all([t or "" for t in batch.column("text").to_pylist()])]
-            placed = pack([len(x) // 4 for x in ids], None, limits)
-            who = np.array([p.example for p in placed], np.int64)
+        gc.disable()  # strings and bytes hold no cycles, and there are many of them
+        for rows in blocks(batches):
+            ids = [x + closing for x in coder.encode_all([r[2] or "" for r in rows])]
+            lead = [0] * len(rows)
+            if prompt is not None:
+                before = coder.encode_all([r[1] or "" for r in rows])
+                lead = [len(x) // 4 for x in before]
+                ids = [x + y for x, y in zip(before, ids, strict=True)]
+            tokens = [len(x) // 4 for x in ids]
+            placed = pack(tokens, [n - k - 1 for n, k in zip(tokens, lead, strict=True)], limits, lead=lead)
+            who = [p.example for p in placed]
             crc = [zlib.crc32(memoryview(ids[p.example])[4 * p.start : 4 * (p.start + p.length)]) for p in placed]
             yield pa.record_batch({
-                "doc_id": batch.column("doc_id").take(pa.array(who)),
+                "doc_id": pa.array([rows[i][0] for i in who], pa.int64()),
                 "start": pa.array([p.start for p in placed], pa.int64()),
                 "length": pa.array([p.length for p in placed], pa.int64()),
                 "ids_crc32": pa.array(crc, pa.int64()),
-                "doc_tokens": pa.array([len(ids[i]) // 4 for i in who], pa.int64()),
+                "doc_tokens": pa.array([tokens[i] for i in who], pa.int64()),
                 "sequence_id": pa.array([sequences + p.sequence for p in placed], pa.int64()),
                 "offset": pa.array([p.offset for p in placed], pa.int64()),
             })
             sequences += 1 + max((p.sequence for p in placed), default=-1)
+        gc.enable()
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    before = F.lit(None).cast("string") if prompt is None else F.col(prompt)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), before.alias("prompt"), F.col("text").alias("text")).mapInArrow(run, schema)
 
 
 def packing_query(spark, sf_dir: str) -> DataFrame:

@@ -265,9 +265,10 @@ def recurring_runs(texts: DataFrame, config: RepeatConfig) -> DataFrame:
     def again(rows: DataFrame) -> DataFrame:
         rows = materialize(rows, "runs")
         path = written()[-1]
-        often = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        # written, so that the join below can split a frequent name over tasks
+        often = materialize(rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "names")
         out = materialize(rows.join(often, "gram"), "runs-again")
-        discard(texts.sparkSession, [path])
+        discard(texts.sparkSession, written()[-2:-1] + [path])
         return out
 
     found = again(texts.mapInArrow(find, _RUN))
