@@ -1,5 +1,5 @@
-"""Binned-scatter analytics on Spark DataFrames."""
+"""Binned scatter plots on Spark DataFrames."""
 
-from .plans.api import binscatter
+from .plans.api import bin_plot
 
-__all__ = ["binscatter"]
+__all__ = ["bin_plot"]

@@ -34,10 +34,6 @@ def step(x: Column, edge: float) -> Column:
     return (x >= F.lit(edge)).cast("double")
 
 
-def hinge(x: Column, edge: float) -> Column:
-    return F.greatest(x - F.lit(edge), F.lit(0.0))
-
-
 def bin_index(x: Column, interior: Sequence[float]) -> Column:
     """Number of interior edges at or below x: left-closed bins with open ends."""
     if not len(interior):
@@ -46,6 +42,15 @@ def bin_index(x: Column, interior: Sequence[float]) -> Column:
     return sum(terms[1:], terms[0])
 
 
+def bin_index_of_many(x: Column, interior: Sequence[float], width: int) -> Column:
+    """The same for many edges: compare with every ``width``-th edge, then with the edges of one run."""
+    edges = [float(e) for e in interior]
+    runs = [edges[i : i + width] for i in range(0, len(edges), width)]
+    heads = [r[0] for r in runs[1:]]
+    run = F.element_at(F.array(*[F.array(*[F.lit(e) for e in r]) for r in runs]), bin_index(x, heads) + 1)
+    return bin_index(x, heads) * F.lit(width) + F.size(F.filter(run, lambda e: x >= e))
+
+
 def per_bin(bin_: Column, values: Sequence[float]) -> Column:
     """The value of a row's bin."""
     return F.element_at(F.array(*[F.lit(float(v)) for v in values]), bin_ + 1)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import column
 
+# The prefix __ctrl_, the longest name, and eight digits of the digest.
 MAX_NAME = 64
 
 

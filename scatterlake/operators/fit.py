@@ -18,6 +18,7 @@ from .clean import Clean
 from .moments import BinMoments, cell_sums, gram
 
 GRID = 200
+UNTOLD = "a control is determined by the bins of x; its effect cannot be told from theirs"
 
 
 def indicator_basis(bins: int) -> np.ndarray:
@@ -114,7 +115,10 @@ def fit_bins(m: BinMoments, basis: np.ndarray) -> BinFit:
     if m.cells is not None:
         # effect of a cell beyond the mean that the re-centred fit already holds
         offset = projected[:, -1] - cell_mean @ theta - (y_mean - mean @ theta)
-    _check_estimable(m, n_bin, sw, k)
+    if m.cells is None:
+        _check_estimable(m, n_bin, sw, k)
+    else:
+        _check_estimable_within(m.n, a - m.n * np.outer(mean, mean), size)
     return BinFit(basis, theta, (inverse + inverse.T) / 2, cell_mean, mean, offset, n_bin[:, 1] / n_bin[:, 0], m.n, rank)
 
 
@@ -124,14 +128,29 @@ def _check_estimable(m: BinMoments, n_bin: np.ndarray, sw: np.ndarray, k: int) -
     A combination of controls that does not vary within bins must not vary between
     them either; a repeated or constant control does neither and is harmless.
     """
-    if not k or m.cells is not None:
+    if not k:
         return
     means = sw[:, 0] / n_bin[:, :1]
     within = m.ww - (means * n_bin[:, :1]).T @ means
     values, vectors = np.linalg.eigh(within)
     null = vectors[:, values <= 1e-10 * max(1.0, m.n)]
     if null.size and np.abs(means @ null).max() > 1e-6:
-        raise ValueError("a control is determined by the bins of x; its effect cannot be told from theirs")
+        raise ValueError(UNTOLD)
+
+
+def _check_estimable_within(n: int, within: np.ndarray, size: int) -> None:
+    """The same with absorbed levels: ``within`` has the sums of products of [basis, w] about their projections.
+
+    A combination of controls that varies within levels must not be a combination of the basis there.
+    """
+    if size == len(within):
+        return
+    bins, cross, own = within[:size, :size], within[:size, size:], within[size:, size:]
+    left = own - cross.T @ np.linalg.lstsq(bins, cross, rcond=1e-10)[0]
+    values, vectors = np.linalg.eigh((left + left.T) / 2)
+    null = vectors[:, values <= 1e-10 * max(1.0, n)]
+    if null.size and np.abs(np.diag(null.T @ own @ null)).max() > 1e-6 * n:
+        raise ValueError(UNTOLD)
 
 
 @dataclass(frozen=True)

@@ -10,18 +10,31 @@ many by conjugate gradients on all columns at once, preconditioned by counts.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Most distinct combinations of levels that the driver takes.
-MAX_CELLS = 5_000_000
+#: Most bytes of sums per combination of levels (and bin) that the driver takes.
+MAX_BYTES = 2 << 30
 DENSE_LEVELS = 400
 TOLERANCE = 1e-11
 MAX_ITERATIONS = 10_000
 
 
+@dataclass(frozen=True)
+class Grouped:
+    """Groups of rows: the code of each factor's level, the levels, further keys, and sums."""
+
+    codes: np.ndarray
+    levels: list[pa.Array]
+    keys: dict[str, np.ndarray]
+    sums: dict[str, np.ndarray]
+
+
 class Cells:
     """Codes of the levels of each cell, and the cells' counts."""
 
@@ -99,26 +112,52 @@ class Cells:
         return int(self.offset[-1]) - self.components() * (self.flat.shape[1] - 1)
 
 
-def check_cells(df: DataFrame, groups: Sequence[str], names: Sequence[str]) -> None:
-    """Refuse, before anything is collected, more combinations of levels than the driver can hold."""
-    n = df.select(*groups).distinct().limit(MAX_CELLS + 1).count()
-    if n > MAX_CELLS:
-        raise ValueError(f"{', '.join(names)} have more than {MAX_CELLS} combinations of levels")
-    if n == 0:
-        raise ValueError("no cells to absorb")
+def grouped(df: DataFrame, groups: Sequence[str], names: Sequence[str], more: Sequence[str], sums: dict[str, Column]) -> Grouped:
+    """Sums per observed combination of levels (and of the integer keys ``more``), as arrays.
+
+    One aggregation; its rows are counted where they are before any of them is
+    collected, and refused beyond ``MAX_BYTES`` of what the driver would hold.
+    """
+    keys = [*groups, *more]
+    rows = df.groupBy(*keys).agg(*[F.sum(c).alias(f"s_{a}") for a, c in sums.items()])
+    if groups:
+        rows = rows.persist()
+        try:
+            n = rows.count()
+            size = n * 8 * (len(keys) + 2 * len(sums))
+            if size > MAX_BYTES:
+                raise ValueError(f"{', '.join(names)}: {n} combinations of levels need {size >> 20} MB, of {MAX_BYTES >> 20} allowed")
+            if n == 0:
+                raise ValueError("no cells to absorb")
+            table = rows.toArrow()
+        finally:
+            rows.unpersist()
+    else:
+        table = rows.toArrow()
+    codes, levels = np.zeros((table.num_rows, len(groups)), np.int64), []
+    for f, g in enumerate(groups):
+        column = pc.dictionary_encode(table.column(g).combine_chunks())
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        codes[:, f] = column.indices.to_numpy(zero_copy_only=False)
+        levels.append(column.dictionary)
+    got = {a: table.column(f"s_{a}").to_numpy().astype(np.float64) for a in sums}
+    return Grouped(codes, levels, {k: table.column(k).to_numpy().astype(np.int64) for k in more}, got)
+
+
+def match(first: Grouped, again: Grouped) -> np.ndarray:
+    """For each group of ``again``, a group of ``first`` with the same levels; -1 where there is none."""
+    codes = np.empty_like(again.codes)
+    for f, level in enumerate(again.levels):
+        place = pc.index_in(level, value_set=first.levels[f])
+        codes[:, f] = place.fill_null(-1).to_numpy(zero_copy_only=False)[again.codes[:, f]]
+    _, both = np.unique(np.concatenate([first.codes, codes]), axis=0, return_inverse=True)
+    both = both.ravel()
+    where = np.full(both.max(initial=0) + 1, -1)
+    where[both[: len(first.codes)]] = np.arange(len(first.codes))
+    return where[both[len(first.codes) :]]
 
 
 def crosstab(df: DataFrame, groups: Sequence[str], bin_column: str | None = None) -> DataFrame:
     """Counts of each observed combination of levels (and bin)."""
     keys = [*groups, *([bin_column] if bin_column else [])]
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-
-
-def factorize(rows: Sequence, groups: Sequence[str]) -> np.ndarray:
-    """Codes of collected level labels of any type."""
-    codes = np.empty((len(rows), len(groups)), np.int64)
-    for f, g in enumerate(groups):
-        known: dict = {}
-        for i, r in enumerate(rows):
-            codes[i, f] = known.setdefault(r[g], len(known))
-    return codes

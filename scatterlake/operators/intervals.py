@@ -18,9 +18,13 @@ from pyspark.sql import functions as F
 from ..functions.exprs import affine, weighted
 from .clean import Clean
 from .fit import BinFit
+from .fixed_effects import Grouped, grouped, match
 from .moments import BinMoments, _pairs
 
 
+TWO_PASSES = "the two passes saw different groups; persist the input or make it deterministic"
+
+
 @dataclass(frozen=True)
 class Intervals:
     center: np.ndarray
@@ -33,7 +37,7 @@ def z_value(level: float) -> float:
     return NormalDist().inv_cdf((1 + level) / 2)
 
 
-def _weighted_moments(data: Clean, bin_: Column, fit: BinFit, m: BinMoments) -> dict[str, np.ndarray]:
+def _weighted_moments(data: Clean, bin_: Column, fit: BinFit, m: BinMoments) -> Grouped:
     """Per group, for each power p of r that is needed: n, x, xx, w, xw and (summed per cell) ww."""
     x, w = data.x, data.w
     k = len(w)
@@ -52,24 +56,21 @@ def _weighted_moments(data: Clean, bin_: Column, fit: BinFit, m: BinMoments) ->
             sums |= {f"{p}w{i}": e * w[i], f"{p}xw{i}": e * x * w[i]}
         for i, j in _pairs(k):
             sums[f"{p}w{i}_{j}"] = e * w[i] * w[j]
-    rows = df.groupBy(*data.groups, "_bin").agg(*[F.sum(c).alias(f"s_{a}") for a, c in sums.items()]).collect()
-    if len(rows) != len(m.bin):
-        raise ValueError("the two passes saw different groups; persist the input or make it deterministic")
-    got = {a: np.array([v[f"s_{a}"] for v in rows], np.float64) for a in sums}
-    got["bin"] = np.array([v["_bin"] for v in rows], np.int64)
-    got["labels"] = [tuple(v[g] for g in data.groups) for v in rows]
+    got = grouped(df, list(data.groups), data.categorical, ["_bin"], sums)
+    if len(got.keys["_bin"]) != len(m.bin):
+        raise ValueError(TWO_PASSES)
     return got
 
 
 def meat(data: Clean, bin_: Column, fit: BinFit, m: BinMoments) -> np.ndarray:
     """Sum over rows of e**2 times the outer product of the (re-centred) design row."""
-    got, size, k = _weighted_moments(data, bin_, fit, m), fit.size, len(data.w)
-    at = got["bin"]
+    again, size, k = _weighted_moments(data, bin_, fit, m), fit.size, len(data.w)
+    got, at = again.sums, again.keys["_bin"]
     if m.cells is None:
         offset, shift = np.zeros(len(at)), np.zeros((len(at), size + k))
         power = lambda a: got[f"2{a}"]
     else:
-        offset, shift = _cell_parts(fit, m, got)
+        offset, shift = _cell_parts(fit, m, again)
         power = lambda a: got[f"2{a}"] - 2 * offset * got[f"1{a}"] + offset**2 * got[f"0{a}"]
     s1 = np.stack([power("n"), power("x")], axis=1)
     s2 = np.stack([s1, np.stack([power("x"), power("xx")], axis=1)], axis=1)
@@ -97,12 +98,12 @@ def _by_bin(at: np.ndarray, values: np.ndarray, bins: int) -> np.ndarray:
     return out
 
 
-def _cell_parts(fit: BinFit, m: BinMoments, got: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Offset and design shift of each group of the second pass, by the cells' level labels."""
-    where = {label: c for label, c in zip(m.labels, m.cell, strict=True)}
-    mine = np.array([where.get(label, -1) for label in got["labels"]])
-    if (mine < 0).any():
-        raise ValueError("the two passes saw different groups; persist the input or make it deterministic")
+def _cell_parts(fit: BinFit, m: BinMoments, again: Grouped) -> tuple[np.ndarray, np.ndarray]:
+    """Offset and design shift of each group of the second pass, by the cells' levels."""
+    group = match(m.groups, again)
+    if (group < 0).any():
+        raise ValueError(TWO_PASSES)
+    mine = m.cell[group]
     return fit.offset[mine], fit.cell_mean[mine] - fit.design_mean
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .clean import Clean
-from .fixed_effects import Cells, check_cells, factorize
+from .fixed_effects import Cells, Grouped, grouped
 
 
 def _pairs(k: int) -> list[tuple[int, int]]:
@@ -29,10 +29,9 @@ def gram(df: DataFrame, features: Sequence[Column], response: Column) -> tuple[i
 
 def cell_sums(df: DataFrame, groups: Sequence[str], columns: Sequence[Column], names: Sequence[str]) -> tuple[Cells, np.ndarray]:
     """The cells of ``groups`` and the columns' sums in each."""
-    check_cells(df, groups, names)
-    rows = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(columns)]).collect()
-    sums = np.array([[r[f"s{i}"] for i in range(len(columns))] for r in rows], np.float64).reshape(len(rows), len(columns))
-    return Cells(factorize(rows, groups), np.array([r["n"] for r in rows]), names), sums
+    got = grouped(df, groups, names, [], {"n": F.lit(1.0)} | {str(i): c for i, c in enumerate(columns)})
+    sums = np.stack([got.sums[str(i)] for i in range(len(columns))], axis=1)
+    return Cells(got.codes, got.sums["n"], names), sums
 
 
 @dataclass
@@ -54,7 +53,7 @@ class BinMoments:
     wy: np.ndarray
     ww: np.ndarray
     n: int
-    labels: list  # levels of each group
+    groups: Grouped
 
     def per_bin(self, values: np.ndarray) -> np.ndarray:
         out = np.zeros((self.bins, *values.shape[1:]))
@@ -72,29 +71,26 @@ def bin_moments(data: Clean, bin_: Column, bins: int) -> BinMoments:
     x, y, w = data.x, data.y, data.w
     k = len(w)
     df, groups = data.df, list(data.groups)
-    if groups:
-        check_cells(df, groups, data.categorical)
     sums = {"n": F.lit(1.0), "y": y, "yy": y * y, "x": x, "xx": x * x, "xy": x * y}
     for i in range(k):
         sums |= {f"w{i}": w[i], f"xw{i}": x * w[i], f"yw{i}": y * w[i]}
     for i, j in _pairs(k):
         sums[f"w{i}_{j}"] = w[i] * w[j]
-    rows = df.groupBy(*groups, bin_.alias("_bin")).agg(*[F.sum(c).alias(f"s_{a}") for a, c in sums.items()]).collect()
-    got = {a: np.array([r[f"s_{a}"] for r in rows], np.float64) for a in sums}
-    cells, cell = None, np.zeros(len(rows), np.int64)
+    all_groups = grouped(df.withColumn("_bin", bin_), groups, data.categorical, ["_bin"], sums)
+    got, at = all_groups.sums, all_groups.keys["_bin"]
+    cells, cell = None, np.zeros(len(at), np.int64)
     if groups:
-        codes = factorize(rows, groups)
-        unique, cell = np.unique(codes, axis=0, return_inverse=True)
+        unique, cell = np.unique(all_groups.codes, axis=0, return_inverse=True)
         cell = cell.ravel()
         cells = Cells(unique, np.bincount(cell, got["n"]), data.categorical)
     ww = np.zeros((k, k))
     for i, j in _pairs(k):
         ww[i, j] = ww[j, i] = got[f"w{i}_{j}"].sum()
-    stack = lambda *a: np.stack([got[v] for v in a], axis=1) if a else np.zeros((len(rows), 0))
+    stack = lambda *a: np.stack([got[v] for v in a], axis=1) if a else np.zeros((len(at), 0))
     return BinMoments(
-        bins, cells, cell, np.array([r["_bin"] for r in rows], np.int64),
+        bins, cells, cell, at,
         stack("n", "x"), np.stack([stack("n", "x"), stack("x", "xx")], axis=1), stack("y", "xy"),
         np.stack([stack(*[f"w{i}" for i in range(k)]), stack(*[f"xw{i}" for i in range(k)])], axis=1),
         float(got["yy"].sum()), np.array([got[f"yw{i}"].sum() for i in range(k)]), ww, int(round(got["n"].sum())),
-        [tuple(r[g] for g in groups) for r in rows],
+        all_groups,
     )

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import bin_index
+from ..functions.exprs import bin_index, bin_index_of_many
 
 ACCURACY = 10_000
 #: Most distinct values that the driver takes.
@@ -77,10 +77,7 @@ def order_statistics(df: DataFrame, name: str, ranks: Sequence[int], n: int, dis
                 good = [r for r in mine if below <= r < below + size]
                 found |= _read([v for v in rows if lo <= v["v"] <= hi], good, below)
             missed = [r for r, _ in todo if r not in found]
-            if missed:  # the sketch lied about a rank: take it from the exact aggregate
-                exact = df.agg(F.percentile(x, F.array(*[F.lit(r / (n - 1)) for r in missed]))).first()[0]
-                found |= dict(zip(missed, exact, strict=True))
-            return found
+            return found | (by_halving(df, name, missed) if missed else {})  # the sketch lied about a rank
         # still too many rows: sketch again, inside the spans only
         narrow = {}
         for i, (lo, hi) in enumerate(spans):
@@ -93,11 +90,34 @@ def order_statistics(df: DataFrame, name: str, ranks: Sequence[int], n: int, dis
                 if got[2 * k] == got[2 * k + 1]:  # one value fills the bracket
                     found[r] = got[2 * k]
         if all(narrow[r] == b for r, b in todo if r in narrow and r not in found):
-            exact = df.agg(F.percentile(x, F.array(*[F.lit(r / (n - 1)) for r, _ in todo]))).first()[0]
-            return found | dict(zip([r for r, _ in todo], exact, strict=True))
+            return found | by_halving(df, name, [r for r, _ in todo if r not in found])
         brackets = [narrow.get(r, b) for r, b in zip(ranks, brackets, strict=True)]
 
 
+def _ordered(v: float) -> int:
+    """A whole number that rises with a finite double."""
+    bits = int(np.float64(v + 0.0).view(np.int64))
+    return bits if bits >= 0 else -(bits & 0x7FFFFFFFFFFFFFFF)
+
+
+def _double(k: int) -> float:
+    return float(np.int64(k).view(np.float64)) if k >= 0 else -float(np.int64(-k).view(np.float64))
+
+
+def by_halving(df: DataFrame, name: str, ranks: Sequence[int]) -> dict[int, float]:
+    """Values at ranks by counting rows at or below ever closer doubles: at most 64 counts, nothing is held or collected."""
+    x = F.col(name)
+    low, high = df.agg(F.min(x), F.max(x)).first()
+    span = {r: (_ordered(low), _ordered(high)) for r in ranks}
+    while any(a < b for a, b in span.values()):
+        middle = {r: (a + b) // 2 for r, (a, b) in span.items() if a < b}
+        counts = df.agg(*[F.count(F.when(x <= F.lit(_double(m)), 1)).alias(str(r)) for r, m in middle.items()]).first()
+        for r, m in middle.items():
+            a, b = span[r]
+            span[r] = (a, m) if counts[str(r)] > r else (m + 1, b)
+    return {r: _double(a) for r, (a, _) in span.items()}
+
+
 def _merged(spans: list[tuple[float, float]]) -> list[tuple[float, float]]:
     out: list[tuple[float, float]] = []
     for lo, hi in sorted(spans):
@@ -135,16 +155,14 @@ def interior_edges(edges: Sequence[float], low: float, high: float) -> list[floa
 def cut(df: DataFrame, name: str, splits: Sequence[float], out: str) -> DataFrame:
     """``df`` with the number of splits at or below column ``name``.
 
-    A few splits become comparisons in generated code; many are searched by
-    halving in the JVM, as an expression of their size would not be compiled.
+    A few splits become comparisons in generated code; with many, comparisons with
+    some of them choose a short run of the others.
     """
     splits = [float(v) for v in splits]
     if len(splits) <= FEW_SPLITS:
         return df.withColumn(out, bin_index(F.col(name), splits).cast("int"))
-    from pyspark.ml.feature import Bucketizer
-
-    bounds = [-float("inf"), *splits, float("inf")]
-    return Bucketizer(splits=bounds, inputCol=name, outputCol=out).transform(df).withColumn(out, F.col(out).cast("int"))
+    width = max(FEW_SPLITS, -(-len(splits) // FEW_SPLITS))
+    return df.withColumn(out, bin_index_of_many(F.col(name), splits, width).cast("int"))
 
 
 def assign(df: DataFrame, interior: Sequence[float]) -> DataFrame:

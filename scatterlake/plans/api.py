@@ -28,7 +28,7 @@ logger = logging.getLogger("scatterlake")
 TOO_FEW_BINS = "Could not produce at least 2 bins; check the distribution of the x column."
 
 
-def binscatter(df, x, y, controls=None, num_bins="dpi", return_type="plotly", poly_line=None, categorical=None, ci="none", ci_level=0.95, *,
+def bin_plot(df, x, y, controls=None, num_bins="dpi", return_type="plotly", poly_line=None, categorical=None, ci="none", ci_level=0.95, *,
                quantile_method="exact", persist=True, **figure_options):
     """Mean of ``y`` in quantile bins of ``x``, adjusted for controls.
 

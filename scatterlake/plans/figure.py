@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import logging
+import warnings
 from collections.abc import Sequence
 
-logger = logging.getLogger("scatterlake")
-MARGIN = 0.06872  # share of the span left free on either side
-RESERVED = ("x", "y", "range_x", "range_y")
+MARGIN = 0.06872  # fixed value: share of the span left free on either side
+SIZE = 8  # fixed value: markers, unless a size is given
+CURVE = "rgba(31, 119, 180, 0.95)"  # fixed value
+OWN = ("x", "y", "range_x", "range_y")  # set by the plot
+#: What a scatter's keywords become in the layout.
+LAYOUT = {"template": "template", "width": "width", "height": "height"}
 
 
 def axis_range(low: float, high: float) -> list[float]:
@@ -16,18 +19,28 @@ def axis_range(low: float, high: float) -> list[float]:
 
 
 def figure(rows: Sequence[dict], x: str, y: str, bounds: tuple[float, float], num_bins: int, polynomial=None, has_ci=False, **kwargs) -> dict:
-    """Dots, then the intervals, then the polynomial; the y range follows dots and intervals only."""
+    """Dots, then the intervals, then the polynomial; the y range follows dots and intervals only.
+
+    Keywords style the dots: size, opacity, color (one per dot), color_discrete_sequence,
+    symbol, hover_name, text, labels (titles of x and y), title, template, width, height, log_x, log_y.
+    """
     if len(rows) < num_bins or len({r["x"] for r in rows}) < num_bins:
-        raise ValueError("Quantiles are not unique. Decrease number of bins.")
-    for name in RESERVED:
+        raise ValueError("Quantiles are not unique. Decrease number of bins.")  # fixed value
+    for name in [k for k in OWN if k in kwargs]:
+        warnings.warn(f"{name} is set by the plot and is ignored", UserWarning, stacklevel=3)
+        kwargs.pop(name)
+    if "size" in kwargs:
+        warnings.warn("markers take the given size instead of the default", UserWarning, stacklevel=3)
+    labels = {x: x, y: y, "x": x, "y": y} | dict(kwargs.pop("labels", None) or {})
+    marker = {"size": kwargs.pop("size", SIZE), "color": (kwargs.pop("color_discrete_sequence", None) or ["black"])[0]}
+    for name in ("color", "opacity", "symbol"):
+        if name in kwargs:
+            value = kwargs.pop(name)
+            marker[name] = value if isinstance(value, (str, int, float)) else list(value)
+    dots = {"type": "scatter", "mode": "markers", "name": "", "showlegend": False, "x": [r["x"] for r in rows], "y": [r["y"] for r in rows], "marker": marker}
+    for name, key in (("hover_name", "hovertext"), ("text", "text")):
         if name in kwargs:
-            logger.warning("%s is set by the plot and is ignored", name)
-            kwargs.pop(name)
-    size = kwargs.pop("size", 8)
-    if size != 8:
-        logger.warning("all markers have one size: %s", size)
-    dots = {"type": "scatter", "mode": "markers", "name": "", "showlegend": False, "x": [r["x"] for r in rows], "y": [r["y"] for r in rows],
-            "marker": {"size": size, "color": "black"}}
+            dots[key] = list(kwargs.pop(name))
     traces, seen = [dots], list(dots["y"])
     if has_ci:
         xs, ys = [], []
@@ -35,16 +48,24 @@ def figure(rows: Sequence[dict], x: str, y: str, bounds: tuple[float, float], nu
             xs += [r["x"], r["x"], None]
             ys += [r["ci_lower"], r["ci_upper"], None]
         seen += [v for v in ys if v is not None]
-        traces.append({"type": "scatter", "mode": "lines", "name": "Confidence interval", "x": xs, "y": ys, "line": {"color": "black"}})
+        traces.append({"type": "scatter", "mode": "lines", "name": "Confidence interval", "showlegend": False, "hoverinfo": "skip",
+                       "x": xs, "y": ys, "line": {"color": "black", "width": 1}})
     if polynomial is not None:
-        traces.append({"type": "scatter", "mode": "lines", "name": f"Polynomial fit (deg {polynomial.degree})",
-                       "x": list(polynomial.grid_x), "y": list(polynomial.grid_y), "line": {"color": "black"}})
+        traces.append({"type": "scatter", "mode": "lines", "name": f"Polynomial fit (deg {polynomial.degree})", "showlegend": False,
+                       "x": list(polynomial.grid_x), "y": list(polynomial.grid_y), "line": {"color": CURVE, "width": 2}})
     layout = {
         "template": "simple_white",
-        "xaxis": {"title": {"text": x}, "range": axis_range(*bounds)},
-        "yaxis": {"title": {"text": y}, "range": axis_range(min(seen), max(seen))},
-        **kwargs,
+        "xaxis": {"title": {"text": labels["x"]}, "range": axis_range(*bounds)},
+        "yaxis": {"title": {"text": labels["y"]}, "range": axis_range(min(seen), max(seen))},
     }
+    if "title" in kwargs:
+        layout["title"] = {"text": kwargs.pop("title")}
+    for name, axis in (("log_x", "xaxis"), ("log_y", "yaxis")):
+        if kwargs.pop(name, False):
+            layout[axis] |= {"type": "log", "range": None}
+    layout |= {LAYOUT[k]: kwargs.pop(k) for k in list(kwargs) if k in LAYOUT}
+    if kwargs:
+        raise TypeError(f"the plot has no keyword {', '.join(sorted(kwargs))}")
     return {"data": traces, "layout": layout}
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import bin_index, column, finite
+from ..operators.quantiles import interior_edges
 
 
 def streaming_bin_means(stream: DataFrame, x: str, y: str, edges: Sequence[float], time: str | None = None, window: str = "1 hour",
@@ -19,7 +20,8 @@ def streaming_bin_means(stream: DataFrame, x: str, y: str, edges: Sequence[float
     """bin, n, mean of x and of y; per event-time window if ``time`` names a timestamp."""
     cx, cy = column(x).cast("double"), column(y).cast("double")
     rows = stream.where(finite(cx) & finite(cy))
-    keys = [bin_index(cx, list(edges)[1:-1]).cast("int").alias("bin")]
+    interior = interior_edges(edges, edges[0], edges[-1])  # ties and two values as in a batch
+    keys = [bin_index(cx, interior).cast("int").alias("bin")]
     if time is not None:
         rows = rows.withWatermark(time, watermark)
         keys.insert(0, F.window(column(time), window).alias("window"))

@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from scatterlake import binscatter
+from scatterlake import bin_plot
 from tests import dense
 
 
@@ -24,7 +24,7 @@ def frames(spark):
 
 
 def native(df, *args, **kwargs):
-    return binscatter(df, *args, return_type="native", **kwargs).toPandas().sort_values("bin")
+    return bin_plot(df, *args, return_type="native", **kwargs).toPandas().sort_values("bin")
 
 
 CASES = [
@@ -65,7 +65,7 @@ def test_selectors_equal_dense(frames, numeric, categorical):
 @pytest.mark.parametrize("controls", [(), ("z",), ("z", "firm")])
 def test_polynomial_overlay(frames, degree, controls):
     pdf, df = frames
-    spec = binscatter(df, "x", "y", controls=controls, num_bins=6, poly_line=degree)
+    spec = bin_plot(df, "x", "y", controls=controls, num_bins=6, poly_line=degree)
     trace = spec["data"][-1]
     a = np.stack([pdf.x**p for p in range(degree + 1)] + ([pdf.z - pdf.z.mean()] if "z" in controls else []), axis=1)
     if "firm" in controls:
@@ -124,32 +124,51 @@ def test_validation(frames):
         (TypeError, {"poly_line": "2"}), (ValueError, {"poly_line": 4}), (ValueError, {"ci": "x"}), (TypeError, {"ci": "rbc", "ci_level": True}),
         (ValueError, {"ci": "rbc", "ci_level": 1.0}), (ValueError, {"controls": 5}), (TypeError, {"controls": [5]}), (ValueError, {"controls": ["x"]}),
         (ValueError, {"controls": ["z", "z"]}), (ValueError, {"categorical": ["z"]}), (ValueError, {"controls": ["missing"]}),
-        (TypeError, {"controls": ["z"], "categorical": ["z"]}),
+        (TypeError, {"controls": ["z"], "categorical": ["z"]}), (TypeError, {"num_bins": 1.5}), (TypeError, {"num_bins": float("1.0000001")}),
+        (ValueError, {"num_bins": 0.5}), (ValueError, {"return_type": "x", "num_bins": None}), (ValueError, {"categorical": ["firm"]}),
+        (ValueError, {"controls": ["z"], "categorical": ["firm"]}), (ValueError, {"quantile_method": "guess"}),
     ]:
         with pytest.raises(error):
-            binscatter(df, "x", "y", **kwargs)
+            bin_plot(df, "x", "y", **kwargs)
     with pytest.raises(TypeError):
-        binscatter(df, 1, "y")
+        bin_plot(df, 1, "y")
     with pytest.raises(TypeError):
-        binscatter(df, "firm", "y")
+        bin_plot(df, "firm", "y")
     with pytest.raises(ValueError, match="reserved"):
-        binscatter(df, "bin", "y")
+        bin_plot(df, "bin", "y")
     with pytest.raises(TypeError, match="2 columns"):
-        binscatter(df.select("x"), "x", "y")
+        bin_plot(df.select("x"), "x", "y")
     with pytest.warns(UserWarning, match="IMSE-optimal"):
-        binscatter(df, "x", "y", num_bins="rot", ci="pointwise")
+        bin_plot(df, "x", "y", num_bins="rot", ci="pointwise")
     with pytest.raises(ValueError, match="determined by the bins"):
         told = df.sparkSession.range(100).selectExpr("id x", "id * 2 + rand(1) y", "cast(id >= 50 as int) k")
-        binscatter(told, "x", "y", controls="k", num_bins=2)
+        bin_plot(told, "x", "y", controls="k", num_bins=2)
+
+
+def test_what_is_false_means_no_control():
+    from scatterlake.plans.options import check
+
+    for nothing in (None, (), [], "", 0, False, {}):
+        assert check("x", "y", nothing).controls == ()
+    assert check("x", "y", poly_line=True).poly_line == 1 and check("x", "y", (c for c in "ab")).controls == ("a", "b")
 
 
 def test_figure(frames):
     pdf, df = frames
-    spec = binscatter(df, "x", "y", num_bins=5, ci="pointwise", poly_line=2, size=12, range_x=[0, 1])
+    with pytest.warns(UserWarning) as told:
+        spec = bin_plot(df, "x", "y", num_bins=5, ci="pointwise", poly_line=2, size=12, range_x=[0, 1], opacity=0.5, labels={"x": "Age"}, color=list("aabbc"), title="T", width=300)
+    said = [str(w.message) for w in told]
+    assert any("range_x is set" in m for m in said) and any("given size" in m for m in said)
+    assert spec["data"][0]["marker"] == {"size": 12, "color": list("aabbc"), "opacity": 0.5}
+    assert spec["layout"]["title"]["text"] == "T" and spec["layout"]["width"] == 300 and spec["layout"]["xaxis"]["title"]["text"] == "Age"
+    assert all(t["showlegend"] is False for t in spec["data"]) and spec["data"][1]["hoverinfo"] == "skip"
+    with pytest.raises(TypeError):
+        bin_plot(df, "x", "y", num_bins=5, no_such_keyword=1)
+    spec = bin_plot(df, "x", "y", num_bins=5, ci="pointwise", poly_line=2)
     assert [t["name"] for t in spec["data"]] == ["", "Confidence interval", "Polynomial fit (deg 2)"]
     span = pdf.x.max() - pdf.x.min()
     np.testing.assert_allclose(spec["layout"]["xaxis"]["range"], [pdf.x.min() - 0.06872 * span, pdf.x.max() + 0.06872 * span])
-    assert spec["layout"]["xaxis"]["title"]["text"] == "x" and spec["data"][0]["marker"]["size"] == 12
+    assert spec["layout"]["xaxis"]["title"]["text"] == "x" and spec["data"][0]["marker"] == {"size": 8, "color": "black"}
 
 
 def test_sources_and_stream(spark, frames, tmp_path):
@@ -174,3 +193,120 @@ def test_sources_and_stream(spark, frames, tmp_path):
     got = spark.table("means").toPandas().sort_values("bin")
     assert got.n.tolist() == np.bincount(bins).tolist()
     np.testing.assert_allclose(got.mean_y, [pdf.y[bins == b].mean() for b in range(4)])
+
+
+def test_stream_bins_ties_as_a_batch_does(spark, tmp_path):
+    from scatterlake.operators.quantiles import edges_of
+    from scatterlake.streaming.means import streaming_bin_means
+
+    for k, x in enumerate(([0.0] * 30 + [float(i) for i in range(1, 31)], [0.0, 1.0] * 25)):
+        pdf = pd.DataFrame({"x": x, "y": np.arange(len(x), dtype=float)})
+        path = str(tmp_path / f"t{k}")
+        spark.createDataFrame(pdf).write.parquet(path)
+        edges, _ = edges_of(np.quantile(pdf.x, [i / 5 for i in range(6)]).tolist())
+        stream = streaming_bin_means(spark.readStream.schema("x double, y double").parquet(path), "x", "y", edges)
+        query = stream.writeStream.format("memory").queryName(f"ties{k}").outputMode("complete").start()
+        query.processAllAvailable()
+        query.stop()
+        got = spark.table(f"ties{k}").toPandas().sort_values("bin")
+        batch = native(spark.createDataFrame(pdf), "x", "y", num_bins=5)
+        assert got.bin.tolist() == batch.bin.tolist()
+        np.testing.assert_allclose(got.mean_y, batch.y)
+
+
+def test_a_control_that_the_bins_determine_within_firms_is_refused(spark):
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"x": np.arange(400.0), "firm": [f"f{v}" for v in rng.integers(0, 5, 400)], "year": rng.integers(0, 4, 400), "y": rng.normal(size=400)})
+    pdf["told"] = (pdf.x >= 200).astype(float) + pdf.firm.str[1].astype(float) * 3
+    for scale in (1.0, 1e-9):
+        df = spark.createDataFrame(pdf.assign(told=pdf.told * scale))
+        with pytest.raises(ValueError, match="determined by the bins"):
+            bin_plot(df, "x", "y", controls=["told", "firm", "year"], categorical=["year"], num_bins=4)
+    # a control that the firms determine is redundant, not arbitrary
+    same = pdf.assign(told=pdf.firm.str[1].astype(float))
+    a = native(spark.createDataFrame(same), "x", "y", controls=["told", "firm"], num_bins=4)
+    b = native(spark.createDataFrame(same), "x", "y", controls=["firm"], num_bins=4)
+    np.testing.assert_allclose(a.y, b.y, atol=1e-8)
+
+
+@pytest.mark.parametrize("kind", ["pointwise", "rbc"])
+def test_three_factors(spark, kind):
+    pdf = panel(1200, 8)
+    pdf["state"] = np.random.default_rng(2).integers(0, 6, len(pdf))
+    df = spark.createDataFrame(pdf).repartition(3)
+    got = native(df, "x", "y", controls=["z", "firm", "year", "state"], categorical=["year", "state"], num_bins=5, ci=kind, persist=False)
+    args = (pdf.x.values, pdf.y.values, 5, [pdf.z.values], [pdf.firm.values, pdf.year.values, pdf.state.values])
+    np.testing.assert_allclose(got.y, dense.fit(*args)[1], rtol=1e-7, atol=1e-7)
+    np.testing.assert_allclose(got.ci_std_error, dense.fit(*args, kind=kind)[4], rtol=1e-3)  # the rank of three factors is a bound
+
+
+def test_nested_and_disconnected_designs_through_the_plug_in_and_intervals(spark):
+    from scatterlake.operators.clean import clean
+    from scatterlake.operators.selectors import direct_plug_in
+    from scatterlake.plans.options import check
+
+    pdf = panel(900, 5, firms=12)
+    number = pdf.firm.str[1:].astype(int)
+    for other in (number // 4, (number // 6) * 10 + pdf.year % 3):
+        frame = pdf.assign(group=other)
+        df = spark.createDataFrame(frame).repartition(2)
+        data = clean(df, check("x", "y", ["firm", "group"], categorical=["group"]))
+        columns = [frame.firm.values, frame.group.values]
+        assert direct_plug_in(data) == dense.dpi(frame.x.values, frame.y.values, (), columns)
+        got = native(df, "x", "y", controls=["firm", "group"], categorical=["group"], num_bins=4, ci="rbc")
+        np.testing.assert_allclose(got.ci_std_error, dense.fit(frame.x.values, frame.y.values, 4, (), columns, kind="rbc")[4], rtol=1e-6)
+
+
+def test_extreme_scales(spark):
+    pdf = panel(500, 4)
+    base = native(spark.createDataFrame(pdf), "x", "y", controls=["z"], num_bins=5)
+    for sx, sy in ((1e200, 1e-170), (1e-170, 1e200)):
+        got = native(spark.createDataFrame(pdf.assign(x=pdf.x * sx, y=pdf.y * sy, z=pdf.z * sx)), "x", "y", controls=["z"], num_bins=5)
+        np.testing.assert_allclose(got.y / sy, base.y, rtol=1e-7, atol=1e-9)
+        np.testing.assert_allclose(got.x / sx, base.x, rtol=1e-9, atol=1e-12)
+
+
+def test_sums_per_combination_are_bounded_before_they_are_collected(spark, monkeypatch):
+    from scatterlake.operators import fixed_effects
+
+    monkeypatch.setattr(fixed_effects, "MAX_BYTES", 2000)
+    with pytest.raises(ValueError, match="combinations of levels"):
+        bin_plot(spark.createDataFrame(panel(300)), "x", "y", controls="firm", num_bins=4)
+
+
+def test_many_levels(spark):
+    rng = np.random.default_rng(6)
+    n = 20_000
+    pdf = pd.DataFrame({"x": rng.normal(size=n), "firm": rng.integers(0, 5000, n)})
+    pdf["y"] = pdf.x + pdf.firm / 1000 + rng.normal(size=n)
+    got = native(spark.createDataFrame(pdf), "x", "y", controls="firm", categorical="firm", num_bins=6)
+    _, bins = dense.edges_and_bins(pdf.x.values, 6)
+    ind = pd.DataFrame(np.eye(6)[bins])
+    w, u = ind - ind.groupby(pdf.firm).transform("mean"), pdf.y - pdf.y.groupby(pdf.firm).transform("mean")
+    theta = np.linalg.lstsq(w.values[:, 1:], u.values, rcond=None)[0]
+    want = pdf.y.mean() - ind.values[:, 1:].mean(axis=0) @ theta + np.append(0, theta)
+    np.testing.assert_allclose(got.y, want, rtol=1e-8)
+
+
+def test_approximate_quantiles_are_near(frames):
+    pdf, df = frames
+    got = native(df, "x", "y", num_bins=6, quantile_method="approx")
+    exact = native(df, "x", "y", num_bins=6)
+    assert len(got) == 6 and np.abs(got.x - exact.x).max() < 0.3
+
+
+def test_a_changed_second_pass_is_noticed(spark):
+    from scatterlake.operators.clean import clean
+    from scatterlake.operators.fit import fit_bins, indicator_basis
+    from scatterlake.operators.intervals import std_errors
+    from scatterlake.operators.moments import bin_moments
+    from scatterlake.operators.quantiles import assign
+    from scatterlake.plans.options import check
+    from pyspark.sql import functions as F
+
+    data = clean(spark.createDataFrame(panel(400)), check("x", "y", ["firm"]))
+    data = data.binned(assign(data.df, [0.0, 0.7]))
+    m = bin_moments(data, F.col("_b"), 3)
+    changed = data.binned(data.df.withColumn("_g0", F.when(F.col("_g0") == "f003", "new").otherwise(F.col("_g0"))))
+    with pytest.raises(ValueError, match="two passes"):
+        std_errors(changed, F.col("_b"), fit_bins(m, indicator_basis(3)), m)

@@ -82,13 +82,21 @@ def test_one_hot_drops_the_first_level_and_constants(spark):
 @settings(max_examples=12, deadline=None)
 @given(st.integers(2, 6), st.integers(5, 12), st.integers(0, 10_000), st.floats(-5, 5), st.floats(0.1, 8))
 def test_affine_equivariance_and_permutation(spark, bins, per, seed, shift, factor):
-    from scatterlake import binscatter
+    from scatterlake import bin_plot
 
     rng = np.random.default_rng(seed)
     n = bins * per
     pdf = pd.DataFrame({"x": np.cumsum(rng.uniform(0.1, 1, n)), "y": rng.normal(size=n), "z": rng.normal(size=n)})
-    run = lambda p: binscatter(spark.createDataFrame(p), "x", "y", controls="z", num_bins=bins, return_type="native").toPandas()
+    run = lambda p: bin_plot(spark.createDataFrame(p), "x", "y", controls="z", num_bins=bins, return_type="native").toPandas()
     base = run(pdf)
     moved = run(pdf.assign(x=pdf.x * factor + shift, y=pdf.y * factor - shift).sample(frac=1, random_state=seed))
     np.testing.assert_allclose(moved.x, base.x * factor + shift, rtol=1e-7, atol=1e-7)
     np.testing.assert_allclose(moved.y, base.y * factor - shift, rtol=1e-6, atol=1e-6)
+
+
+def test_by_halving_equals_sorting(spark):
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.normal(size=200), [0.0, -0.0, 1e300, -1e300, 5e-324, -5e-324, 7.0, 7.0]])
+    df = spark.createDataFrame(pd.DataFrame({"_x": x}))
+    got = quantiles.by_halving(df, "_x", [0, 3, 50, 100, 101, 150, 206, 207])
+    assert got == {r: float(np.sort(x)[r]) for r in got}
