@@ -98,7 +98,7 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, words: int) -> Iterator[n
         elif hi - lo < words:
             whole = np.uint64(0)
             for k in range(lo, hi):
-                whole = mix(np.array([whole + hashed[k] + np.uint64(1000 + hi - lo)]))[0]
+                whole = mix(np.array([whole]) + hashed[k] + np.uint64(1000 + hi - lo))[0]
             yield np.array([whole])
         else:
             yield np.unique(rolled[lo : hi - words + 1])

@@ -3,13 +3,13 @@
 1. Winnowing. Every window of ``length`` bytes is assigned to the least hash of
    its k-byte grams, so equal windows meet under an equal gram. Runs of windows
    under one gram are the unit of work; grams that occur once end here.
-2. Crowded grams are dealt further. Equal windows hold their gram at an equal
-   offset, so the runs of a gram with too many different segments are cut into
-   ranges of offsets, and the bytes that all windows of a range share (its core)
-   join the gram's name. Ranges shrink to an eighth until no group is crowded; a
-   range of one offset has one segment per group, so every group is bounded.
-3. Runs with a recurring name become segments (the bytes that their windows
+2. Runs with a recurring gram become segments (the bytes that their windows
    cover). Equal segments collapse to one with a count.
+3. Crowded grams are dealt further. Equal windows hold their gram at an equal
+   offset, so the segments of a gram with too many of them are cut into ranges of
+   offsets, and the bytes that all windows of a range share (its core) join the
+   gram's name. Ranges shrink to an eighth until no name is crowded; a range of one
+   offset has one segment per name, so every name has a bounded number.
 4. Segments are dealt into buckets by name. A bucket parses its segments into
    content-defined phrases, builds the Burrows-Wheeler transform of the phrase
    strings shard by shard, merges the shards by interleave refinement, and reads
@@ -117,16 +117,14 @@ def _hash(data: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little")
 
 
-def dealt_further(data: bytes, found: list[tuple[int, int, int, int]], width: int, config: RepeatConfig) -> list[tuple[int, int, int, int, int]]:
-    """Runs (name, first, last, at) of one text cut into ranges of ``width`` offsets, named by the core too; with their segments' hashes."""
-    out, most = [], config.length - config.gram
-    for name, first, last, at in found:
-        for k in range((at - last) // width, (at - first) // width + 1):
-            low, high = k * width, min(most, (k + 1) * width - 1)
-            begin, end = max(first, at - high), min(last, at - low)
-            core = data[at - low : at - high + config.length]
-            new = _hash(b"%d %d %d " % (name, width, k) + core)
-            out.append((new, begin, end, at, _hash(data[begin : end + config.length])))
+def dealt_further(name: int, segment: bytes, lead: int, width: int, config: RepeatConfig) -> list[tuple[int, int, int, int]]:
+    """A segment with its gram at ``lead``, cut into ranges of ``width`` offsets: (name, first byte, length, lead) of each."""
+    out, most, windows = [], config.length - config.gram, len(segment) - config.length + 1
+    for k in range(max(0, lead - windows + 1) // width, lead // width + 1):
+        low, high = k * width, min(most, (k + 1) * width - 1)
+        first, last = max(0, lead - high), min(windows - 1, lead - low)
+        core = segment[lead - low : lead - high + config.length]
+        out.append((_hash(b"%d %d %d " % (name, width, k) + core), first, last - first + config.length, lead - first))
     return out
 
 
@@ -237,65 +235,92 @@ def _stay(data: bytes, spans: np.ndarray) -> bytes:
     return b"".join(out)
 
 
-def _int64(column) -> np.ndarray:
-    return column.to_numpy(zero_copy_only=False)
-
-
-_RUN = "gram long, key binary, first long, last long, at long, segment long"
-
-
-def _run_batch(keys: pa.Array, who, columns) -> pa.RecordBatch:
-    gram, first, last, at, segment = columns
-    return pa.record_batch({
-        "gram": pa.array(np.asarray(gram, np.uint64).view(np.int64)), "key": keys.take(pa.array(who, pa.int64())), "first": pa.array(first, pa.int64()),
-        "last": pa.array(last, pa.int64()), "at": pa.array(at, pa.int64()), "segment": pa.array(np.asarray(segment, np.uint64).view(np.int64)),
-    })
-
-
 def recurring_runs(texts: DataFrame, config: RepeatConfig) -> DataFrame:
-    """Runs (name, key, first, last) whose name recurs, in groups that are not crowded; texts: key, text."""
+    """Runs (gram, key, first, last, lead) whose gram recurs; texts: key, text. ``lead`` is null where the gram is not crowded."""
 
     def find(batches):
         for batch in batches:
             raw, offsets = text_buffers(batch.column("text"))
             got = [runs(raw[a:b], config) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            if got:
-                yield _run_batch(batch.column("key"), np.repeat(np.arange(len(got)), [len(g[0]) for g in got]), [np.concatenate([g[k] for g in got]) for k in range(5)])
-
-    def again(rows: DataFrame) -> DataFrame:
-        rows = materialize(rows, "runs")
-        path = written()[-1]
-        # written, so that the join below can split a frequent name over tasks
-        often = materialize(rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "names")
-        out = materialize(rows.join(often, "gram"), "runs-again")
-        discard(texts.sparkSession, written()[-2:-1] + [path])
-        return out
-
-    found = again(texts.mapInArrow(find, _RUN))
-    ready = []
+            if not got:
+                continue
+            gram, first, last, at, segment = (np.concatenate([g[k] for g in got]) for k in range(5))
+            yield pa.record_batch({
+                "gram": pa.array(gram.astype(np.uint64).view(np.int64)), "key": batch.column("key").take(pa.array(np.repeat(np.arange(len(got)), [len(g[0]) for g in got]))),
+                "first": pa.array(first.astype(np.int64)), "last": pa.array(last.astype(np.int64)), "lead": pa.array((at - first).astype(np.int32)),
+                "segment": pa.array(segment.astype(np.uint64).view(np.int64)),
+            })
+
+    spark = texts.sparkSession
+    before = written()
+    rows = materialize(texts.mapInArrow(find, "gram long, key binary, first long, last long, lead int, segment long"), "runs")
+    # written, so that the join below can split a frequent gram over tasks
+    often = materialize(rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "grams")
+    made = [x for x in written() if x not in before]
+    found = materialize(rows.join(often, "gram"), "runs-again")
+    discard(spark, made)
+    many = found.where(F.col("n") > config.crowd)
+    kinds = many.groupBy("gram", "segment").agg(F.lit(1)).groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"))
+    crowded = materialize(kinds.where(F.col("kinds") > config.crowd).select("gram"), "crowded")
+    columns = ["gram", "key", "first", "last"]
+    alone = F.lit(None).cast("int").alias("lead")
+    if crowded.isEmpty():
+        return found.select(*columns, alone)
+    return found.where(F.col("n") <= config.crowd).select(*columns, alone).unionByName(
+        many.join(crowded, "gram", "left_anti").select(*columns, alone)).unionByName(many.join(crowded, "gram", "left_semi").select(*columns, "lead"))
+
+
+def dealt_levels(crowded: DataFrame, config: RepeatConfig) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Segments of crowded names (gram, digest, lead, n, segment), dealt until no name is crowded.
+
+    Returns tables (gram, digest, n, segment) for the buckets, and per level where its
+    segments lie in the ones before (digest, parent, shift).
+    """
+    ready, lies = [], []
     for width in config.widths():
-        many = found.where(F.col("n") > config.crowd)
-        spread = many.groupBy("gram", "segment").agg(F.lit(1)).groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"))
-        crowded = materialize(spread.where(F.col("kinds") > config.crowd).select("gram"), "crowded")
-        if crowded.isEmpty():
-            break
-        ready += [found.where(F.col("n") <= config.crowd), many.join(crowded, "gram", "left_anti")]
 
         def further(batches, width=width):
             for batch in batches:
-                got = [
-                    dealt_further(text.encode(), [(r["gram"], r["first"], r["last"], r["at"]) for r in found], width, config)
-                    for text, found in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist(), strict=True)
-                ]
-                columns = list(zip(*[r for g in got for r in g], strict=True)) or [()] * 5
-                yield _run_batch(batch.column("key"), np.repeat(np.arange(len(got)), [len(g) for g in got]), columns)
-
-        by_text = many.join(crowded, "gram", "left_semi").groupBy("key").agg(F.collect_set(F.struct("gram", "first", "last", "at")).alias("runs"))
-        found = again(texts.join(by_text, "key").select("key", "text", "runs").mapInArrow(further, _RUN))
-    out = found.select("gram", "key", "first", "last")
-    for rows in ready:
-        out = out.unionByName(rows.select("gram", "key", "first", "last"))
-    return out
+                out = []
+                for gram, digest, lead, n, segment in zip(*(batch.column(c).to_pylist() for c in ("gram", "digest", "lead", "n", "segment")), strict=True):
+                    for name, first, length, at in dealt_further(gram, segment, lead, width, config):
+                        out.append((name - (1 << 63), _digest(segment[first : first + length], name - (1 << 63), at), at, n, digest, first, length))
+                cols = list(zip(*out, strict=True)) or [()] * 7
+                kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.int32()]
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["gram", "digest", "lead", "n", "parent", "shift", "length"])
+
+        schema = "gram long, digest binary, lead int, n long, parent binary, shift int, length int"
+        parts = materialize(crowded.mapInArrow(further, schema), "dealt")
+        # one row per different segment, from any of its parents
+        each = parts.groupBy("gram", "digest").agg(F.sum("n").alias("n"), F.min(F.struct("parent", "shift", "length", "lead")).alias("one"))
+        names = materialize(each.groupBy("gram").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")).where("total > 1"), "names")
+        source = crowded.select(F.col("digest").alias("parent"), "segment")
+        kept = each.join(names, "gram").select("gram", "digest", "n", "kinds", "one.*").join(source, "parent")
+        kept = materialize(kept.select("gram", "digest", "lead", "n", "kinds", F.expr("substring(segment, shift + 1, length)").alias("segment")), "dealt-segments")
+        full = kept.where((F.col("kinds") > config.crowd) & F.lit(width > 1))
+        ready.append(kept.where((F.col("kinds") <= config.crowd) | F.lit(width == 1)).select("gram", "digest", "n", "segment"))
+        lies.append(parts.select("digest", "parent", "shift"))
+        if full.isEmpty():
+            break
+        crowded = full.select("gram", "digest", "lead", "n", "segment")
+    return ready, lies
+
+
+def _digest(segment: bytes, name: int, lead: int | None) -> bytes:
+    """128 bits of a segment, its name and the place of its gram, where that counts."""
+    person = b"" if lead is None else int(lead).to_bytes(4, "little")
+    return hashlib.blake2b(segment, digest_size=16, salt=name.to_bytes(8, "little", signed=True), person=person).digest()
+
+
+def _lifted(matched: DataFrame, lies: DataFrame) -> DataFrame:
+    """Matched windows of dealt segments, as windows of the segments that they are parts of."""
+
+    def lift(batches):
+        for batch in batches:
+            out = [(np.frombuffer(r, np.int64) + s).tobytes() for r, s in zip(batch.column("ranges").to_pylist(), batch.column("shift").to_pylist(), strict=True)]
+            yield pa.record_batch({"digest": batch.column("parent"), "ranges": pa.array(out, pa.binary())})
+
+    return lies.join(matched, "digest").select("parent", "shift", "ranges").mapInArrow(lift, "digest binary, ranges binary")
 
 
 def repeated_bytes(docs: DataFrame, config: RepeatConfig = RepeatConfig()) -> DataFrame:
@@ -308,10 +333,10 @@ def repeated_bytes(docs: DataFrame, config: RepeatConfig = RepeatConfig()) -> Da
     texts = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text"))
     texts = texts.select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("key"), "text").where(F.octet_length("text") >= config.length)
     # a text's runs: their number is bounded by the length of the text
-    by_text = recurring_runs(texts, config).groupBy("key").agg(F.collect_set(F.struct("first", "last", "gram")).alias("runs"))
+    by_text = recurring_runs(texts, config).groupBy("key").agg(F.collect_set(F.struct("first", "last", "gram", "lead")).alias("runs"))
 
-    kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
-    names = ["gram", "digest", "segment", "key", "first"]
+    kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int32()]
+    names = ["gram", "digest", "segment", "key", "first", "lead"]
 
     def send(out):
         cols = list(zip(*out, strict=True)) or [()] * len(kinds)
@@ -323,24 +348,34 @@ def repeated_bytes(docs: DataFrame, config: RepeatConfig = RepeatConfig()) -> Da
             out: list[tuple] = []
             for key, text, found in zip(batch.column("key"), batch.column("text"), batch.column("runs"), strict=True):
                 data, key = text.as_py().encode(), key.as_py()
-                fields = [_int64(found.values.field(c)) for c in ("gram", "first", "last")]
-                for gram, first, last in zip(*(f.tolist() for f in fields), strict=True):
+                for gram, first, last, lead in zip(*(found.values.field(c).to_pylist() for c in ("gram", "first", "last", "lead")), strict=True):
                     segment = data[first : last + config.length]
-                    digest = hashlib.blake2b(segment, digest_size=16, salt=gram.to_bytes(8, "little", signed=True)).digest()
+                    digest = _digest(segment, gram, lead)
                     new = digest not in sent
                     if new:
                         if len(sent) >= 200_000:
                             sent.clear()
                         sent.add(digest)
-                    out.append((gram, digest, segment if new else None, key, first))
+                    out.append((gram, digest, segment if new else None, key, first, lead))
                     if len(out) >= 4096:
                         yield send(out)
                         out = []
             yield send(out)
 
     joined = texts.join(by_text, "key").select("key", "text", "runs")
-    parts = materialize(joined.mapInArrow(cut, "gram long, digest binary, segment binary, key binary, first long"), "segments")
-    size = parts.agg(F.sum(F.octet_length("segment"))).first()[0] or 0
+    schema = "gram long, digest binary, segment binary, key binary, first long, lead int"
+    parts = materialize(joined.mapInArrow(cut, schema), "segments")
+    plain, crowded = parts.where("lead is null"), parts.where("lead is not null")
+    # copies of a segment are counted before the shuffle; its bytes come once for each task that met it
+    tally = plain.groupBy("gram", "digest").agg(F.count(F.lit(1)).alias("n")).withColumn("segment", F.lit(None).cast("binary"))
+    dealt = tally.unionByName(plain.where("segment is not null").select("gram", "digest", F.lit(0).cast("long").alias("n"), "segment"))
+    lies: list[DataFrame] = []
+    if not crowded.isEmpty():
+        one = crowded.groupBy("gram", "digest", "lead").agg(F.count(F.lit(1)).alias("n"), F.max("segment").alias("segment"))
+        ready, lies = dealt_levels(materialize(one, "crowded-segments"), config)
+        for rows in ready:
+            dealt = dealt.unionByName(rows)
+    size = dealt.agg(F.sum(F.octet_length("segment"))).first()[0] or 0
     buckets = max(1, -(-size // config.bucket_bytes))
 
     def solve(segments: dict[bytes, bytes], counts: dict[bytes, int]) -> pa.RecordBatch:
@@ -363,13 +398,14 @@ def repeated_bytes(docs: DataFrame, config: RepeatConfig = RepeatConfig()) -> Da
         if segments:
             yield solve(segments, counts)
 
-    # copies of a segment are counted before the shuffle; its bytes come once for each task that met it
-    tally = parts.groupBy("gram", "digest").agg(F.count(F.lit(1)).alias("n")).withColumn("segment", F.lit(None).cast("binary"))
-    bytes_ = parts.where("segment is not null").select("gram", "digest", F.lit(0).cast("long").alias("n"), "segment")
-    dealt = tally.unionByName(bytes_).withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(int(buckets))))
+    dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(int(buckets))))
     # buckets pass one after the other through a task, so it holds one at a time, and each segment once
     dealt = dealt.repartition("bucket").sortWithinPartitions("bucket").select("bucket", "digest", "segment", "n")
     matched = dealt.mapInArrow(bucket, "digest binary, ranges binary")
+    if lies:
+        matched = materialize(matched, "matched")
+        for level in reversed(lies):
+            matched = matched.unionByName(_lifted(matched, level))
     hits = parts.select("digest", "key", "first").join(matched, "digest").select("key", F.struct("first", "ranges").alias("hit"))
 
     def gather(batches):
