@@ -13,12 +13,21 @@ o(n, m) elements and differ in at most d(n, m).
 * The boundary is the one of least cost over the histogram of sizes.
 
 Equal sets collapse to one class first, so groups of copies cost one row.
-Candidates are then verified on the whole sets in two rounds: first against the
-best-connected member of each list, then, only where a list still joins
-different components, block by block across these components, without making
-pairs of rows. No link between different sets
-is lost: each linked pair meets in a list, and is either verified or already
-connected. Sets are compared by 64-bit element hashes.
+Candidates are then verified on the whole sets in two rounds:
+
+* Every member of a list is compared with the list's best-connected one. Jaccard
+  distance is a metric, so a member at more than twice the threshold's distance
+  from the best one links with none of those that link with it.
+* What is left of a list (the members that did not link, and those near enough to
+  link with ones that did) is compared where it still joins different components:
+  block by block, without making pairs of rows. A list that would cost too many
+  comparisons is first dealt again by blocks under another hash, as linked sets
+  agree on a block under every hash; lists that chance or a shared passage made
+  fall apart, and after a few times the rest is compared as it is.
+
+No link between different sets is lost: each linked pair meets in a list, and is
+verified, already connected, or ruled out by an exact bound. Sets are compared
+by 64-bit element hashes.
 
 Defined cases: null or blank text has an empty set, links with nothing and is
 its own component; fewer words than a shingle make the whole sequence one
@@ -38,12 +47,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, components, materialize, mix, pieces, prefix_hash, read_table, small_batches, span_hash, text_buffers, word_spans
+from .common import LOWER, components, fresh, materialize, mix, pieces, prefix_hash, read_table, small_batches, span_hash, text_buffers, word_spans
 
 _SEEN = 200_000  # classes remembered by one task, so that copies are sent once
 MAX_LIGHT = 64
 SKETCH_BITS = 2048
-BLOCK = 512  # sets of one block of a large family
+BLOCK = 512  # sets of one block of a large list
+LEVELS = 5  # how often a list of many comparisons is dealt again
 BROADCAST_ROWS = 1_000_000  # most rows (of at most three longs) of a broadcast side
 HEAVY_ROW = 16  # cost of a heavy set's row against a light one's
 
@@ -66,6 +76,10 @@ class JaccardConfig:
         """Most elements in which linked sets of this total size differ."""
         return total * (self.den - self.num) // (self.num + self.den)
 
+    def nearness(self, total: int) -> int:
+        """Most elements in which sets of this total size differ that may both link with a third one."""
+        return total * (self.den - self.num) // self.num
+
     def links_only_equal(self, n: int) -> bool:
         """Whether a set of this size links with no other set than an equal one: one more element is too many."""
         return n * (self.den - self.num) < self.num
@@ -286,16 +300,21 @@ def may_link(p: bytes, q: bytes, n: int, m: int, config: JaccardConfig) -> bool:
 
 
 def sketched(pairs: DataFrame, sets: DataFrame, config: JaccardConfig) -> DataFrame:
-    """The pairs (a, b) that sizes and sketches do not rule out."""
+    """Of the pairs (a, b), those that may have a common partner; ``may`` tells whether they may link themselves."""
     both = sets.select(F.col("node").alias("a"), F.col("n").alias("n"), F.col("sketch").alias("x")).join(_checked(pairs), "a")
     both = both.join(sets.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("y")), "b")
 
     def run(batches):
         for batch in batches:
-            ok = [may_link(*row, config) for row in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "n", "m")), strict=True)]
-            yield pa.record_batch({"a": batch.column("a"), "b": batch.column("b")}).filter(pa.array(ok, pa.bool_()))
+            near, may = [], []
+            for x, y, n, m in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "n", "m")), strict=True):
+                size = min(len(x), len(y))
+                apart = int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum())
+                near.append(apart <= config.nearness(n + m))
+                may.append(apart <= config.difference(n + m) and config.den * min(n, m) >= config.num * max(n, m))
+            yield pa.record_batch({"a": batch.column("a"), "b": batch.column("b"), "may": pa.array(may, pa.bool_())}).filter(pa.array(near, pa.bool_()))
 
-    return both.select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long, may boolean")
 
 
 def possible_pairs(sketches: list[bytes], size: np.ndarray, component: np.ndarray, config: JaccardConfig) -> tuple[np.ndarray, np.ndarray]:
@@ -321,40 +340,69 @@ def possible_pairs(sketches: list[bytes], size: np.ndarray, component: np.ndarra
     return i[ok], j[ok]
 
 
-def across(members: DataFrame, sets: DataFrame, config: JaccardConfig) -> DataFrame:
-    """Links (a, b) between components of a family; members: node, family, component.
+def still_open(lists: DataFrame, part: DataFrame) -> DataFrame:
+    """Lists (sig, node) that join several components, with own (members of that component), size and cost (pairs across components)."""
+    rows = materialize(lists.join(part, "node"), "jaccard-members")
+    own = rows.groupBy("sig", "component").agg(F.count(F.lit(1)).alias("own"))
+    size = own.groupBy("sig").agg(F.sum("own").alias("size"), F.sum(F.col("own") * F.col("own").cast("double")).alias("inner"), F.count(F.lit(1)).alias("parts"))
+    size = materialize(size.where("parts > 1").select("sig", "size", ((F.col("size") * F.col("size").cast("double") - F.col("inner")) / 2).alias("cost")), "jaccard-open")
+    some = materialize(own.join(size, "sig"), "jaccard-parts")
+    return materialize(rows.join(some, ["sig", "component"]), "jaccard-lists")
 
-    Blocks hold sketches, not sets: only pairs that these cannot rule out are
-    verified on the whole sets.
 
-    A family is what split lists still hold together. Small families are compared
-    whole; a large one is dealt into blocks, and two blocks meet unless both are
-    parts of one component, so a component of any size costs only what lies outside it.
+def dealt_again(lists: DataFrame, sets: DataFrame, level: int, config: JaccardConfig) -> DataFrame:
+    """Lists (sig, node) for the members of each list that agree on a block under another hash."""
+    salt = mix(np.array([level + 1], np.uint64))
+
+    def run(batches):
+        for batch in batches:
+            sig, who = [], []
+            for node, items, old in zip(*(batch.column(c).to_pylist() for c in ("node", "items", "sigs")), strict=True):
+                keys = signatures(np.sort(mix(np.frombuffer(items, np.uint64) ^ salt)), 0, config)
+                for one in old:
+                    sig.append(mix(keys + mix(np.array([one], np.int64).view(np.uint64))))
+                who.append(np.full(len(keys) * len(old), node))
+            yield pa.record_batch({"sig": _signed(np.concatenate(sig) if sig else []), "node": pa.array(np.concatenate(who) if who else [], pa.int64())})
+
+    by_node = lists.groupBy("node").agg(F.collect_list("sig").alias("sigs"))
+    rows = materialize(sets.select("node", "items").join(by_node, "node").mapInArrow(run, "sig long, node long"), "jaccard-dealt")
+    several = materialize(rows.groupBy("sig").agg(F.count(F.lit(1)).alias("met")).where("met > 1").select("sig"), "jaccard-several")
+    return rows.join(several, "sig")
+
+
+def across(lists: DataFrame, sets: DataFrame, config: JaccardConfig) -> DataFrame:
+    """Links (a, b) between components of each list (see :func:`still_open`).
+
+    Blocks hold sketches, not sets: only pairs that these cannot rule out are
+    verified on the whole sets. Small lists are compared whole; a large one is
+    dealt into blocks, and two blocks meet unless both are parts of one component,
+    so a component of any size costs only what lies outside it.
     """
-    by_family, by_part = Window.partitionBy("family"), Window.partitionBy("family", "component")
-    dealt = members.withColumns({"size": F.count(F.lit(1)).over(by_family), "own": F.count(F.lit(1)).over(by_part)})
-    small = dealt.where(F.col("size") <= BLOCK).select("node", "family", "component", F.lit(0).alias("i"), F.lit(0).alias("j"))
-    large = dealt.where(F.col("size") > BLOCK)
+    small = lists.where(F.col("size") <= BLOCK).select("node", "sig", "component", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"))
+    large = lists.where(F.col("size") > BLOCK)
     alone = F.col("own") > BLOCK
     salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("own") / BLOCK))
     shelf = F.pmod(F.xxhash64("component"), F.ceil(F.col("size") / BLOCK))
     block = F.when(alone, F.xxhash64("component", salt)).otherwise(shelf)
-    large = large.withColumns({"block": block, "of": F.when(alone, F.col("component"))})
-    blocks = large.groupBy("family").agg(F.collect_set(F.struct("block", F.coalesce("of", F.lit(-1)).alias("of"))).alias("blocks"))
-    large = large.join(blocks, "family").withColumn("other", F.explode("blocks"))
+    large = large.select("node", "sig", "component", block.alias("block"), F.when(alone, F.col("component")).alias("of"))
+    blocks = materialize(large.groupBy("sig").agg(F.collect_set(F.struct("block", F.coalesce("of", F.lit(-1)).alias("of"))).alias("blocks")), "jaccard-blocks")
+    large = large.join(blocks, "sig").withColumn("other", F.explode("blocks"))
     large = large.where(F.col("of").isNull() | (F.col("of") != F.col("other.of")))
-    large = large.select("node", "family", "component", F.least("block", "other.block").alias("i"), F.greatest("block", "other.block").alias("j"))
-    units = small.unionByName(large).withColumn("unit", F.when(F.col("i") == F.col("j"), F.pmod("family", F.lit(4096))).otherwise(F.xxhash64("family", "i", "j")))
+    large = large.select("node", "sig", "component", F.least("block", "other.block").alias("i"), F.greatest("block", "other.block").alias("j"))
+    count = max(1, small.count() // (8 * BLOCK))  # units of small lists
+    few = F.pmod(F.xxhash64("sig"), F.lit(count))
+    units = small.withColumn("unit", few).unionByName(large.withColumn("unit", F.xxhash64("sig", "i", "j")))
 
     def unit(table: pa.Table) -> pa.Table:
         out = []
-        node, fam, part = (table.column(c).to_numpy() for c in ("node", "family", "component"))
-        key = np.stack([fam, table.column("i").to_numpy(), table.column("j").to_numpy()])
+        node, part = (table.column(c).to_numpy() for c in ("node", "component"))
+        key = np.stack([table.column(c).to_numpy() for c in ("sig", "i", "j")])
         size, sketch = table.column("n").to_numpy(), table.column("sketch")
         _, which = np.unique(key, axis=1, return_inverse=True)
-        which = which.ravel()
-        for g in range(int(which.max(initial=-1)) + 1):
-            at = np.flatnonzero(which == g)
+        order = np.argsort(which.ravel(), kind="stable")
+        edge = np.flatnonzero(np.diff(which.ravel()[order], prepend=-1, append=-1))
+        for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+            at = order[lo:hi]
             if len(at) > 1:
                 i, j = possible_pairs([sketch[int(k)].as_py() for k in at], size[at], part[at], config)
                 out.append(np.sort(np.stack([node[at[i]], node[at[j]]]), axis=0))
@@ -365,6 +413,30 @@ def across(members: DataFrame, sets: DataFrame, config: JaccardConfig) -> DataFr
     return verify(materialize(found.distinct(), "jaccard-pairs"), sets, config)
 
 
+def second_round(met: DataFrame, best: DataFrame, known: DataFrame, part: DataFrame, sets: DataFrame, config: JaccardConfig) -> DataFrame:
+    """Links between members of lists (sig, node) beside those with a list's best one; known: its (a, b, linked) for near pairs."""
+    ranked = met.join(best, "sig").where("node != best").select("sig", "node", "best", F.least("node", "best").alias("a"), F.greatest("node", "best").alias("b"))
+    rows = ranked.join(known, ["a", "b"], "left").select("sig", "node", "best", F.when(F.col("linked"), 2).when(F.col("linked").isNotNull(), 1).otherwise(0).alias("state"))
+    rows = materialize(rows, "jaccard-states")
+    near = materialize(rows.where("state = 1").select("sig", "best").distinct(), "jaccard-near")
+    beside = F.xxhash64("sig", F.lit("near")).alias("sig")
+    lists = rows.where("state < 2").select("sig", "node")
+    lists = lists.unionByName(rows.where("state > 0").join(near.select("sig"), "sig").select(beside, "node")).unionByName(near.select(beside, F.col("best").alias("node")))
+    ready, cheap = [], 2 * BLOCK * BLOCK
+    for level in range(LEVELS + 1):
+        rows = still_open(lists, part)
+        many = rows.where(F.col("cost") > cheap)
+        if level == LEVELS or many.isEmpty():
+            ready.append(rows)
+            break
+        ready.append(rows.where(F.col("cost") <= cheap))
+        lists = dealt_again(many, sets, level, config)
+    out = ready[0]
+    for rows in ready[1:]:
+        out = out.unionByName(rows)
+    return across(out, sets, config)
+
+
 def jaccard_groups(docs: DataFrame, config: JaccardConfig = JaccardConfig()) -> DataFrame:
     """doc_id, n_shingles, component_id, and class_id (smallest id with the same set) per row."""
     small_batches(docs.sparkSession)
@@ -378,10 +450,11 @@ def jaccard_groups(docs: DataFrame, config: JaccardConfig = JaccardConfig()) ->
     sigs = listed(docs, light, config).withColumns({"low": F.min("k1").over(by_sig), "high": F.max("k1").over(by_sig)})
     sigs = sigs.where("low < high").select("sig", "k1").distinct()
     named = classes.where("node is not null").select("k1", "node", "n")
-    met = materialize(sigs.join(named, "k1").withColumn("met", F.count(F.lit(1)).over(by_sig)).drop("k1"), "jaccard-lists")
+    met = materialize(sigs.join(named, "k1").select("sig", "node", "n"), "jaccard-met")
+    size = materialize(met.groupBy("sig").agg(F.count(F.lit(1)).alias("met")), "jaccard-sizes")
 
     # the whole sets of the classes that met another one
-    weight = materialize(met.groupBy("node").agg(F.sum("met").alias("weight")), "jaccard-nodes")
+    weight = materialize(met.join(size, "sig").groupBy("node").agg(F.sum("met").alias("weight")), "jaccard-nodes")
     chosen = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(_checked(weight.select("node")), "node", "left_semi")
 
     def run(batches):
@@ -399,22 +472,18 @@ def jaccard_groups(docs: DataFrame, config: JaccardConfig = JaccardConfig()) ->
         sets = materialize(sets.dropDuplicates(["node"]), "jaccard-sets")
 
     # first round: every member of a list with its best-connected member
-    ranked = met.join(weight, "node")
-    best = F.max(F.struct("weight", F.col("node").alias("id"), F.col("n").alias("size"))).over(by_sig)
-    ranked = ranked.withColumn("best", best).where(F.col("node") != F.col("best.id"))
-    fits = (config.den * F.least("n", "best.size") >= config.num * F.greatest("n", "best.size"))
-    first = ranked.where(fits).select(F.least("node", "best.id").alias("a"), F.greatest("node", "best.id").alias("b")).distinct()
-    first = materialize(sketched(materialize(first, "jaccard-pairs"), sets, config), "jaccard-pairs")
-    edges = materialize(verify(first, sets, config), "jaccard-links")
-
-    # second round: across the components that a list still joins
-    part = components(edges, weight.select("node"))
-    split = met.join(part, "node")
-    split = split.withColumns({"low": F.min("component").over(by_sig), "high": F.max("component").over(by_sig)}).where("low < high")
-    star = split.select(F.col("node").alias("a"), F.min("node").over(by_sig).alias("b")).where("a != b").distinct()
-    family = components(star, split.select("node").distinct()).withColumnRenamed("component", "family")
-    members = materialize(family.join(part, "node"), "jaccard-families")
-    more = materialize(across(members, sets, config), "jaccard-links")
+    best = met.join(weight, "node").groupBy("sig").agg(F.max(F.struct("weight", "node", "n")).alias("best"))
+    best = materialize(best.select("sig", F.col("best.node").alias("best"), F.col("best.n").alias("best_n")), "jaccard-best")
+    ranked = met.join(best, "sig").where("node != best")
+    fits = config.den * F.least("n", "best_n") >= (2 * config.num - config.den) * F.greatest("n", "best_n")
+    pairs = ranked.where(fits).select(F.least("node", "best").alias("a"), F.greatest("node", "best").alias("b")).distinct()
+    known = materialize(sketched(materialize(pairs, "jaccard-pairs"), sets, config), "jaccard-pairs")
+    edges = materialize(verify(known.where("may").select("a", "b"), sets, config), "jaccard-links")
+    known = known.select("a", "b").join(edges.withColumn("linked", F.lit(True)), ["a", "b"], "left").select("a", "b", F.coalesce("linked", F.lit(False)).alias("linked"))
+
+    # second round: what the first one leaves open
+    part = materialize(components(edges, weight.select("node")), "jaccard-components")
+    more = materialize(second_round(met.select("sig", "node"), best.select("sig", "best"), known, part, sets, config), "jaccard-links")
 
     found = components(edges.unionByName(more), classes.where("node is not null").select("node").distinct())
     keyed_class = classes.join(found, "node", "left").select("k1", "k2", F.col("n").alias("size"), "node", "component")
@@ -431,14 +500,15 @@ def keep_first_of_groups(docs: DataFrame, config: JaccardConfig = JaccardConfig(
     """One document of each group: the one with the smallest id.
 
     Rows without an id belong to no group and stay; of rows that share the id
-    that stays, one is kept.
+    that stays, one is kept. Other columns are kept, whatever their names.
     """
+    times, name, rank = (fresh(docs.columns, k) for k in ("times", "id", "rank"))
     groups = jaccard_groups(docs, config).where("doc_id is not null")
-    ids = groups.groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count(F.lit(1)).alias("_times"))
-    kept = docs.join(ids.where("doc_id = c").select(F.col("doc_id").alias("_id"), "_times"), F.col("doc_id").cast("long") == F.col("_id"))
-    once = kept.where("_times = 1").drop("_id", "_times")
-    first = Window.partitionBy("_id").orderBy(F.xxhash64("text"), "text")
-    again = kept.where("_times > 1").withColumn("_rank", F.row_number().over(first)).where("_rank = 1").drop("_id", "_times", "_rank")
+    ids = groups.groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count(F.lit(1)).alias(times))
+    kept = docs.join(ids.where("doc_id = c").select(F.col("doc_id").alias(name), times), F.col("doc_id").cast("long") == F.col(name))
+    once = kept.where(F.col(times) == 1).drop(name, times)
+    first = Window.partitionBy(name).orderBy(F.xxhash64("text"), "text")
+    again = kept.where(F.col(times) > 1).withColumn(rank, F.row_number().over(first)).where(F.col(rank) == 1).drop(name, times, rank)
     return once.unionByName(again).unionByName(docs.where("doc_id is null"))
 
 
