@@ -3,37 +3,35 @@
 Base rules fail very short texts and texts made of repeated five-word windows.
 The others are compared with language references by the Jensen-Shannon distance
 (base 2, 0 to 1) of two histograms: character classes, and common words with one
-bucket for all other words. References are sums over all documents of the
+bucket for all other words. Common words are learned: the most frequent ones of
+every language with enough text. References are sums over all documents of the
 language that pass the base rules. A document is rejected if even its nearest
 reference is too far; texts shorter than the guards are not judged by
 histograms, and the limits widen for short texts, since short samples diverge by chance.
 
-Everything is DataFrame expressions: no Python runs on the executors. A
-document's features are computed once and written to the shared folder; the
-references are a few rows per language, and become literals of the second pass.
-
-Defined cases: null text has no words and fails the base rules; documents
-without a language, or with one that has no word list, build no reference but
-are judged against all; without any reference only the base rules decide.
+Everything is DataFrame expressions: no Python runs on the executors. Frequent
+words come from a sketch of bounded size per language. A document's features are
+computed once and written to the shared folder; the references are a few rows per
+language, and become literals of the last pass.
+
+Defined cases: null text has no words and fails the base rules; very long texts
+are judged whole; repeated rows are judged each; documents without a language
+build no reference but are judged against all; documents of a language with too
+little text for a reference are judged by the base rules only, as are all where
+there is no reference; more than ``max_langs`` references raise ``ValueError``; a
+null id is carried through; other columns are ignored, or kept as they are by
+:func:`keep_quality`, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, read_table
+from .common import fresh, materialize, read_table
 
-# Ten very common function words of each reference language.
-COMMON_WORDS = {
-    "de": ["der", "die", "und", "in", "den", "von", "zu", "das", "mit", "sich"],
-    "en": ["the", "of", "and", "to", "in", "a", "is", "that", "it", "for"],
-    "es": ["de", "la", "que", "el", "en", "y", "los", "se", "del", "un"],
-    "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "du", "que"],
-}
 BREAK = r"[\x20\x09-\x0D]+"
 #: Character classes counted by removal; white space and the rest (letters of no case but lower) follow.
 CLASSES = {"upper": r"\p{Lu}+", "digit": r"\p{Nd}+", "symbol": r"[#*$%&|<>]+", "punctuation": r"[\p{P}\p{S}&&[^#*$%&|<>]]+"}
@@ -52,6 +50,10 @@ class QualityConfig:
     class_allowance: float = 1.6
     max_word_distance: float = 0.21
     word_allowance: float = 1.0
+    #: Common words of a language, and the words that it must have for a reference.
+    common: int = 10
+    reference_words: int = 2000
+    max_langs: int = 200
 
 
 def repeat_words(words: Column, size: int) -> Column:
@@ -91,22 +93,43 @@ def repeat_words(words: Column, size: int) -> Column:
     return _let(hashed, lambda h: _let(windows(h), lambda w: F.when(F.size(F.array_distinct(w)) == F.size(w), 0).otherwise(covered(w))))
 
 
+def _column(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def _let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once."""
     return F.transform(F.array(value), body)[0]
 
 
-def features(docs: DataFrame, config: QualityConfig = QualityConfig(), carry: bool = False) -> DataFrame:
+def _words(text: Column) -> Column:
+    return F.filter(F.split(text, BREAK), lambda w: w != "")
+
+
+def common_words(docs: DataFrame, config: QualityConfig = QualityConfig()) -> dict[str, list[str]]:
+    """The most frequent words (of letters) of every language with enough text, over all documents."""
+    if "lang" not in docs.columns:
+        return {}
+    rows = docs.where("lang is not null").select(F.col("lang").cast("string").alias("lang"), F.explode(_words(F.coalesce("text", F.lit("")))).alias("w"))
+    # the sketch is exact for words that make up more than about a thousandth of the text
+    top = rows.groupBy("lang").agg(F.expr(f"approx_top_k(w, {4 * config.common}, 4096)").alias("top"), F.count(F.lit(1)).alias("n"))
+    found = top.where(F.col("n") >= config.reference_words).limit(config.max_langs + 1).collect()
+    if len(found) > config.max_langs:
+        raise ValueError(f"more than {config.max_langs} languages")
+    return {r["lang"]: [x[0] for x in sorted(r["top"], key=lambda x: (-x[1], x[0])) if x[0].isalpha()][: config.common] for r in sorted(found)}
+
+
+def features(docs: DataFrame, common: dict[str, list[str]], config: QualityConfig = QualityConfig(), carry: str | None = None) -> DataFrame:
     """doc_id, lang, the base counts, class counts and common-word counts of each row.
 
-    With ``carry`` the row itself comes along in the struct column ``_doc``.
+    With ``carry`` the row itself comes along in a struct column of that name.
     """
-    carried = ["_doc"] if carry else []
-    listed = sorted({w for words in COMMON_WORDS.values() for w in words})
+    carried = [carry] if carry else []
+    listed = sorted({w for words in common.values() for w in words})
     text = F.coalesce("text", F.lit(""))
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None)
-    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.cast("string").alias("lang"), text.alias("text"), *[F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(c) for c in carried])
-    df = df.withColumn("words", F.filter(F.split("text", BREAK), lambda w: w != ""))
+    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.cast("string").alias("lang"), text.alias("text"), *[F.struct(*[_column(c) for c in docs.columns]).alias(name) for name in carried])
+    df = df.withColumn("words", _words(F.col("text")))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     removed = {k: (F.length("text") - F.length(F.regexp_replace("text", p, ""))).cast("long") for k, p in CLASSES.items()}
     n_chars = F.length("text").cast("long")
@@ -123,7 +146,7 @@ def features(docs: DataFrame, config: QualityConfig = QualityConfig(), carry: bo
         removed["digit"].alias("digit"),
         removed["punctuation"].alias("punctuation"),
         _let(
-            F.filter("words", lambda w: w.isin(listed)),
+            F.filter("words", lambda w: w.isin(listed) if listed else F.lit(False)),
             lambda m: F.transform(
                 F.array_distinct(m), lambda w: F.struct(w.alias("w"), (F.size(m) - F.size(F.array_remove(m, w))).cast("long").alias("n"))
             ),
@@ -143,9 +166,9 @@ def _with_rest(df: DataFrame) -> DataFrame:
     return df.withColumns({"space": space, "rest": rest})
 
 
-def references(rows: DataFrame) -> dict[str, dict]:
+def references(rows: DataFrame, common: dict[str, list[str]]) -> dict[str, dict]:
     """Class shares and common-word shares of every reference language (a few rows)."""
-    good = _with_rest(rows.where(~F.col("base_failed")).where(F.col("lang").isin(sorted(COMMON_WORDS))))
+    good = _with_rest(rows.where(~F.col("base_failed")).where(F.col("lang").isin(sorted(common)) if common else F.lit(False)))
     sums = good.groupBy("lang").agg(F.sum("n_words").alias("n_words"), *[F.sum(c).alias(c) for c in CLASS_COLUMNS]).collect()
     words = good.select("lang", F.explode("common").alias("c")).groupBy("lang", "c.w").agg(F.sum("c.n").alias("n")).collect()
     out = {}
@@ -162,62 +185,72 @@ def _term(p: Column, q: Column) -> Column:
     return F.when(p > 0, p * F.log2(p / m)).otherwise(0.0) / 2 + F.when(q > 0, q * F.log2(q / m)).otherwise(0.0) / 2
 
 
-def class_distance(shares: Sequence[float]) -> Column:
+def class_distance(shares: Column) -> Column:
     total = F.greatest(F.col("n_chars"), F.lit(1))
-    parts = [_term(F.col(c) / total, F.lit(float(q))) for c, q in zip(CLASS_COLUMNS, shares, strict=True)]
+    parts = [_term(F.col(c) / total, shares[i]) for i, c in enumerate(CLASS_COLUMNS)]
     return F.sqrt(F.greatest(sum(parts[1:], parts[0]), F.lit(0.0)))
 
 
-def word_distance(words: dict[str, float], other: float) -> Column:
-    """Buckets the document lacks add half their reference share, as a whole."""
+def word_distance(words: Column, listed: Column, other: Column) -> Column:
+    """To a reference's shares of ``words``; buckets the document lacks add half their reference share, as a whole."""
     n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
-    if not words:
-        words = {"": 0.0}
-    table = F.create_map(*[F.lit(x) for w in sorted(words) for x in (w, float(words[w]))])
 
     def add(acc, x):
-        q = F.coalesce(F.try_element_at(table, x["w"]), F.lit(0.0))
+        q = F.coalesce(F.try_element_at(words, x["w"]), F.lit(0.0))
         return F.struct((acc["d"] + _term(x["n"] / n, q)).alias("d"), (acc["q"] + q).alias("q"), (acc["n"] + x["n"]).alias("n"))
 
     zero = F.struct(F.lit(0.0).alias("d"), F.lit(0.0).alias("q"), F.lit(0).cast("long").alias("n"))
-    listed = sum(words.values())
     return F.aggregate(
         "common",
         zero,
         add,
-        lambda acc: F.sqrt(
-            F.greatest(acc["d"] + F.greatest(F.lit(listed) - acc["q"], F.lit(0.0)) / 2 + _term(1 - acc["n"] / n, F.lit(float(other))), F.lit(0.0))
-        ),
+        lambda acc: F.sqrt(F.greatest(acc["d"] + F.greatest(listed - acc["q"], F.lit(0.0)) / 2 + _term(1 - acc["n"] / n, other), F.lit(0.0))),
     )
 
 
-def judge(rows: DataFrame, refs: dict[str, dict], config: QualityConfig = QualityConfig()) -> DataFrame:
+def _literals(refs: dict[str, dict]) -> Column:
+    rows = []
+    for r in refs.values():
+        words = r["words"] or {"": 0.0}
+        rows.append(F.struct(
+            F.array(*[F.lit(float(q)) for q in r["classes"]]).alias("classes"),
+            F.create_map(*[F.lit(x) for w in sorted(words) for x in (w, float(words[w]))]).alias("words"),
+            F.lit(float(sum(words.values()))).alias("listed"), F.lit(float(r["other"])).alias("other"),
+        ))
+    return F.array(*rows)
+
+
+def judge(rows: DataFrame, refs: dict[str, dict], config: QualityConfig = QualityConfig(), carry: str | None = None) -> DataFrame:
     """The counts with js_class, js_words (to the nearest reference; null without one) and kept."""
     df = _with_rest(rows)
-    null = F.lit(None).cast("double")
-    by_class = [class_distance(r["classes"]) for r in refs.values()]
-    by_word = [word_distance(r["words"], r["other"]) for r in refs.values()]
-    df = df.withColumns({
-        "js_class": F.array_min(F.array(*by_class)) if by_class else null,
-        "js_words": F.array_min(F.array(*by_word)) if by_word else null,
-    })
+    if refs:
+        table = _literals(refs)
+        df = df.withColumns({
+            "js_class": F.array_min(F.transform(table, lambda r: class_distance(r["classes"]))),
+            "js_words": F.array_min(F.transform(table, lambda r: word_distance(r["words"], r["listed"], r["other"]))),
+        })
+    else:
+        df = df.withColumns({"js_class": F.lit(None).cast("double"), "js_words": F.lit(None).cast("double")})
     root = F.sqrt(F.greatest(F.col("n_words"), F.lit(1)).cast("double"))
-    long_enough = (F.col("n_chars") >= config.guard_chars) & (F.col("n_words") >= config.guard_words)
+    judged = (F.col("n_chars") >= config.guard_chars) & (F.col("n_words") >= config.guard_words)
+    judged = judged & (F.col("lang").isNull() | F.col("lang").isin(sorted(refs))) if refs else F.lit(False)
     strange = F.col("js_class") > config.max_class_distance + config.class_allowance / root
-    strange = long_enough & (strange | (F.col("js_words") > config.max_word_distance + config.word_allowance / root))
+    strange = judged & (strange | (F.col("js_words") > config.max_word_distance + config.word_allowance / root))
     counts = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    return df.select(*counts, (~F.col("base_failed") & ~F.coalesce(strange, F.lit(False))).alias("kept"), "js_class", "js_words", *[c for c in rows.columns if c == "_doc"])
+    return df.select(*counts, (~F.col("base_failed") & ~F.coalesce(strange, F.lit(False))).alias("kept"), "js_class", "js_words", *([carry] if carry else []))
 
 
 def quality_rules(docs: DataFrame, config: QualityConfig = QualityConfig()) -> DataFrame:
-    rows = materialize(features(docs, config), "quality")
-    return judge(rows, references(rows), config)
+    common = common_words(docs, config)
+    rows = materialize(features(docs, common, config), "quality")
+    return judge(rows, references(rows, common), config)
 
 
 def keep_quality(docs: DataFrame, config: QualityConfig = QualityConfig()) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns; rows are judged where they are, without a join."""
-    rows = materialize(features(docs, config, carry=True), "quality")
-    return judge(rows, references(rows), config).where("kept").select("_doc.*")
+    whole, common = fresh(docs.columns, "doc"), common_words(docs, config)
+    rows = materialize(features(docs, common, config, whole), "quality")
+    return judge(rows, references(rows, common), config, whole).where("kept").select(f"{whole}.*")
 
 
 def quality_query(spark, sf_dir: str) -> DataFrame:
