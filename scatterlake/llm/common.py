@@ -70,6 +70,11 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 _written: list[str] = []
 
 
+def note_written(path: str) -> None:
+    """Have a table that was written in another way discarded like the others."""
+    _written.append(path)
+
+
 def written() -> list[str]:
     return list(_written)
 

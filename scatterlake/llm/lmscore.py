@@ -14,7 +14,8 @@ frequent are split over shards by their successor, so no shard grows with a
 frequent word. Words are known by 64-bit hashes.
 
 Defined cases: null text is empty and holds the end token only; a null id is not
-held out; repeated rows count and are scored each; an empty table has no rows.
+held out; repeated rows count and are scored each; very long texts are one block
+of their own; other columns are ignored; an empty table has no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, fold, materialize, mix, pieces, prefix_hash, read_table, shared_dir, small_batches, span_hash, text_buffers, word_spans
+from .common import LOWER, fold, materialize, mix, note_written, pieces, prefix_hash, read_table, shared_dir, small_batches, span_hash, text_buffers, word_spans
 from .eliasfano import BigramTrie, probability
 
 START, END = np.uint64(1), np.uint64(2)  # no word hashes to these but by chance
@@ -40,6 +41,8 @@ START, END = np.uint64(1), np.uint64(2)  # no word hashes to these but by chance
 class LMConfig:
     #: Tokens of a block (a block also ends where a batch does).
     block_tokens: int = 2_000_000
+    #: Bytes of input for each bucket of blocks.
+    bucket_bytes: int = 16 << 20
     #: Distinct words or pairs that a shard aims at.
     shard_entries: int = 2_000_000
     #: Occurrences of a context that are kept in one shard.
@@ -239,11 +242,15 @@ def lm_scores(docs: DataFrame, config: LMConfig = LMConfig()) -> DataFrame:
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     name = f"lm_blocks_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/scatterlake/{name}"
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # buckets by block, so that blocks are never shuffled; as many as the size of the input asks for
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    buckets = min(100_000, max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), size // config.bucket_bytes))
     (to_blocks(docs, config).write.format("parquet").bucketBy(buckets, "block").option("path", path).saveAsTable(name))
     blocks = spark.table(name)
     entries = blocks.agg(F.sum(F.octet_length("words") / 8), F.sum(F.octet_length("tokens") / 3)).first()
     if entries[0] is None:
+        spark.sql(f"DROP TABLE {name}")
+        note_written(path)
         return spark.createDataFrame([], schema)
     word_shards = max(1, int(entries[0] // config.shard_entries) + 1)
     pair_shards = max(1, int(entries[1] // config.shard_entries) + 1)
@@ -313,7 +320,10 @@ def lm_scores(docs: DataFrame, config: LMConfig = LMConfig()) -> DataFrame:
             ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
             ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]})
 
-    return blocks.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(finish, schema)
+    out = blocks.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(finish, schema)
+    spark.sql(f"DROP TABLE {name}")  # the name only: its files stay for the lazy result, as those of materialize do
+    note_written(path)
+    return out
 
 
 def lm_query(spark, sf_dir: str) -> DataFrame:

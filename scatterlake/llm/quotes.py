@@ -191,6 +191,8 @@ def _paths(parents: DataFrame) -> DataFrame:
         at = hop.drop("moved")
         if not moved:
             break
+    else:
+        raise RuntimeError("threads did not settle")  # a thread of 2**40 replies
     return at.select("conv_id", "turn", F.concat(F.array("up"), "path").alias("path"), F.size("path").alias("depth"))
 
 

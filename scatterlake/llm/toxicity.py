@@ -112,7 +112,7 @@ def train(texts: list[str | None], labels: list[int], config: ToxicityConfig = T
 
 
 def train_bags(bags: list[Bag], y: np.ndarray, config: ToxicityConfig) -> ToxicityModel:
-    """The mean of models that leave out one part each, calibrated on what each left out."""
+    """The mean of models that leave out one part each, calibrated on what each left out. ``bags`` is overwritten."""
     rate = float(y.mean()) if len(y) else 0.0
     if rate in (0.0, 1.0):
         return constant(rate, config)
@@ -121,7 +121,9 @@ def train_bags(bags: list[Bag], y: np.ndarray, config: ToxicityConfig) -> Toxici
     place = np.full(1 << config.bits, -1, np.int32)
     place[kept] = np.arange(len(kept))
     weight = (config.stretch * (np.log(len(y) / seen[kept]) + 0.01)).astype(np.float32)
-    bags = [(at, x[ok] * weight[at]) for x, ok, at in ((x, place[s] >= 0, place[s][place[s] >= 0]) for s, x in bags)]
+    for i, (s, x) in enumerate(bags):  # in place: the bags are most of the memory
+        at = place[s]
+        bags[i] = (at[at >= 0], x[at >= 0] * weight[at[at >= 0]])
     part, all_rows = np.random.default_rng(config.seed).permutation(len(y)) % config.parts, np.arange(len(y))
     knots = None
     if all(min((y[part != k] == 1).sum(), (y[part != k] == 0).sum()) > 4 for k in range(config.parts)):
@@ -235,7 +237,10 @@ def fit(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityCon
         for batch in batches:
             rows += zip(*(batch.column(c).to_pylist() for c in ("doc_id", "toxic", "slots", "shares")), strict=True)
         rows.sort()
-        model = train_bags([(np.frombuffer(s, np.int32), np.frombuffer(x, np.float32)) for _, _, s, x in rows], np.array([r[1] for r in rows], np.int64), config)
+        y = np.array([r[1] for r in rows], np.int64)
+        bags = [(np.frombuffer(s, np.int32), np.frombuffer(x, np.float32)) for _, _, s, x in rows]
+        rows.clear()
+        model = train_bags(bags, y, config)
         yield pa.record_batch({
             "margin": pa.array([model.margin.tobytes()], pa.binary()), "bias": pa.array([model.bias]), "base": pa.array([model.base]),
             "logit": pa.array([[] if model.knots is None else model.knots[0]], pa.list_(pa.float64())), "rate": pa.array([[] if model.knots is None else model.knots[1]], pa.list_(pa.float64())),
