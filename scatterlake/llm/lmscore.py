@@ -244,6 +244,7 @@ def lm_scores(docs: DataFrame, config: LMConfig = LMConfig()) -> DataFrame:
     path = f"{shared_dir(spark)}/scatterlake/{name}"
     # buckets by block, so that blocks are never shuffled; as many as the size of the input asks for
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    size = size if size < 1 << 50 else 0  # rows that are not from files have no size
     buckets = min(100_000, max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), size // config.bucket_bytes))
     (to_blocks(docs, config).write.format("parquet").bucketBy(buckets, "block").option("path", path).saveAsTable(name))
     blocks = spark.table(name)
