@@ -9,8 +9,7 @@ language that pass the base rules. A document is rejected if even its nearest
 reference is too far; texts shorter than the guards are not judged by
 histograms, and the limits widen for short texts, since short samples diverge by chance.
 
-Everything is DataFrame expressions: no Python runs on the executors. Frequent
-words come from a sketch of bounded size per language. A document's features are
+Everything is DataFrame expressions: no Python runs on the executors. A document's features are
 computed once and written to the shared folder; the references are a few rows per
 language, and become literals of the last pass.
 
@@ -27,7 +26,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh, materialize, read_table
@@ -111,12 +110,16 @@ def common_words(docs: DataFrame, config: QualityConfig = QualityConfig()) -> di
     if "lang" not in docs.columns:
         return {}
     rows = docs.where("lang is not null").select(F.col("lang").cast("string").alias("lang"), F.explode(_words(F.coalesce("text", F.lit("")))).alias("w"))
-    # the sketch is exact for words that make up more than about a thousandth of the text
-    top = rows.groupBy("lang").agg(F.expr(f"approx_top_k(w, {4 * config.common}, 4096)").alias("top"), F.count(F.lit(1)).alias("n"))
-    found = top.where(F.col("n") >= config.reference_words).limit(config.max_langs + 1).collect()
+    counts = rows.groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(1, config.reference_words // 100))
+    # each task keeps its first words of a language before they are shuffled
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "w"))
+    top = counts.where(F.col("w").rlike(r"^\p{L}+$")).withColumn("rank", rank).where(F.col("rank") <= config.common)
+    found: dict[str, list[str]] = {}
+    for r in sorted(top.limit(config.common * (config.max_langs + 1)).collect(), key=lambda r: (r["lang"], r["rank"])):
+        found.setdefault(r["lang"], []).append(r["w"])
     if len(found) > config.max_langs:
         raise ValueError(f"more than {config.max_langs} languages")
-    return {r["lang"]: [x[0] for x in sorted(r["top"], key=lambda x: (-x[1], x[0])) if x[0].isalpha()][: config.common] for r in sorted(found)}
+    return found
 
 
 def features(docs: DataFrame, common: dict[str, list[str]], config: QualityConfig = QualityConfig(), carry: str | None = None) -> DataFrame:
@@ -166,13 +169,13 @@ def _with_rest(df: DataFrame) -> DataFrame:
     return df.withColumns({"space": space, "rest": rest})
 
 
-def references(rows: DataFrame, common: dict[str, list[str]]) -> dict[str, dict]:
+def references(rows: DataFrame, common: dict[str, list[str]], config: QualityConfig = QualityConfig()) -> dict[str, dict]:
     """Class shares and common-word shares of every reference language (a few rows)."""
     good = _with_rest(rows.where(~F.col("base_failed")).where(F.col("lang").isin(sorted(common)) if common else F.lit(False)))
     sums = good.groupBy("lang").agg(F.sum("n_words").alias("n_words"), *[F.sum(c).alias(c) for c in CLASS_COLUMNS]).collect()
     words = good.select("lang", F.explode("common").alias("c")).groupBy("lang", "c.w").agg(F.sum("c.n").alias("n")).collect()
     out = {}
-    for r in sorted(sums, key=lambda r: r["lang"]):
+    for r in sorted((r for r in sums if r["n_words"] >= config.reference_words), key=lambda r: r["lang"]):
         total = sum(r[c] for c in CLASS_COLUMNS)
         own = {x["w"]: x["n"] / r["n_words"] for x in words if x["lang"] == r["lang"]}
         out[r["lang"]] = {"classes": [r[c] / total for c in CLASS_COLUMNS], "words": own, "other": 1.0 - sum(own.values())}
@@ -243,14 +246,14 @@ def judge(rows: DataFrame, refs: dict[str, dict], config: QualityConfig = Qualit
 def quality_rules(docs: DataFrame, config: QualityConfig = QualityConfig()) -> DataFrame:
     common = common_words(docs, config)
     rows = materialize(features(docs, common, config), "quality")
-    return judge(rows, references(rows, common), config)
+    return judge(rows, references(rows, common, config), config)
 
 
 def keep_quality(docs: DataFrame, config: QualityConfig = QualityConfig()) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns; rows are judged where they are, without a join."""
     whole, common = fresh(docs.columns, "doc"), common_words(docs, config)
     rows = materialize(features(docs, common, config, whole), "quality")
-    return judge(rows, references(rows, common), config, whole).where("kept").select(f"{whole}.*")
+    return judge(rows, references(rows, common, config), config, whole).where("kept").select(f"{whole}.*")
 
 
 def quality_query(spark, sf_dir: str) -> DataFrame:
