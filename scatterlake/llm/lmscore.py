@@ -9,7 +9,9 @@ Nothing is broadcast or collected but four sums: the corpus is turned into
 blocks of tokens, written once, bucketed by block. Blocks exchange two kinds of
 messages with shards that each own a part of the vocabulary (words: counts and
 ids) or of the pairs (a trie, queried with the pairs that blocks ask for). A
-message is one row of packed arrays per block and shard. Contexts that are
+message is one row of packed arrays per block and shard; a block deals its entries
+by one sort and sends nothing to shards that it has none for, so its work does not
+grow with the shards and messages never outnumber entries. Contexts that are
 frequent are split over shards by their successor, so no shard grows with a
 frequent word. Words are known by 64-bit hashes.
 
@@ -142,9 +144,9 @@ class Block:
 
     def answered(self, rows: list[dict], shards: int) -> None:
         self.word_id, self.count = np.zeros(len(self.words), np.uint64), np.zeros(len(self.words), np.int64)
-        place = shard_of(self.words, shards)
+        places = dict(dealt(shard_of(self.words, shards)))
         for r in rows:
-            at = np.flatnonzero(place == r["shard"])
+            at = places[r["shard"]]
             self.word_id[at], self.count[at] = unpack(r["x"]), unpack(r["y"]).astype(np.int64)
 
     def pairs(self, config: LMConfig, shards: int):
@@ -167,6 +169,15 @@ def shard_of(values: np.ndarray, shards: int) -> np.ndarray:
     return (mix(values ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(shards)).astype(np.int64)
 
 
+def dealt(place: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """(shard, its entries in order) for each shard that occurs, by one sort however many shards there are."""
+    if not len(place):
+        return []
+    order = np.argsort(place, kind="stable")
+    edge = np.flatnonzero(np.diff(place[order], prepend=-1))
+    return list(zip(place[order[edge]].tolist(), np.split(order, edge[1:]), strict=True))
+
+
 def _rows(table: pa.Table) -> list[dict]:
     return table.to_pylist()
 
@@ -261,7 +272,7 @@ def lm_scores(docs: DataFrame, config: LMConfig = LMConfig()) -> DataFrame:
             for row in batch.to_pylist():
                 b = Block(row)
                 counts, place = b.train_counts(), shard_of(b.words, word_shards)
-                out = [[i, b.number, 0, _deltas(b.words[place == i]), pack(counts[place == i])] for i in range(word_shards)]
+                out = [[i, b.number, 0, _deltas(b.words[at]), pack(counts[at])] for i, at in dealt(place)]
                 yield from _messages(out).to_batches()
 
     asked = blocks.mapInArrow(ask_words, MESSAGE)
@@ -277,13 +288,11 @@ def lm_scores(docs: DataFrame, config: LMConfig = LMConfig()) -> DataFrame:
             b = Block(row)
             b.answered(_rows(right), word_shards)
             context, successor, _, counts, place = b.pairs(config, pair_shards)
-            for i in range(pair_shards):
-                at = np.flatnonzero(place == i)
-                if len(at):
-                    edge = np.flatnonzero(np.diff(context[at], prepend=-1))
-                    per = np.diff(np.append(edge, len(at)))
-                    ctx = context[at][edge]
-                    out.append([i, b.number, 1, _deltas(b.word_id[ctx]), pack(b.count[ctx]), pack(per), pack(b.word_id[successor[at]]), pack(counts[at])])
+            for i, at in dealt(place):
+                edge = np.flatnonzero(np.diff(context[at], prepend=-1))
+                per = np.diff(np.append(edge, len(at)))
+                ctx = context[at][edge]
+                out.append([i, b.number, 1, _deltas(b.word_id[ctx]), pack(b.count[ctx]), pack(per), pack(b.word_id[successor[at]]), pack(counts[at])])
         return _messages(out)
 
     asked = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(ask_pairs, MESSAGE)
@@ -297,10 +306,10 @@ def lm_scores(docs: DataFrame, config: LMConfig = LMConfig()) -> DataFrame:
             b = Block(row)
             b.answered([m for m in messages if m["kind"] == 0], word_shards)
             context, successor, inverse, _, place = b.pairs(config, pair_shards)
-            a = np.zeros(len(context))
+            a, places = np.zeros(len(context)), dict(dealt(place))
             for m in messages:
                 if m["kind"] == 1:
-                    a[place == m["shard"]] = probability(unpack(m["x"]))
+                    a[places[m["shard"]]] = probability(unpack(m["x"]))
             c = b.count[successor]
             single = np.where(c > 0, (c - discount) / max(1, tokens), discount * distinct / max(1, tokens))
             single = np.maximum(single, 1e-300)

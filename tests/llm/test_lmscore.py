@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from scatterlake.llm.eliasfano import STEPS, BigramTrie, EliasFano, probability, quantise
-from scatterlake.llm.lmscore import LMConfig, lm_scores
+from scatterlake.llm.lmscore import LMConfig, dealt, lm_scores
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -57,6 +57,20 @@ def test_equal_to_brute_force(spark, sf_dir):
     compare(spark, rows[:80] + rows[-6:], LMConfig(block_tokens=3000, shard_entries=2000, split=50))
 
 
+def test_more_shards_than_entries(spark):
+    rows = [(i, t) for i, t in enumerate(["a b a b c", "b c a", None, "A b", "d", "a b a b c", "e f g a", ""])]
+    compare(spark, rows, LMConfig(block_tokens=5, shard_entries=1, split=1))
+
+
+def test_entries_are_dealt_to_the_shards_that_occur():
+    assert dealt(np.zeros(0, np.int64)) == []
+    place = np.random.default_rng(3).integers(0, 10**6, 500) // 5000 * 7
+    got = dealt(place)
+    assert [i for i, _ in got] == sorted(set(place.tolist()))
+    for i, at in got:
+        assert at.tolist() == np.flatnonzero(place == i).tolist()
+
+
 def test_held_out_text_is_likelier_than_under_the_base(spark):
     rows = lm_scores(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").collect()
     assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
