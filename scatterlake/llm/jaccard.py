@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, components, fresh, materialize, mix, pieces, prefix_hash, read_table, small_batches, span_hash, text_buffers, word_spans
+from .common import LOWER, components, discard_since, fresh, materialize, mix, pieces, prefix_hash, read_table, small_batches, span_hash, text_buffers, word_spans, written
 
 _SEEN = 200_000  # classes remembered by one task, so that copies are sent once
 MAX_LIGHT = 64
@@ -342,12 +342,15 @@ def possible_pairs(sketches: list[bytes], size: np.ndarray, component: np.ndarra
 
 def still_open(lists: DataFrame, part: DataFrame) -> DataFrame:
     """Lists (sig, node) that join several components, with own (members of that component), size and cost (pairs across components)."""
+    before = written()
     rows = materialize(lists.join(part, "node"), "jaccard-members")
     own = rows.groupBy("sig", "component").agg(F.count(F.lit(1)).alias("own"))
     size = own.groupBy("sig").agg(F.sum("own").alias("size"), F.sum(F.col("own") * F.col("own").cast("double")).alias("inner"), F.count(F.lit(1)).alias("parts"))
     size = materialize(size.where("parts > 1").select("sig", "size", ((F.col("size") * F.col("size").cast("double") - F.col("inner")) / 2).alias("cost")), "jaccard-open")
     some = materialize(own.join(size, "sig"), "jaccard-parts")
-    return materialize(rows.join(some, ["sig", "component"]), "jaccard-lists")
+    out = materialize(rows.join(some, ["sig", "component"]), "jaccard-lists")
+    discard_since(lists.sparkSession, before, keep=1)
+    return out
 
 
 def dealt_again(lists: DataFrame, sets: DataFrame, level: int, config: JaccardConfig) -> DataFrame:
@@ -416,6 +419,7 @@ def across(lists: DataFrame, sets: DataFrame, config: JaccardConfig) -> DataFram
 def second_round(met: DataFrame, best: DataFrame, known: DataFrame, part: DataFrame, sets: DataFrame, config: JaccardConfig) -> DataFrame:
     """Links between members of lists (sig, node) beside those with a list's best one; known: its (a, b, linked) for near pairs."""
     ranked = met.join(best, "sig").where("node != best").select("sig", "node", "best", F.least("node", "best").alias("a"), F.greatest("node", "best").alias("b"))
+    spark, before = met.sparkSession, written()
     rows = ranked.join(known, ["a", "b"], "left").select("sig", "node", "best", F.when(F.col("linked"), 2).when(F.col("linked").isNotNull(), 1).otherwise(0).alias("state"))
     rows = materialize(rows, "jaccard-states")
     near = materialize(rows.where("state = 1").select("sig", "best").distinct(), "jaccard-near")
@@ -425,6 +429,8 @@ def second_round(met: DataFrame, best: DataFrame, known: DataFrame, part: DataFr
     ready, cheap = [], 2 * BLOCK * BLOCK
     for level in range(LEVELS + 1):
         rows = still_open(lists, part)
+        discard_since(spark, before, keep=1)  # what the lists were made from
+        before = written()
         many = rows.where(F.col("cost") > cheap)
         if level == LEVELS or many.isEmpty():
             ready.append(rows)
@@ -439,8 +445,10 @@ def second_round(met: DataFrame, best: DataFrame, known: DataFrame, part: DataFr
 
 def jaccard_groups(docs: DataFrame, config: JaccardConfig = JaccardConfig()) -> DataFrame:
     """doc_id, n_shingles, component_id, and class_id (smallest id with the same set) per row."""
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     rows = materialize(keyed(docs, config), "jaccard-rows")
+    before = written()
     classes = rows.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("node"))
     small = rows.where(F.col("n") < MAX_LIGHT + 8).groupBy("n").count().collect()
     light = boundary({r["n"]: r["count"] for r in small if r["n"] > 0}, config)
@@ -451,10 +459,12 @@ def jaccard_groups(docs: DataFrame, config: JaccardConfig = JaccardConfig()) ->
     sigs = sigs.where("low < high").select("sig", "k1").distinct()
     named = classes.where("node is not null").select("k1", "node", "n")
     met = materialize(sigs.join(named, "k1").select("sig", "node", "n"), "jaccard-met")
+    first = written()
     size = materialize(met.groupBy("sig").agg(F.count(F.lit(1)).alias("met")), "jaccard-sizes")
 
     # the whole sets of the classes that met another one
     weight = materialize(met.join(size, "sig").groupBy("node").agg(F.sum("met").alias("weight")), "jaccard-nodes")
+    discard_since(spark, first, keep=1)
     chosen = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(_checked(weight.select("node")), "node", "left_semi")
 
     def run(batches):
@@ -477,7 +487,9 @@ def jaccard_groups(docs: DataFrame, config: JaccardConfig = JaccardConfig()) ->
     ranked = met.join(best, "sig").where("node != best")
     fits = config.den * F.least("n", "best_n") >= (2 * config.num - config.den) * F.greatest("n", "best_n")
     pairs = ranked.where(fits).select(F.least("node", "best").alias("a"), F.greatest("node", "best").alias("b")).distinct()
+    first = written()
     known = materialize(sketched(materialize(pairs, "jaccard-pairs"), sets, config), "jaccard-pairs")
+    discard_since(spark, first, keep=1)
     edges = materialize(verify(known.where("may").select("a", "b"), sets, config), "jaccard-links")
     known = known.select("a", "b").join(edges.withColumn("linked", F.lit(True)), ["a", "b"], "left").select("a", "b", F.coalesce("linked", F.lit(False)).alias("linked"))
 
@@ -485,7 +497,8 @@ def jaccard_groups(docs: DataFrame, config: JaccardConfig = JaccardConfig()) ->
     part = materialize(components(edges, weight.select("node")), "jaccard-components")
     more = materialize(second_round(met.select("sig", "node"), best.select("sig", "best"), known, part, sets, config), "jaccard-links")
 
-    found = components(edges.unionByName(more), classes.where("node is not null").select("node").distinct())
+    found = materialize(components(edges.unionByName(more), classes.where("node is not null").select("node").distinct()), "jaccard-components")
+    discard_since(spark, before, keep=1)
     keyed_class = classes.join(found, "node", "left").select("k1", "k2", F.col("n").alias("size"), "node", "component")
     out = rows.join(keyed_class, (rows["k1"] == keyed_class["k1"]) & (rows["k2"] == keyed_class["k2"]) & (rows["n"] == keyed_class["size"]), "left")
     return out.select(
