@@ -21,11 +21,12 @@ limit that may not be cut raises ``ValueError``; an empty table gives no pieces.
 from __future__ import annotations
 
 import gc
+import json
 import os
 import re
 import zlib
 from array import array
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -140,95 +141,104 @@ def _powers_of_two(chosen: list[tuple[int, int, int]], total: int, sequence: int
     return sequence
 
 
-class Cache:
-    """A bounded map in two generations: when the young one is full it becomes the old one, and what is asked again moves back."""
+class WordCache(dict):
+    """Ids of words, in two generations: when the young one is full it becomes the old one, and what is asked again moves back."""
 
-    def __init__(self, most: int):
-        self.most, self.young, self.old = most, {}, {}
+    def __init__(self, encode: Callable[[str], bytes], most: int):
+        self.encode, self.most, self.old = encode, most, {}
 
-    def missing(self, keys: Iterable[str]) -> list[str]:
-        """The distinct keys that neither generation has; the others are young now."""
-        new = set(keys).difference(self.young)
-        if self.old:
-            back = new.intersection(self.old)
-            self.young.update(zip(back, map(self.old.__getitem__, back), strict=True))
-            new -= back
-        return list(new)
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.encode(word)
+        self[word] = ids
+        return ids
 
     def turn(self) -> None:
-        if len(self.young) > self.most:
-            self.young, self.old = {}, self.young
+        if len(self) > self.most:
+            self.old = self.copy()
+            self.clear()
+
+
+def _byte_characters() -> dict[int, int]:
+    """The character by which byte-level models write each byte."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return dict(zip(shown, shown, strict=True)) | {b: 256 + n for n, b in enumerate(hidden)}
 
 
 class WordTokenizer:
     """Ids of whole texts by a tokenizer that lower-cases and drops white space, word by word through bounded caches.
 
     White space never joins or changes a word's ids in such a tokenizer. Texts of
-    characters that lower-case one by one are lower-cased first. Plain words (Latin
-    letters, perhaps one mark behind) are encoded many at a time. Texts with a
+    characters that lower-case one by one are lower-cased first, unless they may hold
+    special tokens, which are found before. Latin words go to the tokenizer's
+    model directly, where its rules of normalizing and splitting are the ones that
+    ``PARTS`` applies; all others go through the whole tokenizer. Texts with a
     separator that Python splits at and the tokenizer does not are encoded whole.
     """
 
     #: Characters that stay one character when they are composed and lower-cased.
     SIMPLE = re.compile("[\x00-\x1b\x20-\u012f\u0131-\u017f]*")
-    #: A plain word and its mark, or any other word, on each line.
-    PLAIN = re.compile("^(?:([a-z\u00df-\u00f6\u00f8-\u012f\u0131-\u017f]+)([.,;:!?)]?)|(.+))$", re.M)
-    TOGETHER = 500
+    #: Words of printable ASCII and Latin letters, and the parts that such a lower-cased word is split into.
+    LATIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
+    #: Most of them have one or two.
+    PLAIN = re.compile(r"([a-z\u00df-\u00f6\u00f8-\u012f\u0131-\u017f]+)([!-/:-@\[-`{-~]*)")
+    PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u017f]+|[0-9]|[!-/:-@\[-`{-~]+")
+    RULES = (
+        {"type": "Sequence", "normalizers": [
+            {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        {"type": "Sequence", "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    )
+    #: What special tokens, which are not lower-cased, begin with.
+    SPECIAL = "<|"
+    SHOWN = _byte_characters()
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None) or None
-        #: Ids that end a word; without a suffix that tells, plain words are encoded one by one.
-        self.ends_word = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
-        if suffix:
-            self.ends_word[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
-        self.known, self.words = Cache(CACHE_ENTRIES), Cache(CACHE_ENTRIES // 2)
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn_words(self, words: list[str]) -> None:
-        """Encode plain words, joined by spaces, and cut the ids behind the ones that end a word."""
-        for lo in range(0, len(words), self.TOGETHER):
-            part = words[lo : lo + self.TOGETHER]
-            ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(self.ends_word[ids]) + 1
-            if len(ends) != len(part) or ends[-1] != len(ids):  # a word fell into several pieces
-                self.words.young.update(zip(part, self._encode(part), strict=True))
-                continue
-            data, edge = ids.tobytes(), (ends * 4).tolist()
-            self.words.young.update(zip(part, [data[i:j] for i, j in zip([0, *edge], edge)]))  # noqa: B905
-
-    def _learn(self, new: list[str]) -> None:
-        parts = self.PLAIN.findall("\n".join(new))
-        self._learn_words(self.words.missing([core for core, _, _ in parts if core]))
-        marks = list({mark for _, mark, _ in parts if mark})
-        mark_ids = dict(zip(marks, self._encode(marks), strict=True)) | {"": b""}
-        other = [w for _, _, w in parts if w]
-        other_ids = dict(zip(other, self._encode(other), strict=True))
-        words = self.words.young
-        self.known.young.update(zip(new, [words[core] + mark_ids[mark] if core else other_ids[w] for core, mark, w in parts], strict=True))
+        self.model = self.tokenizer.model
+        rules = tuple(part and json.loads(part.__getstate__()) for part in (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer))
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.lowers = all(t.startswith(self.SPECIAL) for t in added)
+        self.direct = self.lowers and rules == self.RULES
+        self.known, self.marks = WordCache(self._encode_word, CACHE_ENTRIES), WordCache(self._encode_part, 10_000)
+
+    def _encode(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+    def _encode_part(self, part: str) -> bytes:
+        if not part.isascii():
+            part = part.encode().decode("latin-1").translate(self.SHOWN)
+        return array("I", [t.id for t in self.model.tokenize(part)]).tobytes()
+
+    def _encode_word(self, word: str) -> bytes:
+        if self.direct:
+            lower = word.lower()
+            plain = self.PLAIN.fullmatch(lower)
+            if plain:
+                core, mark = plain.groups()
+                return self._encode_part(core) + self.marks[mark] if mark else self._encode_part(core)
+            if self.SPECIAL not in word and self.LATIN.fullmatch(word):
+                return b"".join(map(self._encode_part, self.PARTS.findall(lower)))
+        return self._encode(word)
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         self.known.turn()
-        self.words.turn()
-        split, simple = [], self.SIMPLE.fullmatch
+        self.marks.turn()
+        simple, special, ids_of, out = self.SIMPLE.fullmatch, self.SPECIAL, self.known.__getitem__, []
         for t in texts:
-            if simple(t):
-                split.append(t.lower().split())
+            if self.lowers and special not in t and simple(t):
+                out.append(b"".join(map(ids_of, t.lower().split())))
+            elif any(c in t for c in "\x1c\x1d\x1e\x1f"):
+                out.append(self._encode(t))
             else:
-                split.append(None if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split())
-        get = self.known.young.get
-        got = [None if words is None else list(map(get, words)) for words in split]
-        gaps = [[] if ids is None else [i for i, x in enumerate(ids) if x is None] for ids in got]
-        self._learn(self.known.missing([words[i] for words, at in zip(split, gaps, strict=True) for i in at]))
-        for words, ids, at in zip(split, got, gaps, strict=True):
-            for i in at:
-                ids[i] = get(words[i])
-        return [self._encode([t])[0] if ids is None else b"".join(ids) for t, ids in zip(texts, got, strict=True)]
+                out.append(b"".join(map(ids_of, t.split())))
+        return out
 
 
 _made: dict[str, WordTokenizer] = {}  # one tokenizer, with its cache, per worker
