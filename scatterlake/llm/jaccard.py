@@ -13,7 +13,8 @@ o(n, m) elements and differ in at most d(n, m).
 * The boundary is the one of least cost over the histogram of sizes.
 
 Equal sets collapse to one class first, so groups of copies cost one row.
-Candidates are then verified on the whole sets in two rounds:
+Candidates are then verified on the whole sets, made again from the texts of those
+that sketches leave open, in two rounds:
 
 * Every member of a list is compared with the list's best-connected one. Jaccard
   distance is a metric, so a member at more than twice the threshold's distance
@@ -37,7 +38,7 @@ component unless its set has another member.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import combinations
 from math import comb
@@ -52,6 +53,8 @@ from .common import LOWER, components, discard_since, fresh, materialize, mix, p
 _SEEN = 200_000  # classes remembered by one task, so that copies are sent once
 MAX_LIGHT = 64
 SKETCH_BITS = 2048
+LIST_ROWS = 1 << 19  # list rows that one task sorts at once
+PARTS = 2  # the lists are dealt in parts one after the other, as no other shuffle is as large
 BLOCK = 512  # sets of one block of a large list
 LEVELS = 5  # how often a list of many comparisons is dealt again
 BROADCAST_ROWS = 1_000_000  # most rows (of at most three longs) of a broadcast side
@@ -152,6 +155,22 @@ def light_sizes(n: int, config: JaccardConfig) -> list[int]:
     return sorted({config.overlap(n, m) for m in config.partners(n) if m != n or config.overlap(n, n) < n})
 
 
+def heavy_from(light: int, n: int, config: JaccardConfig) -> bool:
+    """Whether a set of this size stands in lists of heavy sets."""
+    return config.den * n >= config.num * (light + 1)
+
+
+def expected_rows(histogram: dict[int, int], elements: int, light: int, config: JaccardConfig) -> int:
+    """About the list rows of sets: counted for the sizes of the histogram, in proportion to the elements of all larger ones."""
+    total = 0
+    for n, docs in histogram.items():
+        if n <= light:
+            total += docs * sum(comb(n, c) for c in light_sizes(n, config))
+        if heavy_from(light, n, config):
+            total += docs * sum(p for _, p in heavy_rows(n, config))
+    return total + int(elements * max(sum(p for _, p in heavy_rows(n, config)) / n for n in range(MAX_LIGHT, 4 * MAX_LIGHT)))
+
+
 def boundary(histogram: dict[int, int], config: JaccardConfig) -> int:
     """The largest light size: the one of least cost over the histogram of sizes.
 
@@ -165,7 +184,7 @@ def boundary(histogram: dict[int, int], config: JaccardConfig) -> int:
         for n, docs in histogram.items():
             if n <= b:
                 total += docs * sum(comb(n, c) for c in light_sizes(n, config))
-            if config.den * n >= config.num * (b + 1):
+            if heavy_from(b, n, config):
                 total += HEAVY_ROW * docs * sum(p for _, p in heavy_rows(n, config))
         return total
 
@@ -183,7 +202,7 @@ def signatures(values: np.ndarray, light: int, config: JaccardConfig) -> np.ndar
         for c in light_sizes(n, config):
             gone = np.array([own[list(x)].sum(dtype=np.uint64) for x in combinations(range(n), n - c)], np.uint64)
             out.append(mix(whole - gone + np.uint64(c)))
-    if config.den * n >= config.num * (light + 1):
+    if heavy_from(light, n, config):
         high = values >> np.uint64(32)
         for c, blocks in heavy_rows(n, config):
             block = ((high * np.uint64(blocks)) >> np.uint64(32)).astype(np.int64)
@@ -226,8 +245,8 @@ def keyed(docs: DataFrame, config: JaccardConfig) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, k1 long, k2 long")
 
 
-def listed(docs: DataFrame, light: int, config: JaccardConfig) -> DataFrame:
-    """Inverted-list rows (sig, k1); a task sends a class once for each fill of its memory."""
+def listed(docs: DataFrame, light: int, config: JaccardConfig, part: int) -> DataFrame:
+    """Inverted-list rows (sig, k1) of one of the parts; a task sends a class once for each fill of its memory."""
 
     def run(batches):
         seen: set[tuple[int, int]] = set()
@@ -241,7 +260,8 @@ def listed(docs: DataFrame, light: int, config: JaccardConfig) -> DataFrame:
                     if len(seen) >= _SEEN:
                         seen.clear()
                     seen.add(key)
-                    sig.append(signatures(s, light, config))
+                    keys = signatures(s, light, config)
+                    sig.append(keys[keys % np.uint64(PARTS) == part])
                     who.append(key)
                 times = [len(x) for x in sig]
                 yield pa.record_batch({
@@ -252,8 +272,65 @@ def listed(docs: DataFrame, light: int, config: JaccardConfig) -> DataFrame:
     return docs.select("text").mapInArrow(run, "sig long, k1 long")
 
 
-def verify(pairs: DataFrame, sets: DataFrame, config: JaccardConfig) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the threshold."""
+def shared(lists: DataFrame, tasks: int) -> DataFrame:
+    """The rows (sig, k1) of lists in which two classes meet, most of which do not.
+
+    Each task holds one row of a list until a second class meets it, and passes on what
+    follows, so that nothing is sorted on disk and a list of any length costs no memory.
+    """
+
+    def run(batches):
+        none = np.zeros(0, np.int64)
+        sig, key, held, met = [none], [none], 0, none
+
+        def settle():
+            nonlocal sig, key, held, met
+            s, k = np.concatenate(sig), np.concatenate(key)
+            order = np.argsort(s, kind="stable")
+            s, k = s[order], k[order]
+            edge = np.flatnonzero(np.concatenate([np.ones(min(1, len(s)), bool), s[1:] != s[:-1]]))
+            if not len(edge):
+                return
+            low, high = np.minimum.reduceat(k, edge), np.maximum.reduceat(k, edge)
+            several = (low < high) | np.isin(s[edge], met)
+            met = np.union1d(met, s[edge][several])
+            sig, key, held = [s[edge][~several]], [low[~several]], 0
+            rows = np.repeat(several, np.diff(edge, append=len(s)))
+            s, k = s[rows], k[rows]
+            for lo in range(0, len(s), 65536):
+                yield pa.record_batch({"sig": pa.array(s[lo : lo + 65536]), "k1": pa.array(k[lo : lo + 65536])})
+
+        for batch in batches:
+            sig.append(batch.column("sig").to_numpy())
+            key.append(batch.column("k1").to_numpy())
+            held += len(batch)
+            if held >= LIST_ROWS:
+                yield from settle()
+        yield from settle()
+
+    return lists.repartition(tasks, "sig").mapInArrow(run, "sig long, k1 long").distinct()
+
+
+def whole_sets(texts: DataFrame, nodes: DataFrame, config: JaccardConfig) -> DataFrame:
+    """node and items (the set's hashes in order) of these nodes."""
+
+    def run(batches):
+        for batch in batches:
+            found = [s.tobytes() for _, _, sets in _sets(batch, config) for s in sets]
+            yield pa.record_batch({"node": batch.column("node"), "items": pa.array(found, pa.binary())})
+
+    return texts.join(_checked(nodes), "node", "left_semi").mapInArrow(run, "node long, items binary")
+
+
+#: What makes the whole sets (node, items) of given nodes, anew from their texts: as a table they would be longer than these.
+Whole = Callable[[DataFrame], DataFrame]
+
+
+def verify(pairs: DataFrame, whole: Whole, config: JaccardConfig) -> DataFrame:
+    """The pairs (a, b) whose whole sets reach the threshold, as a table."""
+    before = written()
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+    sets = materialize(whole(materialize(nodes.distinct(), "jaccard-chosen")), "jaccard-sets")
     both = sets.select(F.col("node").alias("a"), F.col("items").alias("x")).join(_checked(pairs), "a")
     both = both.join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
 
@@ -266,7 +343,9 @@ def verify(pairs: DataFrame, sets: DataFrame, config: JaccardConfig) -> DataFram
                 ok.append(config.den * same >= config.num * (len(p) + len(q) - same))
             yield pa.record_batch({"a": batch.column("a"), "b": batch.column("b")}).filter(pa.array(ok, pa.bool_()))
 
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    out = materialize(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "jaccard-links")
+    discard_since(pairs.sparkSession, before, keep=1)
+    return out
 
 
 def _checked(small: DataFrame) -> DataFrame:
@@ -353,7 +432,7 @@ def still_open(lists: DataFrame, part: DataFrame) -> DataFrame:
     return out
 
 
-def dealt_again(lists: DataFrame, sets: DataFrame, level: int, config: JaccardConfig) -> DataFrame:
+def dealt_again(lists: DataFrame, whole: Whole, level: int, config: JaccardConfig) -> DataFrame:
     """Lists (sig, node) for the members of each list that agree on a block under another hash."""
     salt = mix(np.array([level + 1], np.uint64))
 
@@ -368,12 +447,12 @@ def dealt_again(lists: DataFrame, sets: DataFrame, level: int, config: JaccardCo
             yield pa.record_batch({"sig": _signed(np.concatenate(sig) if sig else []), "node": pa.array(np.concatenate(who) if who else [], pa.int64())})
 
     by_node = lists.groupBy("node").agg(F.collect_list("sig").alias("sigs"))
-    rows = materialize(sets.select("node", "items").join(by_node, "node").mapInArrow(run, "sig long, node long"), "jaccard-dealt")
+    rows = materialize(whole(lists.select("node").distinct()).join(by_node, "node").mapInArrow(run, "sig long, node long"), "jaccard-dealt")
     several = materialize(rows.groupBy("sig").agg(F.count(F.lit(1)).alias("met")).where("met > 1").select("sig"), "jaccard-several")
     return rows.join(several, "sig")
 
 
-def across(lists: DataFrame, sets: DataFrame, config: JaccardConfig) -> DataFrame:
+def across(lists: DataFrame, sets: DataFrame, whole: Whole, config: JaccardConfig) -> DataFrame:
     """Links (a, b) between components of each list (see :func:`still_open`).
 
     Blocks hold sketches, not sets: only pairs that these cannot rule out are
@@ -413,10 +492,10 @@ def across(lists: DataFrame, sets: DataFrame, config: JaccardConfig) -> DataFram
         return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
     found = sets.select("node", "n", "sketch").join(units, "node").groupBy("unit").applyInArrow(unit, "a long, b long")
-    return verify(materialize(found.distinct(), "jaccard-pairs"), sets, config)
+    return verify(materialize(found.distinct(), "jaccard-pairs"), whole, config)
 
 
-def second_round(met: DataFrame, best: DataFrame, known: DataFrame, part: DataFrame, sets: DataFrame, config: JaccardConfig) -> DataFrame:
+def second_round(met: DataFrame, best: DataFrame, known: DataFrame, part: DataFrame, sets: DataFrame, whole: Whole, config: JaccardConfig) -> DataFrame:
     """Links between members of lists (sig, node) beside those with a list's best one; known: its (a, b, linked) for near pairs."""
     ranked = met.join(best, "sig").where("node != best").select("sig", "node", "best", F.least("node", "best").alias("a"), F.greatest("node", "best").alias("b"))
     spark, before = met.sparkSession, written()
@@ -436,11 +515,11 @@ def second_round(met: DataFrame, best: DataFrame, known: DataFrame, part: DataFr
             ready.append(rows)
             break
         ready.append(rows.where(F.col("cost") <= cheap))
-        lists = dealt_again(many, sets, level, config)
+        lists = dealt_again(many, whole, level, config)
     out = ready[0]
     for rows in ready[1:]:
         out = out.unionByName(rows)
-    return across(out, sets, config)
+    return across(out, sets, whole, config)
 
 
 def jaccard_groups(docs: DataFrame, config: JaccardConfig = JaccardConfig()) -> DataFrame:
@@ -454,32 +533,42 @@ def jaccard_groups(docs: DataFrame, config: JaccardConfig = JaccardConfig()) ->
     light = boundary({r["n"]: r["count"] for r in small if r["n"] > 0}, config)
 
     # lists in which two classes meet; k1 alone stands for a class until it is joined to its node
-    by_sig = Window.partitionBy("sig")
-    sigs = listed(docs, light, config).withColumns({"low": F.min("k1").over(by_sig), "high": F.max("k1").over(by_sig)})
-    sigs = sigs.where("low < high").select("sig", "k1").distinct()
+    elements = rows.where(F.col("n") >= MAX_LIGHT + 8).agg(F.sum("n")).first()[0] or 0
+    expected = expected_rows({r["n"]: r["count"] for r in small if r["n"] > 0}, elements, light, config)
+    tasks = max(spark.sparkContext.defaultParallelism, -(-expected // (PARTS * LIST_ROWS)))
     named = classes.where("node is not null").select("k1", "node", "n")
-    met = materialize(sigs.join(named, "k1").select("sig", "node", "n"), "jaccard-met")
+    met = None
+    for part in range(PARTS):
+        sigs = shared(listed(docs, light, config, part), tasks)
+        found = materialize(sigs.join(named, "k1").select("sig", "node", "n"), "jaccard-met")
+        met = found if met is None else met.unionByName(found)
     first = written()
     size = materialize(met.groupBy("sig").agg(F.count(F.lit(1)).alias("met")), "jaccard-sizes")
 
-    # the whole sets of the classes that met another one
+    # the sketches of the classes that met another one
     weight = materialize(met.join(size, "sig").groupBy("node").agg(F.sum("met").alias("weight")), "jaccard-nodes")
     discard_since(spark, first, keep=1)
-    chosen = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(_checked(weight.select("node")), "node", "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
+    if not rows.groupBy("doc_id").count().where("count > 1").isEmpty():
+        texts = texts.groupBy("node").agg(F.min("text").alias("text"))
 
     def run(batches):
         for batch in batches:
             found = [s for _, _, sets in _sets(batch, config) for s in sets]
             yield pa.record_batch({
                 "node": batch.column("node"), "n": pa.array([len(s) for s in found], pa.int64()),
-                "sketch": pa.array([parity_sketch(s) for s in found], pa.binary()), "items": pa.array([s.tobytes() for s in found], pa.binary()),
+                "sketch": pa.array([parity_sketch(s) for s in found], pa.binary()),
             })
 
-    sets = chosen.mapInArrow(run, "node long, n long, sketch binary, items binary")
-    if rows.groupBy("doc_id").count().where("count > 1").isEmpty():
-        sets = materialize(sets, "jaccard-sets")
-    else:
-        sets = materialize(sets.dropDuplicates(["node"]), "jaccard-sets")
+    made, nodes = "node long, n long, sketch binary", weight.select("node")
+    if nodes.count() <= BROADCAST_ROWS:
+        sets = texts.join(F.broadcast(nodes), "node", "left_semi").mapInArrow(run, made)
+    else:  # sketches are shorter than texts to shuffle
+        sets = texts.mapInArrow(run, made).join(nodes, "node", "left_semi")
+    sets = materialize(sets, "jaccard-sketches")
+
+    def whole(nodes: DataFrame) -> DataFrame:
+        return whole_sets(texts, nodes, config)
 
     # first round: every member of a list with its best-connected member
     best = met.join(weight, "node").groupBy("sig").agg(F.max(F.struct("weight", "node", "n")).alias("best"))
@@ -490,12 +579,12 @@ def jaccard_groups(docs: DataFrame, config: JaccardConfig = JaccardConfig()) ->
     first = written()
     known = materialize(sketched(materialize(pairs, "jaccard-pairs"), sets, config), "jaccard-pairs")
     discard_since(spark, first, keep=1)
-    edges = materialize(verify(known.where("may").select("a", "b"), sets, config), "jaccard-links")
+    edges = verify(known.where("may").select("a", "b"), whole, config)
     known = known.select("a", "b").join(edges.withColumn("linked", F.lit(True)), ["a", "b"], "left").select("a", "b", F.coalesce("linked", F.lit(False)).alias("linked"))
 
     # second round: what the first one leaves open
     part = materialize(components(edges, weight.select("node")), "jaccard-components")
-    more = materialize(second_round(met.select("sig", "node"), best.select("sig", "best"), known, part, sets, config), "jaccard-links")
+    more = second_round(met.select("sig", "node"), best.select("sig", "best"), known, part, sets, whole, config)
 
     found = materialize(components(edges.unionByName(more), classes.where("node is not null").select("node").distinct()), "jaccard-components")
     discard_since(spark, before, keep=1)
