@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.clean import clean, valid_rows
+from ..operators.components import level_components
 from ..operators.dummies import dummy_name, one_hot
 from ..operators.fit import fit_polynomial
-from ..operators.fixed_effects import Cells, crosstab, grouped
+from ..operators.fixed_effects import crosstab
 from ..operators.moments import gram
 from ..operators.quantiles import assign, edges_of, exact_quantiles, interior_edges
 from ..operators.selectors import direct_plug_in, rule_of_thumb
@@ -121,9 +122,8 @@ def fe_cardinality_order(spark, sf_dir):
 
 def fe_components(spark, sf_dir):
     data = _data(spark, sf_dir, "lineitem", PRICE, QTY, ["l_suppkey", "l_orderkey"], ["l_suppkey", "l_orderkey"])
-    got = grouped(data.df, list(data.groups), data.categorical, [], {"n": F.lit(1.0)})
-    cells = Cells(got.codes, got.sums["n"])
-    return _one_row(spark, components=cells.components(), rank=cells.rank())
+    components, levels = level_components(data.df, data.groups, data.n)
+    return _one_row(spark, components=components, rank=levels - components * (len(data.groups) - 1))
 
 
 def _poly(degree: int) -> Query:
